@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecgrove.llm import decontaminate
+from vecgrove.llm import decontaminate, simhash
 from vecgrove.llm.common import table
 
 
@@ -10,7 +10,12 @@ def op10_suffix_automaton(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_vantage_point_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_vantage_point_simhash": op8_vantage_point_simhash,
     "op10_suffix_automaton": op10_suffix_automaton,
 }
 
