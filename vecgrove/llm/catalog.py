@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecgrove.llm import decontaminate, simhash
+from vecgrove.llm import decontaminate, packing, simhash
 from vecgrove.llm.common import table
 
 
@@ -10,11 +10,23 @@ def op10_suffix_automaton(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def vocabulary() -> str:
+    """The public vocabulary that documents are measured in; it stays outside the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_certified_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op8_vantage_point_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_certified_packing": op3_certified_packing,
     "op8_vantage_point_simhash": op8_vantage_point_simhash,
     "op10_suffix_automaton": op10_suffix_automaton,
 }
