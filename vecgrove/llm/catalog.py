@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecgrove.llm import decontaminate, packing, simhash
+from vecgrove.llm import decontaminate, packing, ring, simhash
 from vecgrove.llm.common import table
 
 
@@ -25,7 +25,12 @@ def op8_vantage_point_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_bounded_load_ring(spark, sf_dir):
+    return ring.assign(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op9_bounded_load_ring": op9_bounded_load_ring,
     "op3_certified_packing": op3_certified_packing,
     "op8_vantage_point_simhash": op8_vantage_point_simhash,
     "op10_suffix_automaton": op10_suffix_automaton,
