@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecgrove.llm import decontaminate, packing, ring, simhash
+from vecgrove.llm import decontaminate, packing, ring, secrets, simhash
 from vecgrove.llm.common import table
 
 
@@ -29,7 +29,12 @@ def op9_bounded_load_ring(spark, sf_dir):
     return ring.assign(table(spark, sf_dir, "documents"))
 
 
+def op2_markov_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_markov_secrets": op2_markov_secrets,
     "op9_bounded_load_ring": op9_bounded_load_ring,
     "op3_certified_packing": op3_certified_packing,
     "op8_vantage_point_simhash": op8_vantage_point_simhash,
