@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecgrove.llm import decontaminate, packing, ring, secrets, simhash
+from vecgrove.llm import decontaminate, packing, pii, ring, secrets, simhash, toxicity
 from vecgrove.llm.common import table
 
 
@@ -33,7 +33,18 @@ def op2_markov_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_weakly_supervised_pii(spark, sf_dir):
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
+def op7_ftrl_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
 QUERIES = {
+    "op5_weakly_supervised_pii": op5_weakly_supervised_pii,
+    "op7_ftrl_toxicity": op7_ftrl_toxicity,
     "op2_markov_secrets": op2_markov_secrets,
     "op9_bounded_load_ring": op9_bounded_load_ring,
     "op3_certified_packing": op3_certified_packing,
