@@ -1,9 +1,10 @@
 """Toxicity scores from FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A text's features are the slots of its words, of neighbouring pairs and of pairs one word apart, each counted once. The
+A text's features are the slots of its words and their stems, of neighbouring pairs and of pairs one word apart, each
+counted once. The
 model is fitted to a sample of labelled rows of at most about ``sample`` rows, half for each class where there are enough
-(a documented bound: a rule on hashes of ids picks them, so it behaves alike at every size). ``shards`` learners each take
-their part of the sample, with per-coordinate rates and L1; the mean of their sparse weights - at most 2^bits numbers, a
+(a documented bound: a rule on hashes of ids picks them, so it behaves alike at every size). One learner for each
+``SHARD_ROWS`` rows takes its part of the sample, with per-coordinate rates and L1; the mean of their sparse weights - at most 2^bits numbers, a
 few thousand in practice - is broadcast, and scoring is one pass over the documents without a shuffle.
 """
 
@@ -20,9 +21,13 @@ from vecgrove.llm import common
 
 BITS = 20
 SAMPLE = 16_000
-SHARDS = 4
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 1.5, 1.0
+SHARD_ROWS = 4_000
+EPOCHS = 4
+#: Words also count as their first so many bytes, so that inflected and compound forms share evidence.
+STEMS = (4, 5, 6)
+ALPHA, BETA, L2 = 0.3, 1.0, 0.1
+#: L1 in proportion to a learner's rows, between these bounds: evidence from a few rows alone never gives a weight.
+L1_PER_ROW, L1_LEAST, L1_MOST = 0.002, 1.0, 8.0
 FOLDS = 5
 
 #: Bytes to words: A-Z lowered, other ASCII that is neither digit nor letter becomes a space, the rest stays.
@@ -37,6 +42,9 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
         return np.zeros(0, np.int64)
     h = np.fromiter(map(zlib.crc32, ws), np.uint64, len(ws)) * _A
     parts = [h, h[:-1] * _B + h[1:] * _C, h[:-2] * _C + h[2:] * _A + _B]
+    for k in STEMS:
+        stems = [w[:k] for w in ws if len(w) > k]
+        parts.append(np.fromiter(map(zlib.crc32, stems), np.uint64, len(stems)) * _C + np.uint64(k))
     return (np.concatenate(parts) * _B >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -48,14 +56,15 @@ def held_out(doc_id):
 class Learner:
     """FTRL-proximal: per-coordinate state z and n, weights read off lazily."""
 
-    def __init__(self, bits: int = BITS):
+    def __init__(self, bits: int = BITS, l1: float = L1_MOST):
+        self.l1 = l1
         self.z = np.zeros((1 << bits) + 1)
         self.n = np.zeros((1 << bits) + 1)
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         z, n = self.z[at], self.n[at]
-        w = -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2)
-        return np.where(np.abs(z) <= L1, 0.0, w)
+        w = -(z - np.sign(z) * self.l1) / ((BETA + np.sqrt(n)) / ALPHA + L2)
+        return np.where(np.abs(z) <= self.l1, 0.0, w)
 
     def learn(self, at: np.ndarray, label: int) -> None:
         w = self.weights(at)
@@ -66,24 +75,26 @@ class Learner:
         self.n[at] += g * g
 
 
-def _sample(labels: DataFrame, target: str, size: int) -> DataFrame:
-    """(doc_id, label): learnable ids, one row each, about ``size`` / 2 of each class at most. Split labels go to the majority."""
+def _sample(labels: DataFrame, target: str, size: int) -> tuple[DataFrame, int]:
+    """(doc_id, label), and about how many: learnable ids, one row each, about ``size`` / 2 of each class at most. Split labels go to the majority."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg(F.col(target).cast("double")) >= 0.5).cast("int").alias("label"))
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
     space = 1 << 30
     limit = F.when(F.col("label") == 1, F.lit(int(space * min(1.0, size / 2 / max(1, totals.get(1, 0)))))).otherwise(
         F.lit(int(space * min(1.0, size / 2 / max(1, totals.get(0, 0))))))
-    return known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(space)) < limit)
+    rows = int(sum(min(n, size / 2) for n in totals.values()))
+    return known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(space)) < limit), rows
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int = SAMPLE, bits: int = BITS) -> dict[int, float]:
     """Sparse weights by slot; slot 2^bits is the bias. Empty if no labelled row has a document."""
-    chosen = _sample(labels, target, sample)
+    chosen, n = _sample(labels, target, sample)
+    shards = max(1, round(n / SHARD_ROWS))
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about ``sample`` short rows
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
     picked = picked.withColumn("r", F.row_number().over(one)).where("r = 1").select("doc_id", "text", "label")
-    coded = picked.select((F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SHARDS))).cast("int").alias("shard"), F.xxhash64("doc_id", F.lit(13)).alias("turn"), "label", "text")
+    coded = picked.select((F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(shards))).cast("int").alias("shard"), F.xxhash64("doc_id", F.lit(13)).alias("turn"), "label", "text")
 
     def code(batches):
         for b in batches:
@@ -91,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(slots, pa.list_(pa.int32()))], names=["shard", "turn", "label", "slots"])
 
     rows = common.map_arrow(coded, code, "shard int, turn long, label int, slots array<int>")
-    dealt = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "turn")
+    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "turn")
 
     def learn(batches):
         rows: dict[int, list] = {}
@@ -100,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int
             for i, s in enumerate(b.column(3)):
                 rows.setdefault(shard[i], []).append((np.append(s.values.to_numpy(zero_copy_only=False).astype(np.int64), 1 << bits), label[i]))
         for part in rows.values():
-            model = Learner(bits)
+            model = Learner(bits, min(L1_MOST, max(L1_LEAST, L1_PER_ROW * len(part))))
             for _ in range(EPOCHS):
                 for at, y in part:
                     model.learn(at, y)
@@ -111,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int
 
     parts = common.map_arrow(dealt, learn, "slot long, w double, n long")
     total = parts.groupBy("slot").agg(F.sum("w").alias("w")).collect()  # at most 2^bits + 1 rows
-    return {r["slot"]: r["w"] / SHARDS for r in total}
+    return {r["slot"]: r["w"] / shards for r in total}
 
 
 def _dense(weights: dict[int, float], bits: int) -> np.ndarray:
