@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecgrove.llm import decontaminate, packing, pii, ring, secrets, simhash, toxicity
+from vecgrove.llm import boilerplate, decontaminate, packing, pii, ring, secrets, simhash, toxicity
 from vecgrove.llm.common import table
 
 
@@ -42,7 +42,12 @@ def op7_ftrl_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, labels))
 
 
+def op1_host_suffix_array(spark, sf_dir):
+    return boilerplate.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_host_suffix_array": op1_host_suffix_array,
     "op5_weakly_supervised_pii": op5_weakly_supervised_pii,
     "op7_ftrl_toxicity": op7_ftrl_toxicity,
     "op2_markov_secrets": op2_markov_secrets,
