@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecgrove.llm import boilerplate, decontaminate, packing, pii, ring, secrets, simhash, toxicity
+from vecgrove.llm import boilerplate, decontaminate, packing, pii, ring, secrets, simhash, suffix, toxicity
 from vecgrove.llm.common import table
 
 
@@ -46,7 +46,12 @@ def op1_host_suffix_array(spark, sf_dir):
     return boilerplate.main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_bucket_pointer_refinement(spark, sf_dir):
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_bucket_pointer_refinement": op6_bucket_pointer_refinement,
     "op1_host_suffix_array": op1_host_suffix_array,
     "op5_weakly_supervised_pii": op5_weakly_supervised_pii,
     "op7_ftrl_toxicity": op7_ftrl_toxicity,

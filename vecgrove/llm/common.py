@@ -73,3 +73,34 @@ def share(spark: SparkSession, value):
     """Broadcast a value whose size its caller bounds."""
     ship(spark)
     return spark.sparkContext.broadcast(value)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of tables that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def bitmap(keys: DataFrame, bits: int = 23) -> bytes:
+    """A set of 2^bits places that holds at least those of the longs in ``keys(key)``: a filter of fixed size (1 MB at 23).
+
+    It saves moving rows that no key asks for; rows that it lets through wrongly meet an exact join afterwards.
+    """
+    place = (F.pmod(F.col("key"), F.lit(1 << bits)) + 1).alias("p")
+    rows = keys.select(place).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
+    out = bytearray((1 << bits) // 8)
+    for r in rows:  # buckets count from 1 and hold 32768 bits
+        at = (r["b"] - 1) * 4096
+        for k, x in enumerate(r["m"]):
+            out[at + k] |= x
+    return bytes(out)
+
+
+def in_bitmap(places: bytes, keys, bits: int = 23):
+    """Which of the longs in a numpy array are in the set."""
+    import numpy as np
+
+    p = keys % (1 << bits)
+    return (np.frombuffer(places, np.uint8)[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
