@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecgrove.llm import boilerplate, decontaminate, packing, pii, ring, secrets, simhash, suffix, toxicity
+from vecgrove.llm import ann, boilerplate, decontaminate, packing, pii, ring, secrets, simhash, suffix, toxicity
 from vecgrove.llm.common import table
 
 
@@ -50,7 +50,12 @@ def op6_bucket_pointer_refinement(spark, sf_dir):
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_adaptive_dimension_scan(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 QUERIES = {
+    "op4_adaptive_dimension_scan": op4_adaptive_dimension_scan,
     "op6_bucket_pointer_refinement": op6_bucket_pointer_refinement,
     "op1_host_suffix_array": op1_host_suffix_array,
     "op5_weakly_supervised_pii": op5_weakly_supervised_pii,
