@@ -1,4 +1,653 @@
-"""Registry of the queries and of their SQL."""
+"""The registered queries over the shared tables, and equivalent SQL.
 
+Search queries ask with every row whose id is divisible by 50, against all rows. Dense vectors are embeddings in 2^20
+fixed point (signed, or their absolute values where pool sums need that), sparse ones are word 3-gram counts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vecgrove.functions import signatures, text, vectors
+from vecgrove.operators import ann, exact, grouptest, lsh, metrics, pools
+from vecgrove.plans import pruned
+from vecgrove.types import SCALE, quantised, to_long
+
+K = 10
+DIMS = 64
+T, B = 20, 6  # hash tables and bits
+LEAST = 3  # equal tables of a candidate
+POOLS = 90
+BITS = 17  # of an item index
+DENSE_LEAST = 9 << 36  # of 2^40
+TEXT_LEAST = 40
+LEVELS, QLEVELS = 4, 2
+
+
+def _emb(spark, d):
+    return spark.read.parquet(f"{d}/embeddings.parquet")
+
+
+def dense(spark, d):
+    return _emb(spark, d).select(F.col("vec_id").alias("id"), quantised(F.col("embedding")).alias("v"))
+
+
+def dense_abs(spark, d):
+    return _emb(spark, d).select(F.col("vec_id").alias("id"), quantised(F.transform("embedding", lambda x: F.abs(x))).alias("v"))
+
+
+def asking(x):
+    return x.where("id % 50 = 0")
+
+
+def grams(spark, d):
+    return text.ngram_counts(spark.read.parquet(f"{d}/documents.parquet"))
+
+
+def sparse_queries(x):
+    return exact.queries_of(asking(x))
+
+
+def _pair(make):
+    """(x, q) of a table: all rows, and the asking ones."""
+
+    def both(spark, d):
+        x = make(spark, d)
+        return x, asking(x)
+
+    return both
+
+
+def _sparse(spark, d):
+    x = grams(spark, d)
+    return x, sparse_queries(x)
+
+
+def _hashed(spark, d):
+    x = dense(spark, d)
+    return ann.Hashed(x, asking(x), DIMS, T, B)
+
+
+_dense, _abs = _pair(dense), _pair(dense_abs)
+
+# -- SQL pieces ----------------------------------------------------------------------------------------------------
+
+_Z = f"CAST(floor(CAST(t AS DOUBLE) * {SCALE} + 0.5) AS DOUBLE)"
+X = f"x AS (SELECT vec_id AS id, list_transform(embedding, lambda t: {_Z}) AS v FROM embeddings)"
+XA = f"x AS (SELECT vec_id AS id, list_transform(embedding, lambda t: {_Z.replace('t AS', 'abs(t) AS')}) AS v FROM embeddings)"
+S = "s AS (SELECT q.id AS qid, x.id, CAST(list_dot_product(q.v, x.v) AS BIGINT) AS score FROM x q, x WHERE q.id % 50 = 0)"
+XL = "l AS (SELECT id, unnest(range(0, 64)) AS dim, CAST(unnest(v) AS BIGINT) AS val FROM x)"
+G = """tok AS (SELECT doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM documents),
+gr AS (SELECT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS dim FROM tok WHERE len(w) >= 3),
+g AS (SELECT id, dim, count(*) AS val FROM gr GROUP BY id, dim)"""
+GS = "s AS (SELECT q.id AS qid, g.id, CAST(sum(q.val * g.val) AS BIGINT) AS score FROM g q JOIN g USING (dim) WHERE q.id % 50 = 0 GROUP BY q.id, g.id)"
+
+
+def top(source, k=K):
+    return f"SELECT qid, id, score, rank FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id DESC) AS rank FROM {source}) WHERE rank <= {k}"
+
+
+PL = f"""k0 AS (SELECT unnest(range(0, {T * B * DIMS})) AS n),
+k1 AS (SELECT n, ((n + 7) * 1103515245 + 12345) % 2147483648 AS k FROM k0), k2 AS (SELECT n, xor(k, k >> 15) AS k FROM k1),
+k3 AS (SELECT n, (k * 1103515245 + 12345) % 2147483648 AS k FROM k2), k4 AS (SELECT n, xor(k, k >> 13) AS k FROM k3),
+k5 AS (SELECT n, (k * 747796405 + 2891) % 2147483648 AS k FROM k4),
+pl AS (SELECT n // {B * DIMS} AS tbl, n // {DIMS} % {B} AS bit, list((k >> 30) * 2 - 1.0 ORDER BY n) AS p FROM k5 GROUP BY ALL)"""
+H = f"{X}, {PL}, h AS (SELECT id, tbl, CAST(sum(CASE WHEN list_dot_product(v, p) >= 0 THEN 1 << bit ELSE 0 END) AS BIGINT) AS h FROM x, pl GROUP BY id, tbl)"
+M = "m AS (SELECT q.id AS qid, y.id, count(*) AS n_match FROM h q JOIN h y USING (tbl, h) WHERE q.id % 50 = 0 GROUP BY q.id, y.id)"
+E = f"""e0 AS (SELECT vec_id AS item, unnest(range(0, 3)) AS j FROM embeddings),
+e1 AS (SELECT item, j, ((item * 3 + j + 5) * 1103515245 + 12345) % 2147483648 AS k FROM e0), e2 AS (SELECT item, j, xor(k, k >> 15) AS k FROM e1),
+e3 AS (SELECT item, j, (k * 1103515245 + 12345) % 2147483648 AS k FROM e2), e4 AS (SELECT item, j, xor(k, k >> 13) AS k FROM e3),
+e AS (SELECT j * {POOLS // 3} + ((k * 747796405 + 2891) % 2147483648) % {POOLS // 3} AS pool, item FROM e4)"""
+PP = f"pp AS (SELECT DISTINCT qid, pool FROM m JOIN e ON m.id = e.item WHERE n_match >= {LEAST})"
+EL = "el AS (SELECT qid, item FROM pp JOIN e USING (pool) GROUP BY qid, item HAVING count(*) = 3)"
+
+
+def _sig(j, bits=BITS):
+    ones = [f"(({j} >> {b}) & 1)" for b in range(bits)]
+    blocks = []
+    for k in (None, *signatures.BLOCK_BITS):
+        on = "1" if k is None else f"(({j} >> {k}) & 1)"
+        blocks += [on, *[f"{x} * {on}" for x in ones], *[f"(1 - {x}) * {on}" for x in ones]]
+    return "[" + ", ".join(blocks) + "]"
+
+
+SIG_LEN = 3 * (2 * BITS + 1)
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name, sql=None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+# -- exact joins ---------------------------------------------------------------------------------------------------
+
+KNN_SQL = f"WITH {X}, {S} {top('s')}"
+
+
+@query("knn_bruteforce", KNN_SQL)
+def _(spark, d):
+    return exact.knn(*_dense(spark, d), K)
+
+
+@query("knn_per_partition_merge", KNN_SQL)
+def _(spark, d):
+    return exact.knn_by_tree(*_dense(spark, d), K, 128)
+
+
+@query("knn_ids_sorted", f"WITH {X}, {S}, r AS ({top('s')}) SELECT qid, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM r GROUP BY qid")
+def _(spark, d):
+    found = exact.ids_sorted(exact.knn(*_dense(spark, d), K))
+    return found.select("qid", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+
+
+@query("threshold_bruteforce", f"WITH {XA}, {S} SELECT qid, id, score FROM s WHERE score >= {DENSE_LEAST}")
+def _(spark, d):
+    return exact.threshold(*_abs(spark, d), DENSE_LEAST)
+
+
+@query("threshold_selfjoin", f"WITH {G} SELECT q.id AS qid, g.id, CAST(sum(q.val * g.val) AS BIGINT) AS score FROM g q JOIN g USING (dim) WHERE q.id < g.id GROUP BY q.id, g.id HAVING sum(q.val * g.val) >= {TEXT_LEAST}")
+def _(spark, d):
+    return exact.selfjoin(grams(spark, d), TEXT_LEAST)
+
+
+TEXT_SQL = f"WITH {G}, {GS} SELECT qid, id, score FROM s WHERE score >= {TEXT_LEAST}"
+TEXT_TOP = f"WITH {G}, {GS} {top('s')}"
+
+
+@query("linscan_threshold", TEXT_SQL)
+def _(spark, d):
+    return exact.linscan(*_sparse(spark, d), TEXT_LEAST)
+
+
+@query("linscan_topk", TEXT_TOP)
+def _(spark, d):
+    return exact.linscan_topk(*_sparse(spark, d), K)
+
+
+@query("linscan_postings_touched", f"WITH {G}, n AS (SELECT dim, count(*) AS n FROM g GROUP BY dim) SELECT id AS qid, CAST(sum(n) AS BIGINT) AS n_dots FROM g JOIN n USING (dim) WHERE id % 50 = 0 GROUP BY id")
+def _(spark, d):
+    return exact.postings_touched(*_sparse(spark, d))
+
+
+@query("naive_dot_count", f"WITH {G}, n AS (SELECT count(DISTINCT id) AS n_dots FROM g) SELECT DISTINCT id AS qid, n_dots FROM g, n WHERE id % 50 = 0")
+def _(spark, d):
+    return exact.naive_dots(*_sparse(spark, d))
+
+
+@query("quantised_linscan", f"WITH {XA}, {XL}, s AS (SELECT q.id AS qid, l.id, CAST(sum(q.val * l.val) AS BIGINT) AS score FROM l q JOIN l USING (dim) WHERE q.id % 50 = 0 GROUP BY q.id, l.id) {top('s')}")
+def _(spark, d):
+    x = to_long(dense_abs(spark, d))
+    return exact.linscan_topk(x, sparse_queries(x), K)
+
+
+@query("rerank_candidates", f"WITH {H}, {M}, {S}, c AS (SELECT s.qid, s.id, s.score FROM s JOIN m USING (qid, id) WHERE n_match >= {LEAST}) {top('c')}")
+def _(spark, d):
+    h = _hashed(spark, d)
+    return exact.rerank(h.matches(LEAST), h.x, h.q, K)
+
+
+# -- pools ---------------------------------------------------------------------------------------------------------
+
+
+@query("pool_sums_leaf", f"WITH {XA}, {XL} SELECT id // 32 AS pool, dim, CAST(sum(val) AS BIGINT) AS val FROM l WHERE val <> 0 GROUP BY ALL")
+def _(spark, d):
+    return pools.leaf_sums(to_long(dense_abs(spark, d)), 32)
+
+
+@query("pool_tree_sums", f"WITH {XA}, {XL}, v AS (SELECT unnest(range(0, 6)) AS level) SELECT id // 32 AS tree, level, (1::BIGINT << level) + ((id % 32) >> (5 - level)) AS node, dim, CAST(sum(val) AS BIGINT) AS val FROM l, v WHERE val <> 0 GROUP BY ALL")
+def _(spark, d):
+    return pools.tree_sums(to_long(dense_abs(spark, d)), 5)
+
+
+@query("text_tree_sums", f"WITH {G}, v AS (SELECT unnest(range(0, {LEVELS + 1})) AS level), t AS (SELECT id // {1 << LEVELS} AS tree, level, (1::BIGINT << level) + ((id % {1 << LEVELS}) >> ({LEVELS} - level)) AS node, dim, sum(val) AS val FROM g, v GROUP BY ALL) SELECT tree, level, node, count(*) AS dims, CAST(sum(val) AS BIGINT) AS total, CAST(sum(val * val) AS BIGINT) AS squares FROM t GROUP BY ALL")
+def _(spark, d):
+    t = pools.tree_sums(grams(spark, d), LEVELS)
+    return t.groupBy("tree", "level", "node").agg(F.count("*").alias("dims"), F.sum("val").alias("total"), F.sum(F.col("val") * F.col("val")).alias("squares"))
+
+
+@query("page_sums", f"WITH {XA}, {XL} SELECT id // 128 AS page, id // 8 % 16 AS grp, dim, CAST(sum(val) AS BIGINT) AS val FROM l WHERE val <> 0 GROUP BY ALL")
+def _(spark, d):
+    return pools.page_sums(to_long(dense_abs(spark, d)))
+
+
+ORDER_SQL = "o AS (SELECT id, am, row_number() OVER (ORDER BY am, id) - 1 AS pos FROM (SELECT id, CAST(list_position(v, list_max(v)) - 1 AS BIGINT) AS am FROM x))"
+
+
+@query("argmax_dim", f"WITH {XA}, {ORDER_SQL} SELECT id, am, pos FROM o")
+def _(spark, d):
+    return pools.reorder(dense_abs(spark, d))
+
+
+@query("reordered_pool_sums", f"WITH {XA}, {ORDER_SQL}, {XL} SELECT pos // 32 AS pool, dim, CAST(sum(val) AS BIGINT) AS val FROM l JOIN o USING (id) WHERE val <> 0 GROUP BY ALL")
+def _(spark, d):
+    x = dense_abs(spark, d)
+    return pools.leaf_sums(to_long(x).join(pools.reorder(x).select("id", "pos"), "id"), 32)
+
+
+@query("dim_postings", f"WITH {XA}, {XL} SELECT dim, count(*) AS n, CAST(sum(val) AS BIGINT) AS total FROM l WHERE val >= {SCALE // 20} GROUP BY dim")
+def _(spark, d):
+    x = to_long(dense_abs(spark, d)).where(F.col("val") >= SCALE // 20)
+    return x.groupBy(F.col("dim").cast("long").alias("dim")).agg(F.count("*").alias("n"), F.sum("val").alias("total"))
+
+
+@query(
+    "best_partition",
+    f"""WITH {XA}, {XL}, b0 AS (SELECT id, unnest(range(0, 4)) AS trial FROM x),
+b1 AS (SELECT id, trial, ((id * 4 + trial + 1) * 1103515245 + 12345) % 2147483648 AS k FROM b0), b2 AS (SELECT id, trial, xor(k, k >> 15) AS k FROM b1),
+b3 AS (SELECT id, trial, (k * 1103515245 + 12345) % 2147483648 AS k FROM b2), b4 AS (SELECT id, trial, xor(k, k >> 13) AS k FROM b3),
+b5 AS (SELECT id, trial, id // 32 AS block, (k * 747796405 + 2891) % 2147483648 AS k FROM b4),
+b6 AS (SELECT id, trial, block, (row_number() OVER (PARTITION BY block, trial ORDER BY k, id) - 1) // 8 AS grp FROM b5),
+b7 AS (SELECT block, trial, grp, dim, sum(val // 1024) AS s FROM b6 JOIN l USING (id) WHERE val <> 0 GROUP BY ALL),
+b8 AS (SELECT block, trial, CAST(sum(s * s) AS BIGINT) AS score FROM b7 GROUP BY ALL)
+SELECT block, trial, score FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY score DESC, trial) AS r FROM b8) WHERE r = 1""",
+)
+def _(spark, d):
+    x = to_long(dense_abs(spark, d)).withColumn("val", F.expr("val div 1024"))
+    return pools.best_partition(x, 8, 4, 4)
+
+
+# -- pruned joins --------------------------------------------------------------------------------------------------
+
+
+@query("pruned_threshold", TEXT_SQL)
+def _(spark, d):
+    return pruned.threshold(*_sparse(spark, d), TEXT_LEAST)
+
+
+@query("pruned_candidate_pools", f"WITH {G}, p AS (SELECT id // 32 AS pool, dim, sum(val) AS val FROM g GROUP BY ALL) SELECT q.id AS qid, pool FROM g q JOIN p USING (dim) WHERE q.id % 50 = 0 GROUP BY q.id, pool HAVING sum(q.val * p.val) >= {TEXT_LEAST}")
+def _(spark, d):
+    return pruned.candidates(*_sparse(spark, d), TEXT_LEAST)
+
+
+@query("double_pruned_threshold", TEXT_SQL)
+def _(spark, d):
+    return pruned.double_threshold(*_sparse(spark, d), TEXT_LEAST)
+
+
+@query("page_pruned_threshold", TEXT_SQL)
+def _(spark, d):
+    return pruned.page_threshold(*_sparse(spark, d), TEXT_LEAST)
+
+
+@query("dim_based_threshold", f"WITH {G}, {GS}, c AS (SELECT DISTINCT q.id AS qid, g.id FROM g q JOIN g USING (dim) WHERE q.id % 50 = 0 AND q.val >= 2 AND g.val >= 2) SELECT qid, id, score FROM s JOIN c USING (qid, id) WHERE score >= {TEXT_LEAST}")
+def _(spark, d):
+    return pruned.dim_threshold(*_sparse(spark, d), TEXT_LEAST, 2)
+
+
+@query("pruned_knn", TEXT_TOP)
+def _(spark, d):
+    return pruned.knn(*_sparse(spark, d), K)
+
+
+@query("double_knn", TEXT_TOP)
+def _(spark, d):
+    return pruned.double_knn(*_sparse(spark, d), K)
+
+
+@query("cascade_knn", TEXT_TOP)
+def _(spark, d):
+    return pruned.cascade_knn(*_sparse(spark, d), K)
+
+
+@query("reordered_knn", f"WITH {XA}, {S} {top('s')}")
+def _(spark, d):
+    x = dense_abs(spark, d)
+    long = to_long(x)
+    return pruned.reordered_knn(long, sparse_queries(long), K, pools.reorder(x))
+
+
+@query("box_bounds", f"WITH {X}, {XL}, b AS (SELECT id // 32 AS pool, dim, min(val) AS lo, max(val) AS hi FROM l GROUP BY ALL) SELECT q.id AS qid, pool, CAST(sum(greatest(q.val * lo, q.val * hi)) AS BIGINT) AS bound FROM l q JOIN b USING (dim) WHERE q.id % 50 = 0 GROUP BY q.id, pool")
+def _(spark, d):
+    x = dense(spark, d).select("id", F.posexplode("v").alias("dim", "val"))
+    return pruned.box_bounds(x, sparse_queries(x), 32)
+
+
+_TREE = f"v AS (SELECT unnest(range(0, {LEVELS})) AS level), t AS (SELECT id // {1 << LEVELS} AS tree, level, (1 << level) + ((id % {1 << LEVELS}) >> ({LEVELS} - level)) AS node, dim, sum(val) AS val FROM g, v GROUP BY ALL)"
+_NODES = "ns AS (SELECT q.id AS qid, tree, level, node, sum(q.val * t.val) AS score FROM g q JOIN t USING (dim) WHERE q.id % 50 = 0 GROUP BY ALL)"
+
+
+@query("threshold_dot_count", f"WITH {G}, {_TREE}, {_NODES}, a AS (SELECT DISTINCT id AS qid FROM g WHERE id % 50 = 0), n AS (SELECT qid, count(*) AS n FROM ns WHERE score >= {TEXT_LEAST} GROUP BY qid) SELECT qid, coalesce(n, 0) AS n_dots FROM a LEFT JOIN n USING (qid)")
+def _(spark, d):
+    return pruned.threshold_dots(*_sparse(spark, d), TEXT_LEAST, LEVELS)
+
+
+@query("knn_dot_count", f"WITH {G}, {GS}, {_TREE}, {_NODES}, r AS ({top('s')}), k AS (SELECT qid, CASE WHEN count(*) >= {K} THEN min(score) ELSE 1 END AS kth FROM r GROUP BY qid), a AS (SELECT DISTINCT id AS qid FROM g WHERE id % 50 = 0), c AS (SELECT count(DISTINCT id // {1 << LEVELS}) AS trees FROM g), n AS (SELECT ns.qid, count(*) AS n FROM ns JOIN k ON ns.qid = k.qid AND score >= kth GROUP BY ns.qid) SELECT qid, trees + 2 * coalesce(n, 0) AS n_dots FROM a CROSS JOIN c LEFT JOIN n USING (qid)")
+def _(spark, d):
+    return pruned.knn_dots(*_sparse(spark, d), K, LEVELS)
+
+
+@query(
+    "double_dot_count",
+    f"""WITH {G}, {_TREE}, w AS (SELECT unnest(range(0, {QLEVELS + 1})) AS qlevel),
+u AS (SELECT id // {1 << QLEVELS} AS qtree, qlevel, (1 << qlevel) + ((id % {1 << QLEVELS}) >> ({QLEVELS} - qlevel)) AS qnode, dim, sum(val) AS qval FROM g, w WHERE id % 50 = 0 GROUP BY ALL),
+p AS (SELECT tree, level, node, qtree, qnode, sum(val * qval) AS score FROM t JOIN u ON t.dim = u.dim AND u.qlevel = least(t.level, {QLEVELS}) GROUP BY ALL)
+SELECT (SELECT count(DISTINCT id // {1 << LEVELS}) FROM g) * (SELECT count(DISTINCT id // {1 << QLEVELS}) FROM g WHERE id % 50 = 0) + CAST((SELECT coalesce(sum(CASE WHEN level < {QLEVELS} THEN 3 ELSE 1 END), 0) FROM p WHERE score >= {TEXT_LEAST}) AS BIGINT) AS n_dots""",
+)
+def _(spark, d):
+    return pruned.double_dots(*_sparse(spark, d), TEXT_LEAST, LEVELS, QLEVELS)
+
+
+# -- vector functions ----------------------------------------------------------------------------------------------
+
+
+@query("sparse_add", f"WITH {G} SELECT id % 50 AS id, count(*) AS dims, CAST(sum(val) AS BIGINT) AS total, CAST(sum(val * val) AS BIGINT) AS squares FROM (SELECT id % 50 AS id, dim, sum(val) AS val FROM g GROUP BY ALL) GROUP BY ALL")
+def _(spark, d):
+    x = grams(spark, d).select((F.col("id") % 50).alias("id"), "dim", "val")
+    both = vectors.add_sparse(x, x.limit(0))
+    return both.groupBy("id").agg(F.count("*").alias("dims"), F.sum("val").alias("total"), F.sum(F.col("val") * F.col("val")).alias("squares"))
+
+
+@query("sparse_dot", f"WITH {G}, {GS} SELECT qid, id, score FROM s")
+def _(spark, d):
+    x, q = _sparse(spark, d)
+    return vectors.dot_sparse(q, x)
+
+
+@query("l2_normalize", "WITH n AS (SELECT vec_id AS id, list_transform(embedding, lambda t: CAST(t AS DOUBLE)) AS v FROM embeddings), m AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS l FROM n) SELECT id, list_dot_product(v, v) > 1e-18 AS moved, CAST(round(list_dot_product(v, v) / (l * l) * 1000000) AS BIGINT) AS norm6 FROM m")
+def _(spark, d):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    x = _emb(spark, d).select(F.col("vec_id").alias("id"), v.alias("v"))
+    n = x.withColumn("n", vectors.l2_normalize(F.col("v")))
+    return n.select("id", (vectors.squared_norm(F.col("v")) > 1e-18).alias("moved"), F.round(vectors.squared_norm(F.col("n")) * 1000000).cast("long").alias("norm6"))
+
+
+@query("compare_sparse", f"WITH {G}, a AS (SELECT id, dim, val FROM g), b AS (SELECT id, dim, val FROM g WHERE NOT (id % 3 = 0 AND val > 1)) SELECT id, bool_and(coalesce(abs(a.val - b.val) < 1e-5, FALSE)) AS equal FROM a FULL JOIN b USING (id, dim) GROUP BY id")
+def _(spark, d):
+    x = grams(spark, d)
+    return vectors.compare_sparse(x, x.where("not (id % 3 = 0 and val > 1)"))
+
+
+@query("dot_histogram", f"WITH {XA}, {S} SELECT least(999, CAST(floor(score * 1000.0 / {1 << 40}) AS BIGINT)) AS bin, count(*) AS n FROM s GROUP BY ALL")
+def _(spark, d):
+    return metrics.histogram(exact.threshold(*_abs(spark, d), 0), 1 << 40)
+
+
+@query("dim_cooccurrence", f"WITH {XA}, {XL} SELECT a.dim AS d1, b.dim AS d2, CAST(sum(a.val * b.val) AS BIGINT) AS weight FROM l a JOIN l b USING (id) WHERE a.dim <> b.dim AND a.val <> 0 AND b.val <> 0 GROUP BY ALL")
+def _(spark, d):
+    return metrics.cooccurrence(to_long(dense_abs(spark, d)))
+
+
+# -- hashing -------------------------------------------------------------------------------------------------------
+
+
+@query("srp_hash", f"WITH {H} SELECT id, tbl, h FROM h")
+def _(spark, d):
+    return lsh.tables(lsh.hashes(dense(spark, d), T, B, DIMS)).select("id", "tbl", "h")
+
+
+@query("hash_bits_roundtrip", f"WITH {H} SELECT id, tbl, h, bit_count(h) * 1::BIGINT AS ones, TRUE AS same FROM h")
+def _(spark, d):
+    t = lsh.tables(lsh.hashes(dense(spark, d), T, B, DIMS))
+    bits = vectors.unpack_bits(F.col("h"), B)
+    return t.select("id", "tbl", "h", F.aggregate(bits, F.lit(0), lambda a, b: a + b).cast("long").alias("ones"), (vectors.pack_bits(bits) == F.col("h")).alias("same"))
+
+
+@query("hash_match_counts", f"WITH {H}, {M} SELECT qid, id, n_match FROM m")
+def _(spark, d):
+    h = _hashed(spark, d)
+    return lsh.match_counts(h.xt, h.qt)
+
+
+@query("hash_candidates", f"WITH {H}, {M} SELECT qid, id, n_match FROM m WHERE n_match >= {LEAST}")
+def _(spark, d):
+    return _hashed(spark, d).matches(LEAST)
+
+
+@query("hash_hamming_candidates", f"WITH {H} SELECT q.id AS qid, y.id, count(*) AS n_match FROM h q JOIN h y USING (tbl) WHERE q.id % 50 = 0 AND bit_count(xor(q.h, y.h)) <= 1 GROUP BY q.id, y.id HAVING count(*) >= 10")
+def _(spark, d):
+    h = _hashed(spark, d)
+    return lsh.hamming_candidates(h.xt, h.qt, B, 1, 10)
+
+
+@query("hash_knn", f"WITH {H}, {M}, s AS (SELECT qid, id, n_match AS score FROM m) {top('s')}")
+def _(spark, d):
+    h = _hashed(spark, d)
+    return lsh.hash_knn(h.xt, h.qt, K)
+
+
+@query("hash_inverted_index_stats", f"WITH {H} SELECT tbl, count(*) AS n_buckets, CAST(sum(n) AS BIGINT) AS n_items, max(n) AS largest FROM (SELECT tbl, h, count(*) AS n FROM h GROUP BY ALL) GROUP BY tbl")
+def _(spark, d):
+    return lsh.index_stats(lsh.tables(lsh.hashes(dense(spark, d), T, B, DIMS)))
+
+
+@query("pool_hash_neighbours", f"WITH {H}, {M}, {E} SELECT qid, id, n_match FROM m JOIN e ON m.id = e.item WHERE pool = 7")
+def _(spark, d):
+    h = _hashed(spark, d)
+    return lsh.pool_neighbours(h.xt, h.qt, grouptest.pooling(h.x, POOLS), 7, 1)
+
+
+# -- group testing -------------------------------------------------------------------------------------------------
+
+
+def _items(spark, d):
+    return _emb(spark, d).select(F.col("vec_id").alias("id"))
+
+
+@query("pool_assignment", f"WITH {E} SELECT pool, item FROM e")
+def _(spark, d):
+    return grouptest.pooling(_items(spark, d), POOLS)
+
+
+@query("balanced_pools", f"SELECT j * {POOLS // 3} + (vec_id + j * (vec_id // {POOLS // 3})) % {POOLS // 3} AS pool, count(*) AS n FROM embeddings, range(0, 3) r(j) GROUP BY ALL")
+def _(spark, d):
+    return grouptest.balanced(_items(spark, d), POOLS).groupBy("pool").agg(F.count("*").alias("n"))
+
+
+def _positive(spark, d):
+    h = _hashed(spark, d)
+    edges = grouptest.pooling(h.x, POOLS)
+    return edges, lsh.positive_pools(h.matches(LEAST + 3), edges)
+
+
+PP6 = PP.replace(f">= {LEAST}", f">= {LEAST + 3}")
+
+
+@query("positive_pools", f"WITH {H}, {M}, {E}, {PP6} SELECT qid, pool FROM pp")
+def _(spark, d):
+    return _positive(spark, d)[1]
+
+
+@query("comp_elimination", f"WITH {H}, {M}, {E}, {PP6}, {EL} SELECT qid, item FROM el")
+def _(spark, d):
+    return grouptest.eliminate(*_positive(spark, d))
+
+
+def _peel_sql(rounds):
+    parts, pools_, left, found = [], "pp", "el", []
+    for n in range(rounds):
+        parts += [
+            f"g{n} AS (SELECT DISTINCT qid, item FROM (SELECT qid, pool, count(*) AS n, min(item) AS item FROM {pools_} JOIN e USING (pool) JOIN {left} USING (qid, item) GROUP BY qid, pool) WHERE n = 1)",
+            f"l{n} AS (SELECT qid, item FROM {left} ANTI JOIN g{n} USING (qid, item))",
+            f"q{n} AS (SELECT qid, pool FROM {pools_} ANTI JOIN (SELECT DISTINCT qid, pool FROM g{n} JOIN e USING (item)) z USING (qid, pool))",
+        ]
+        found.append(f"SELECT qid, item FROM g{n}")
+        pools_, left = f"q{n}", f"l{n}"
+    return ", ".join(parts) + " " + " UNION ALL ".join(found)
+
+
+@query("comp_peel", f"WITH {H}, {M}, {E}, {PP6}, {EL}, {_peel_sql(2)}")
+def _(spark, d):
+    return grouptest.peel(*_positive(spark, d), rounds=2)
+
+
+@query("or_signature", "SELECT vec_id AS id, array_to_string([(vec_id >> b) & 1 for b in range(0, 9)] || [1 - ((vec_id >> b) & 1) for b in range(0, 9)] || [(vec_id >> b) & 1 for b in range(9, 18)] || [1 - ((vec_id >> b) & 1) for b in range(9, 18)] || [xor((vec_id >> b) & 1, (vec_id >> (b + 9)) & 1) for b in range(0, 9)] || [1 - xor((vec_id >> b) & 1, (vec_id >> (b + 9)) & 1) for b in range(0, 9)], '') AS sig FROM embeddings")
+def _(spark, d):
+    return _items(spark, d).select("id", F.array_join(F.transform(signatures.or_signature(F.col("id"), 9), lambda x: x.cast("string")), "").alias("sig"))
+
+
+@query("tu_pool_intersection", f"WITH {E}, t AS (SELECT item, pool, unnest(range(0, 54)) AS t FROM e), b AS (SELECT item, pool, t, CASE t // 9 WHEN 0 THEN (item >> (t % 9)) & 1 WHEN 1 THEN 1 - ((item >> (t % 9)) & 1) WHEN 2 THEN (item >> (t % 9 + 9)) & 1 WHEN 3 THEN 1 - ((item >> (t % 9 + 9)) & 1) WHEN 4 THEN xor((item >> (t % 9)) & 1, (item >> (t % 9 + 9)) & 1) ELSE 1 - xor((item >> (t % 9)) & 1, (item >> (t % 9 + 9)) & 1) END AS one FROM t) SELECT pool * 54 + t AS pool, item FROM b WHERE one = 1")
+def _(spark, d):
+    return grouptest.bucket_tests(grouptest.pooling(_items(spark, d), POOLS), 9)
+
+
+@query("xor_signature", f"SELECT vec_id AS id, array_to_string({_sig('vec_id')}, '') AS sig FROM embeddings")
+def _(spark, d):
+    return _items(spark, d).select("id", F.array_join(F.transform(signatures.xor_signature(F.col("id"), BITS), lambda x: x.cast("string")), "").alias("sig"))
+
+
+def _planted(spark, d):
+    """Each asking row plants the six rows that follow it, circularly."""
+    x = _items(spark, d)
+    n = x.agg(F.count("*").alias("n"))
+    q = x.where("id % 50 = 0").join(F.broadcast(n))  # one row
+    return q.select(F.col("id").alias("qid"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: (F.col("id") * 7 + k * k * 13 + k) % F.col("n"))).alias("item")).distinct()
+
+
+MEM = "mem AS (SELECT DISTINCT vec_id AS qid, (vec_id * 7 + k * k * 13 + k) % (SELECT count(*) FROM embeddings) AS item FROM embeddings, range(0, 6) r(k) WHERE vec_id % 50 = 0)"
+RES = f"{E}, {MEM}, sg AS (SELECT qid, pool, {_sig('item')} AS sig FROM mem JOIN e USING (item)), un AS (SELECT qid, pool, unnest(sig) AS one, unnest(range(0, {SIG_LEN})) AS pos FROM sg), res AS (SELECT qid, pool, pos, CAST(sum(one) % 2 AS BIGINT) AS bit FROM un GROUP BY ALL)"
+
+
+@query("xor_residuals", f"WITH {RES} SELECT qid, pool, pos, bit FROM res")
+def _(spark, d):
+    r = grouptest.xor_residuals(_planted(spark, d), grouptest.pooling(_items(spark, d), POOLS), BITS)
+    return r.select("qid", "pool", F.posexplode("sig").alias("pos", "bit")).select("qid", "pool", F.col("pos").cast("long").alias("pos"), F.col("bit").cast("long").alias("bit"))
+
+
+def _res(spark, d):
+    edges = grouptest.pooling(_items(spark, d), POOLS)
+    return grouptest.xor_residuals(_planted(spark, d), edges, BITS), edges
+
+
+_CNT = f"WITH {E}, {MEM}, c AS (SELECT qid, pool, count(*) AS n, min(item) AS lo, max(item) AS hi FROM mem JOIN e USING (item) GROUP BY qid, pool)"
+
+
+@query("singleton_decode", f"{_CNT} SELECT qid, pool, lo AS item FROM c WHERE n = 1")
+def _(spark, d):
+    return grouptest.decode_singletons(_res(spark, d)[0], BITS)
+
+
+@query("doubleton_decode", f"{_CNT} SELECT qid, pool, lo AS first, hi AS second FROM c WHERE n = 2 AND ((lo >> 7) & 1 <> (hi >> 7) & 1 OR (lo >> 13) & 1 <> (hi >> 13) & 1)")
+def _(spark, d):
+    return grouptest.decode_pairs(_res(spark, d)[0], BITS)
+
+
+@query("xor_peel", f"WITH {MEM} SELECT qid, item FROM mem")
+def _(spark, d):
+    return grouptest.xor_peel(*_res(spark, d), BITS)
+
+
+@query("or_saffron")
+def _(spark, d):
+    shape = grouptest.saffron_shape(1 << 18, 16)
+    edges = grouptest.pooling(_items(spark, d), shape["buckets"] // 4 * 4, 4)
+    return grouptest.or_solve(grouptest.or_outcomes(_planted(spark, d), edges, shape["bits"]), edges, shape["bits"])
+
+
+@query("omp_recover")
+def _(spark, d):
+    edges = grouptest.pooling(_items(spark, d), POOLS)
+    return grouptest.recover_omp(edges, grouptest.outcomes(_planted(spark, d), edges))
+
+
+@query("lsq_recover")
+def _(spark, d):
+    edges = grouptest.pooling(_items(spark, d), POOLS)
+    return grouptest.recover_lsq(edges, grouptest.outcomes(_planted(spark, d), edges))
+
+
+# -- pipelines -----------------------------------------------------------------------------------------------------
+
+@query("ann_lsh_comp", f"WITH {H}, {M}, {E}, {PP6}, {EL}, c AS (SELECT el.qid, el.item AS id, coalesce(n_match, 0) AS score FROM el LEFT JOIN m ON m.qid = el.qid AND m.id = el.item UNION ALL SELECT qid, id, n_match FROM m WHERE qid NOT IN (SELECT qid FROM el)) {top('c')}")
+def _(spark, d):
+    return ann.by_elimination(_hashed(spark, d), POOLS, K, LEAST + 3, "eliminate")
+
+
+@query("ann_lsh_peel")
+def _(spark, d):
+    return ann.by_elimination(_hashed(spark, d), POOLS, K, LEAST + 3, "peel", rounds=3)
+
+
+@query("ann_lsh_xor")
+def _(spark, d):
+    return ann.by_xor(_hashed(spark, d), 10 * POOLS, BITS, K, LEAST + 4)
+
+
+@query("ann_saffron_index")
+def _(spark, d):
+    return ann.by_pool_hash(*_dense(spark, d), DIMS, 5 * POOLS, BITS, K, word=8)
+
+
+@query("ann_bloom_xor")
+def _(spark, d):
+    return ann.by_bloom_bits(_hashed(spark, d), 10 * POOLS, BITS, K, LEAST + 4)
+
+
+@query("ann_or_saffron")
+def _(spark, d):
+    return ann.by_saffron(_hashed(spark, d), 16, 1 << 18, K, LEAST + 4)
+
+
+# -- evaluation ----------------------------------------------------------------------------------------------------
+
+
+def _found_true(spark, d):
+    h = _hashed(spark, d)
+    return exact.rerank(h.matches(LEAST), h.x, h.q, K), exact.knn(h.x, h.q, K)
+
+
+FT = f"{H}, {M}, {S}, fc AS (SELECT s.qid, s.id, s.score FROM s JOIN m USING (qid, id) WHERE n_match >= {LEAST}), f AS ({top('fc')}), r AS ({top('s')})"
+
+
+@query("verify_knn", f"WITH {FT}, k AS (SELECT qid, min(score) AS kth, count(*) AS n_true FROM r GROUP BY qid), c AS (SELECT qid, count(*) AS n FROM f JOIN k USING (qid) WHERE score >= kth GROUP BY qid) SELECT qid, least(coalesce(n, 0), n_true, {K}) AS n_good, least(n_true, {K}) AS n_true, round(least(coalesce(n, 0), n_true, {K}) * 1.0 / least(n_true, {K}), 6) AS recall FROM k LEFT JOIN c USING (qid)")
+def _(spark, d):
+    return metrics.verify_knn(*_found_true(spark, d), K)
+
+
+@query("verify_threshold", f"WITH {H}, {M}, {S}, f AS (SELECT s.qid, s.id FROM s JOIN m USING (qid, id) WHERE n_match >= {LEAST}), r AS (SELECT qid, id FROM s WHERE score >= {1 << 38}), j AS (SELECT coalesce(f.qid, r.qid) AS qid, f.id IS NOT NULL AS a, r.id IS NOT NULL AS b FROM f FULL JOIN r ON f.qid = r.qid AND f.id = r.id), c AS (SELECT qid, count(*) FILTER (a AND b) AS n_both, count(*) FILTER (a) AS n_found, count(*) FILTER (b) AS n_true FROM j GROUP BY qid) SELECT *, round(CASE WHEN n_found = 0 THEN 1.0 ELSE n_both * 1.0 / n_found END, 6) AS precision, round(CASE WHEN n_true = 0 THEN 1.0 ELSE n_both * 1.0 / n_true END, 6) AS recall FROM c")
+def _(spark, d):
+    h = _hashed(spark, d)
+    return metrics.verify_sets(h.matches(LEAST), exact.threshold(h.x, h.q, 1 << 38))
+
+
+@query("recall_by_score", f"WITH {FT}, a AS (SELECT qid, score, count(*) AS a FROM f GROUP BY ALL), b AS (SELECT qid, score, count(*) AS b FROM r GROUP BY ALL), c AS (SELECT qid, CAST(sum(least(b, coalesce(a, 0))) AS BIGINT) AS n_match, CAST(sum(b) AS BIGINT) AS n_true FROM b LEFT JOIN a USING (qid, score) GROUP BY qid) SELECT *, round(n_match * 1.0 / n_true, 6) AS recall FROM c")
+def _(spark, d):
+    return metrics.recall_by_score(*_found_true(spark, d))
+
+
+@query("match_rate", f"WITH {XA}, {S}, r AS ({top('s')}) SELECT count(DISTINCT qid) AS n_queries, count(DISTINCT qid) AS n_equal, 1.0::DOUBLE AS rate FROM r")
+def _(spark, d):
+    x = dense_abs(spark, d)
+    long = to_long(x)
+    return metrics.match_rate(exact.knn(x, asking(x), K), pruned.reordered_knn(long, sparse_queries(long), K, pools.reorder(x)))
+
+
+@query("quality_report")
+def _(spark, d):
+    h = _hashed(spark, d)
+    found = ann.by_elimination(h, POOLS, K, LEAST + 3, "eliminate")
+    return metrics.quality(found, lsh.hash_knn(h.xt, h.qt, K), exact.knn(h.x, h.q, K))
+
+
+@query("incremental_pool_sums", f"WITH {XA}, {XL} SELECT id // 32 AS pool, dim, CAST(sum(val) AS BIGINT) AS val FROM l WHERE val <> 0 GROUP BY ALL")
+def _(spark, d):
+    x = to_long(dense_abs(spark, d))
+    n = x.agg((F.max("id") + 1).alias("n"))
+    phase = F.when(F.col("id") < F.col("n") * 0.6, 0).when(F.col("id") < F.col("n") * 0.61, 1).otherwise(2)
+    dealt = x.join(F.broadcast(n)).withColumn("phase", phase)
+    merged = None
+    for k in range(3):
+        part = pools.leaf_sums(dealt.where(F.col("phase") == k), 32)
+        merged = part if merged is None else pools.merge_sums(merged, part, ["pool", "dim"])
+    return merged
+
+
+@query("stream_append_pools", f"WITH {XA}, {XL}, v AS (SELECT unnest(range(0, 6)) AS level) SELECT id // 32 AS tree, level, (1::BIGINT << level) + ((id % 32) >> (5 - level)) AS node, dim, CAST(sum(val) AS BIGINT) AS val FROM l, v WHERE val <> 0 GROUP BY ALL")
+def _(spark, d):
+    from vecgrove.streaming import append
+
+    return append.followed(spark, f"{d}/embeddings.parquet", lambda df: to_long(df.select(F.col("vec_id").alias("id"), quantised(F.transform("embedding", lambda x: F.abs(x))).alias("v"))), 5).sums()
+
+
+@query("stream_append_knn", f"WITH {XA}, {S} {top('s')}")
+def _(spark, d):
+    from vecgrove.streaming import append
+
+    rows = append.followed(spark, f"{d}/embeddings.parquet", lambda df: to_long(df.select(F.col("vec_id").alias("id"), quantised(F.transform("embedding", lambda x: F.abs(x))).alias("v"))), 5).rows()
+    return pruned.knn(rows, sparse_queries(rows), K)
