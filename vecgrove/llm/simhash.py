@@ -236,12 +236,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One whole row of each near-duplicate group: that with the smallest doc_id (null last), then the smallest row number."""
-    names = docs.columns
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    saved = common.cut(fingerprints(numbered, shingle, keep=[*names, "__row"]), "numbered")
-    tagged = saved.select("doc_id", "fp", "__row")
-    points = common.cut(tagged.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row")).alias("best")), "points")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")  # apart from the names used here
+    numbered = docs.select(whole, F.monotonically_increasing_id().alias("row"))
+    saved = common.cut(fingerprints(numbered, shingle, text="doc.text", keep=["doc", "row"]), "numbered")
+    tagged = saved.select("doc.doc_id", "fp", "row")
+    points = common.cut(tagged.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("best")), "points")
     parts = graph.components(links(points.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = points.join(parts, "fp", "left").select("best", F.coalesce("root", "fp").alias("root"))
-    winners = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__row"))
-    return saved.join(winners, "__row", "left_semi").select(*names)
+    winners = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.row")
+    return saved.join(winners, "row", "left_semi").select("doc.*")
