@@ -288,6 +288,7 @@ def main_text(pages: DataFrame, run: int = RUN, min_pages: int = PAGES, shard_pa
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], names=["page", "open_text"])
 
     found = common.map_arrow(rest, strip, "page long, open_text string")
-    whole = saved.select("page_id", "url", "text", "has_article", "page").join(found, "page", "left")
-    text = F.when(F.col("has_article"), F.col("text")).otherwise(F.coalesce("open_text", F.lit("")))
-    return whole.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), "has_article")
+    marked = saved.where("has_article").select("page_id", "url", "text", "has_article")
+    plain = saved.where(~F.col("has_article")).select("page_id", "url", "has_article", "page").join(found, "page", "left")
+    texts = marked.unionByName(plain.select("page_id", "url", F.coalesce("open_text", F.lit("")).alias("text"), "has_article"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "has_article")
