@@ -69,6 +69,13 @@ def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def slices(batches, rows: int = 1000):
+    """The same rows in batches of at most ``rows``: bounds what a worker holds as Python objects."""
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+
+
 def share(spark: SparkSession, value):
     """Broadcast a value whose size its caller bounds."""
     ship(spark)

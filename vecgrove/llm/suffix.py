@@ -28,7 +28,7 @@ from vecgrove.llm import common
 
 LENGTH = 400
 GRAM = 128
-GROUP = 4096
+GROUP = 512
 _CHUNK = 1 << 20
 _POS = np.uint64(_CHUNK - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -119,7 +119,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     spark = texts.sparkSession
 
     def first(batches):
-        for b in batches:
+        for b in common.slices(batches):
             cols: list[list[np.ndarray]] = [[] for _ in range(5)]
             for key, t in zip(b.column(0).to_pylist(), b.column(1)):
                 data = (t.as_py() or "").encode("utf-8", "surrogatepass")
@@ -159,7 +159,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     own = common.map_arrow(texts, asked_only, "key long, text string").join(wanted, "key").select("key", "text", "asked")
 
     def windows(batches):
-        for b in batches:
+        for b in common.slices(batches):
             out: list[list] = [[] for _ in range(5)]
             for key, t, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 s = Bytes(t.as_py().encode("utf-8", "surrogatepass"))
@@ -257,7 +257,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     extra = ", kept binary" if keep_text else ""
 
     def route(batches):
-        for b in batches:
+        for b in common.slices(batches):
             size, sha, text = [], [], []
             maybe = common.in_bitmap(places.value, b.column(0).to_numpy(zero_copy_only=False))
             for t, m in zip(b.column(2), maybe.tolist()):
@@ -271,7 +271,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     met = routed.join(by_key, "key", "left").select("doc_id", "n_bytes", "sha", "data", "spans")
 
     def remove(batches):
-        for b in batches:
+        for b in common.slices(batches):
             gone, n, sha, kept = [], [], [], []
             for old, data, found in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 runs = merge([(x["start"], x["end"]) for x in found]) if found else []
