@@ -41,7 +41,11 @@ def asking(x):
 
 
 def grams(spark, d):
-    return text.ngram_counts(spark.read.parquet(f"{d}/documents.parquet"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a table of few files would leave most cores idle; a large one never moves its texts
+        docs = docs.repartition(cores)
+    return text.ngram_counts(docs)
 
 
 def sparse_queries(x):
