@@ -1,14 +1,19 @@
 """Main text of web pages: block structure, and a suffix array over each host's pages.
 
 A page is cut into blocks. Blocks inside elements that are never main text (navigation, footers, asides, forms, scripts,
-adverts, notices, comments, ...) go. If the page marks its article, the article's other blocks are its text, as they are:
-copies of an article on several pages are no boilerplate. Otherwise the blocks in the open decide by repetition: token
-streams of what stands outside articles are concatenated by host, and a suffix array, refined by prefix doubling up to
-``run`` tokens, finds every run that distinct pages share; covered tokens go and unique runs stay.
+adverts, notices, comments, ...) go. Token streams of what stands outside articles are concatenated by host, and a suffix
+array, refined by prefix doubling up to ``run`` tokens, finds every run that distinct pages share. That evidence decides
+about every page's other blocks:
+
+* On a page that marks no article, tokens that repeated runs cover go and unique runs stay.
+* In a marked article a run is boilerplate if it stands outside the articles of ``min_pages`` pages and inside two articles
+  of different text; a block that such runs cover whole goes. So copies of an article are no boilerplate, nor are headlines
+  and openings that other pages show as teasers, but a notice pasted into many articles is.
 
 Hosts of any size work: a host's pages are dealt into shards of about ``shard_pages`` pages, each builds its own array and
-emits its runs with page counts, and counts of equal runs add up over shards. So the evidence is of all pages, no task
-holds a host, and only tokens outside articles are shuffled.
+emits its runs with page counts, and counts of equal runs add up over shards. So the evidence is of all pages and no task
+holds a host. Articles' runs meet the evidence in a bitmap of fixed size first and in an exact join then, so only tokens
+outside articles, runs that the bitmap lets through, and pages that lose something are shuffled.
 """
 
 from __future__ import annotations
@@ -42,6 +47,7 @@ BLOCKS = frozenset(
     "blockquote pre figure figcaption address hr br body html form fieldset details summary center title".split()
 )
 WHOLE = frozenset("article main".split())
+SILENT = RAW | {"head"}  # no reader sees these, so their text is no evidence
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[A-Za-z/!][^<>]*\Z""", re.S)
@@ -80,7 +86,8 @@ def parse(page: str | None) -> tuple[list[str], list[str], list[str], bool]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                (dropped if skip else inside if article else opened).append(text)
+                if skip not in SILENT:
+                    (dropped if skip else inside if article else opened).append(text)
 
     while True:
         if raw:  # on to its end tag, whatever stands before
@@ -169,45 +176,54 @@ def truncated_suffix_array(stream: np.ndarray, run: int = RUN) -> tuple[np.ndarr
     return np.argsort(rank, kind="stable"), rank
 
 
-def shared_runs(pages: list[list[np.ndarray]], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the runs in the pages' blocks, and the number of distinct pages with each."""
-    stream, owner, key = [], [], []
-    for p, blocks in enumerate(pages):
-        for b in blocks:
-            mark = -1 - len(stream)  # a separator of its own: no run crosses blocks
-            stream.append(np.append(b, mark))
-            owner.append(np.full(len(b) + 1, p))
-            k = np.zeros(len(b) + 1, np.int64)
-            found = run_keys(b, run)
-            k[: len(found)] = found
-            key.append(k)
+def shared_runs(pages: list[tuple[list[np.ndarray], list[np.ndarray]]], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the runs in the pages' blocks, and the numbers of distinct pages with each: anywhere, and in dropped blocks.
+
+    A page is a pair: its blocks in the open, and those of dropped elements.
+    """
+    stream, owner, key, gone = [], [], [], []
+    for p, kinds in enumerate(pages):
+        for kind, blocks in enumerate(kinds):
+            for b in blocks:
+                mark = -1 - len(stream)  # a separator of its own: no run crosses blocks
+                stream.append(np.append(b, mark))
+                owner.append(np.full(len(b) + 1, p))
+                gone.append(np.full(len(b) + 1, kind))
+                k = np.zeros(len(b) + 1, np.int64)
+                found = run_keys(b, run)
+                k[: len(found)] = found
+                key.append(k)
+    none = np.zeros(0, np.int64)
     if not stream:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none, none
     sizes = np.concatenate([np.arange(len(s) - 1, -1, -1) for s in stream])  # tokens left in the block
-    stream, owner, key = (np.concatenate(x) for x in (stream, owner, key))
+    stream, owner, key, gone = (np.concatenate(x) for x in (stream, owner, key, gone))
     order, rank = truncated_suffix_array(stream, run)
     order = order[sizes[order] >= run]
     if not len(order):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # in suffix order, each class is a stretch; count its distinct pages
-    by = np.lexsort((owner[order], rank[order]))
-    r, o = rank[order][by], owner[order][by]
-    new = np.concatenate(([True], (r[1:] != r[:-1]) | (o[1:] != o[:-1])))
+        return none, none, none
+    # in suffix order, each class is a stretch; count its distinct pages (of a page's places, dropped ones come first)
+    order = order[np.lexsort((-gone[order], owner[order], rank[order]))]
+    r, o = rank[order], owner[order]
     first = np.concatenate(([True], r[1:] != r[:-1]))
+    new = first | np.concatenate(([True], o[1:] != o[:-1]))
     starts = np.flatnonzero(first)
-    return key[order][by][starts], np.add.reduceat(new.astype(np.int64), starts)
+    return key[order][starts], np.add.reduceat(new.astype(np.int64), starts), np.add.reduceat((new & (gone[order] == 1)).astype(np.int64), starts)
 
 
-def unique_runs(block: str, repeated: np.ndarray, run: int = RUN) -> str:
-    """The block without the tokens that repeated runs cover."""
-    ws = block.split()
-    keys = run_keys(tokens(block), run)
-    hit = np.isin(keys, repeated)
-    cover = np.zeros(len(ws) + 1, np.int64)
-    at = np.flatnonzero(hit)
+def covered_tokens(block: str, repeated: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Which of the block's tokens stand inside one of the repeated runs."""
+    n = len(block.split())
+    at = np.flatnonzero(np.isin(run_keys(tokens(block), run), repeated))
+    cover = np.zeros(n + 1, np.int64)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + run, -1)
-    return " ".join(w for w, c in zip(ws, np.cumsum(cover)) if not c)
+    return np.cumsum(cover)[:n] > 0
+
+
+def unique_runs(block: str, repeated: np.ndarray, run: int = RUN) -> str:
+    """The block without the tokens that repeated runs cover."""
+    return " ".join(w for w, c in zip(block.split(), covered_tokens(block, repeated, run)) if not c)
 
 
 def main_text(pages: DataFrame, run: int = RUN, min_pages: int = PAGES, shard_pages: int = SHARD_PAGES) -> DataFrame:
@@ -216,79 +232,98 @@ def main_text(pages: DataFrame, run: int = RUN, min_pages: int = PAGES, shard_pa
     A null or empty html, or one without main text, has an empty text. A null url is a host of its own. Repeated rows are
     distinct pages. Very long pages are read whole; an empty table gives an empty result. Other columns are ignored.
     """
+    spark = pages.sparkSession
     source = pages.select("page_id", "url", "html")
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
+    texts = pa.list_(pa.string())
 
     def cut(batches):
         for b in batches:
-            text, opened, other, has = [], [], [], []
+            blocks, other, has = [], [], []
             for t in b.column(2):
                 inside, free, gone, article = parse(t.as_py())
-                text.append("\n".join(inside))
-                opened.append([] if article else free)
+                blocks.append(inside if article else free)
                 other.append(gone + free if article else gone)
                 has.append(article)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(opened, pa.list_(pa.string())), pa.array(other, pa.list_(pa.string())), pa.array(has, pa.bool_())],
-                names=["page_id", "url", "text", "opened", "other", "has_article"],
+                [b.column(0), b.column(1), pa.array(blocks, texts), pa.array(other, texts), pa.array(has, pa.bool_())],
+                names=["page_id", "url", "blocks", "other", "has_article"],
             )
 
-    parsed = common.map_arrow(source, cut, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, opened array<string>, other array<string>, has_article boolean")
+    parsed = common.map_arrow(source, cut, f"page_id {kinds['page_id']}, url {kinds['url']}, blocks array<string>, other array<string>, has_article boolean")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    saved = common.cut(parsed.withColumns({"host": host, "page": F.monotonically_increasing_id()}), "pages")
+    saved = common.cut(parsed.withColumns({"host": host, "page": F.xxhash64(F.monotonically_increasing_id())}), "pages")
 
-    streams = saved.select("host", "page", F.concat("opened", "other").alias("blocks")).where(F.size("blocks") > 0)
+    opened = F.when(F.col("has_article"), F.array().cast("array<string>")).otherwise(F.col("blocks"))
+    streams = saved.select("host", "page", opened.alias("opened"), "other").where((F.size("opened") > 0) | (F.size("other") > 0))
     sizes = saved.groupBy("host").agg(F.ceil(F.count("*") / shard_pages).cast("int").alias("shards"))
-    dealt = streams.join(sizes, "host").withColumn("salt", F.pmod(F.xxhash64("page"), F.col("shards"))).select("host", "salt", "blocks")
+    dealt = streams.join(sizes, "host").withColumn("salt", F.pmod("page", F.col("shards"))).select("host", "salt", "opened", "other")
     dealt = dealt.repartition("host", "salt").sortWithinPartitions("host", "salt")
 
     def index(batches):
         key, held = None, []
         for b in batches:
-            hosts, salts, blocks = (b.column(k).to_pylist() for k in range(3))
-            for h, s, x in zip(hosts, salts, blocks):
+            for h, s, *both in zip(*(b.column(k).to_pylist() for k in range(4))):
                 if (h, s) != key:
                     if held:
                         yield emit(key[0], held)
                     key, held = (h, s), []
-                held.append([tokens(t) for t in x])
+                held.append(tuple([tokens(t) for t in blocks] for blocks in both))
         if held:
             yield emit(key[0], held)
 
     def emit(host, held):
-        keys, n = shared_runs(held, run)
-        return pa.RecordBatch.from_arrays([pa.array([host] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["host", "run", "pages"])
+        keys, n, dropped = shared_runs(held, run)
+        return pa.RecordBatch.from_arrays([pa.array([host] * len(keys), pa.string()), pa.array(keys), pa.array(n), pa.array(dropped)], names=["host", "run", "pages", "dropped"])
 
-    runs = common.map_arrow(dealt, index, "host string, run long, pages long")
-    repeated = runs.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages).select("host", "run")
-
-    # only pages without an article, and with blocks in the open, ask for their host's repeated runs
-    asking = saved.where(~F.col("has_article") & (F.size("opened") > 0)).select("page", "host", "opened")
+    runs = common.map_arrow(dealt, index, "host string, run long, pages long, dropped long")
+    counts = runs.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.sum("dropped").alias("dropped"))
+    repeated = common.cut(counts.where(F.col("pages") >= min_pages), "repeated-runs")
+    known = common.share(spark, common.bitmap(repeated.select(F.col("run").alias("key"))))
 
     def own(batches):
-        for b in batches:
-            pages_, hosts, keys = [], [], []
-            for p, h, blocks in zip(*(b.column(k).to_pylist() for k in range(3))):
-                for k in set(np.concatenate([run_keys(tokens(t), run) for t in blocks]).tolist()):
-                    pages_.append(p)
-                    hosts.append(h)
-                    keys.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(pages_, pa.int64()), pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], names=["page", "host", "run"])
-
-    asked = common.map_arrow(asking, own, "page long, host string, run long").join(repeated, ["host", "run"])
-    covered = asked.groupBy("page").agg(F.collect_list("run").alias("runs"))  # a page's own runs: bounded by its length
-    rest = asking.select("page", "opened").join(covered, "page", "left")
+        for b in common.slices(batches):
+            out: list[list] = [[], [], [], []]
+            for page, h, blocks, article in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if not blocks:
+                    continue
+                keys = np.unique(np.concatenate([run_keys(tokens(t), run) for t in blocks]))
+                keys = keys[common.in_bitmap(known.value, keys)]
+                for column, value in zip(out, ([page] * len(keys), [h] * len(keys), keys.tolist(), [article] * len(keys))):
+                    column.extend(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), *(pa.array(c, pa.int64()) for c in out[2:])], names=["page", "host", "run", "article"])
+
+    article = F.when(F.col("has_article"), F.xxhash64("blocks"))
+    asked = common.cut(common.map_arrow(saved.select("page", "host", "blocks", article.alias("article")), own, "page long, host string, run long, article long"), "asked-runs")
+    spread = asked.where("article IS NOT NULL").groupBy("host", "run").agg((F.min("article") != F.max("article")).alias("spread"))
+    found = repeated.join(spread, ["host", "run"], "left").select("host", "run", (F.coalesce("spread", F.lit(False)) & (F.col("dropped") >= min_pages)).alias("pasted"))
+    gone = asked.join(found, ["host", "run"]).where("article IS NULL OR pasted")
+    covered = common.cut(gone.groupBy("page").agg(F.collect_list("run").alias("runs")), "covered-pages")  # a page's own runs: bounded by its length
+
+    # pages that surely lose nothing pass as they are; the others meet their runs
+    losing = common.share(spark, common.bitmap(covered.select(F.col("page").alias("key"))))
+
+    def split(lose):
+        def rows(batches):
+            for b in batches:
+                yield b.filter(pa.array(common.in_bitmap(losing.value, b.column(0).to_numpy()) == lose))
+
+        return common.map_arrow(saved.select("page", "page_id", "url", "blocks", "has_article"), rows, f"page long, page_id {kinds['page_id']}, url {kinds['url']}, blocks array<string>, has_article boolean")
 
     def strip(batches):
         for b in batches:
-            text = []
-            for blocks, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                left = [unique_runs(t, np.array(gone, np.int64), run) for t in blocks] if gone else blocks
-                text.append("\n".join(t for t in left if t))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], names=["page", "open_text"])
-
-    found = common.map_arrow(rest, strip, "page long, open_text string")
-    marked = saved.where("has_article").select("page_id", "url", "text", "has_article")
-    plain = saved.where(~F.col("has_article")).select("page_id", "url", "has_article", "page").join(found, "page", "left")
-    texts = marked.unionByName(plain.select("page_id", "url", F.coalesce("open_text", F.lit("")).alias("text"), "has_article"))
-    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "has_article")
+            left = []
+            for blocks, has, drop in zip(*(b.column(k).to_pylist() for k in (3, 4, 5))):
+                drop = np.array(drop or [], np.int64)
+                if has:
+                    kept = [t for t in blocks if not covered_tokens(t, drop, run).all()]
+                else:
+                    kept = [u for u in (unique_runs(t, drop, run) for t in blocks) if u]
+                left.append(kept)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(left, texts), b.column(4)], names=["page_id", "url", "blocks", "has_article"])
+
+    met = split(True).join(covered, "page", "left").select("page", "page_id", "url", "blocks", "has_article", "runs")
+    stripped = common.map_arrow(met, strip, f"page_id {kinds['page_id']}, url {kinds['url']}, blocks array<string>, has_article boolean")
+    text = F.array_join("blocks", "\n")
+    both = split(False).drop("page").unionByName(stripped).select("page_id", "url", text.alias("text"), "has_article")
+    return both.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "has_article")
