@@ -269,17 +269,14 @@ def test_neighbours_few_rows(spark):
 def test_suffix_array_classes_equal_brute_force():
     rng = np.random.default_rng(4)
     for run in (2, 3, 5, 8):
-        pages = [tuple([rng.integers(0, 3, int(rng.integers(0, 20))) for _ in range(int(rng.integers(0, 4)))] for _ in range(2)) for _ in range(12)]
-        keys, n, dropped = boilerplate.shared_runs(pages, run)
+        pages = [[rng.integers(0, 3, int(rng.integers(0, 20))) for _ in range(int(rng.integers(0, 4)))] for _ in range(12)]
+        keys, n = boilerplate.shared_runs(pages, run)
         want = {}
-        for p, kinds in enumerate(pages):
-            for kind, blocks in enumerate(kinds):
-                for b in blocks:
-                    for k in boilerplate.run_keys(b, run).tolist():
-                        want.setdefault(k, (set(), set()))[0].add(p)
-                        if kind:
-                            want[k][1].add(p)
-        assert dict(zip(keys.tolist(), zip(n.tolist(), dropped.tolist()))) == {k: (len(v), len(w)) for k, (v, w) in want.items()}
+        for p, blocks in enumerate(pages):
+            for b in blocks:
+                for k in boilerplate.run_keys(b, run).tolist():
+                    want.setdefault(k, set()).add(p)
+        assert dict(zip(keys.tolist(), n.tolist())) == {k: len(v) for k, v in want.items()}
 
 
 def test_page_structure():
@@ -309,25 +306,16 @@ def test_pages_by_host(spark, make):
     assert boilerplate.main_text(make([], kinds)).count() == 0
 
 
-def test_boilerplate_inside_articles(spark, make):
-    """A notice pasted into articles goes; headlines and openings that others tease, copies, and short or unique blocks stay."""
-    body = lambda k: f"body {k} has its own words, {k} of them, which no other page repeats"
-    head = lambda k: f"headline number {k} is of five words or more"
-    notice = "write to us for the rights to this text"
-    pages, want = [], []
-    for k in range(6):
-        page = f"<head><title>same title over all of the pages here</title></head><nav>{head(0)} {head(1)}</nav><aside><p>{head(0)}</p><p>{body(1)}</p></aside>"
-        page += f"<article><h1>{head(k)}</h1><p>same title over all of the pages here</p><p>{body(k)}</p><p>{notice}</p><p>{notice} in {k}</p><p>share</p></article><footer><p>{notice}</p><p>share</p></footer>"
-        pages.append((k, "https://h.org/x", page))
-        want.append((k, "\n".join([head(k), "same title over all of the pages here", body(k), f"{notice} in {k}", "share"])))
-    copy = f"<article><p>{body(9)}</p><p>{body(8)}</p></article><footer>{body(9)}</footer>"
-    pages += [(k, "https://c.org/", copy) for k in (20, 21, 22)]
-    want += [(k, body(9) + "\n" + body(8)) for k in (20, 21, 22)]
-    pages.append((30, "https://other.org/", f"<article><p>{notice}</p></article>"))
-    want.append((30, notice))
+def test_evidence_around_articles(spark, make):
+    """Marked articles keep lines that others share or show outside; the shared text around them is counted."""
+    line = "this line stands in many articles and around them"
+    pages = [(k, "https://h.org/x", f"<nav><p>{line}</p><p>only page {k} says this {k} here</p></nav><article><h1>{line}</h1><p>text {k}</p><p>{line}</p></article>") for k in range(4)]
+    pages += [(8, "https://other.org/", f"<nav>{line}</nav><article>{line}</article>"), (9, "https://h.org/y", f"<p>{line}</p><p>a text in the open of page nine</p>")]
+    n = len(line.split())
+    want = [(k, f"{line}\ntext {k}\n{line}", n) for k in range(4)] + [(8, line, 0), (9, "a text in the open of page nine", n)]
     for shard in (2, 4000):
         got = boilerplate.main_text(make(pages, "page_id long, url string, html string"), shard_pages=shard).collect()
-        assert sorted((r.page_id, r.text) for r in got) == want
+        assert sorted((r.page_id, r.text, r.n_repeated) for r in got) == want
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):

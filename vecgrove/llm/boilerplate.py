@@ -2,18 +2,17 @@
 
 A page is cut into blocks. Blocks inside elements that are never main text (navigation, footers, asides, forms, scripts,
 adverts, notices, comments, ...) go. Token streams of what stands outside articles are concatenated by host, and a suffix
-array, refined by prefix doubling up to ``run`` tokens, finds every run that distinct pages share. That evidence decides
-about every page's other blocks:
+array, refined by prefix doubling up to ``run`` tokens, finds every run that distinct pages share. Each page's text outside
+articles meets that evidence:
 
 * On a page that marks no article, tokens that repeated runs cover go and unique runs stay.
-* In a marked article a run is boilerplate if it stands outside the articles of ``min_pages`` pages and inside two articles
-  of different text; a block that such runs cover whole goes. So copies of an article are no boilerplate, nor are headlines
-  and openings that other pages show as teasers, but a notice pasted into many articles is.
+* A marked article is the text as it stands: copies of it on several pages, and lines that many articles share, are no
+  boilerplate. There the evidence only counts how much of the text around the article is repeated.
 
 Hosts of any size work: a host's pages are dealt into shards of about ``shard_pages`` pages, each builds its own array and
 emits its runs with page counts, and counts of equal runs add up over shards. So the evidence is of all pages and no task
-holds a host. Articles' runs meet the evidence in a bitmap of fixed size first and in an exact join then, so only tokens
-outside articles, runs that the bitmap lets through, and pages that lose something are shuffled.
+holds a host. Runs that ask for it meet a bitmap of fixed size first and an exact join then; pages without a repeated run
+are never shuffled.
 """
 
 from __future__ import annotations
@@ -102,10 +101,10 @@ def parse(page: str | None) -> tuple[list[str], list[str], list[str], bool]:
         at = m.end()
         if not m[2]:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        tag, crepeating = m[2].lower(), bool(m[1])
         if tag in BLOCKS or tag in DROPPED:
             flush()
-        if closing:
+        if crepeating:
             if skip:
                 if tag == skip:
                     depth -= 1
@@ -176,39 +175,34 @@ def truncated_suffix_array(stream: np.ndarray, run: int = RUN) -> tuple[np.ndarr
     return np.argsort(rank, kind="stable"), rank
 
 
-def shared_runs(pages: list[tuple[list[np.ndarray], list[np.ndarray]]], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the runs in the pages' blocks, and the numbers of distinct pages with each: anywhere, and in dropped blocks.
-
-    A page is a pair: its blocks in the open, and those of dropped elements.
-    """
-    stream, owner, key, gone = [], [], [], []
-    for p, kinds in enumerate(pages):
-        for kind, blocks in enumerate(kinds):
-            for b in blocks:
-                mark = -1 - len(stream)  # a separator of its own: no run crosses blocks
-                stream.append(np.append(b, mark))
-                owner.append(np.full(len(b) + 1, p))
-                gone.append(np.full(len(b) + 1, kind))
-                k = np.zeros(len(b) + 1, np.int64)
-                found = run_keys(b, run)
-                k[: len(found)] = found
-                key.append(k)
+def shared_runs(pages: list[list[np.ndarray]], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the runs in the pages' blocks, and the number of distinct pages with each."""
+    stream, owner, key = [], [], []
+    for p, blocks in enumerate(pages):
+        for b in blocks:
+            mark = -1 - len(stream)  # a separator of its own: no run crosses blocks
+            stream.append(np.append(b, mark))
+            owner.append(np.full(len(b) + 1, p))
+            k = np.zeros(len(b) + 1, np.int64)
+            found = run_keys(b, run)
+            k[: len(found)] = found
+            key.append(k)
     none = np.zeros(0, np.int64)
     if not stream:
-        return none, none, none
+        return none, none
     sizes = np.concatenate([np.arange(len(s) - 1, -1, -1) for s in stream])  # tokens left in the block
-    stream, owner, key, gone = (np.concatenate(x) for x in (stream, owner, key, gone))
+    stream, owner, key = (np.concatenate(x) for x in (stream, owner, key))
     order, rank = truncated_suffix_array(stream, run)
     order = order[sizes[order] >= run]
     if not len(order):
-        return none, none, none
-    # in suffix order, each class is a stretch; count its distinct pages (of a page's places, dropped ones come first)
-    order = order[np.lexsort((-gone[order], owner[order], rank[order]))]
+        return none, none
+    # in suffix order, each class is a stretch; count its distinct pages
+    order = order[np.lexsort((owner[order], rank[order]))]
     r, o = rank[order], owner[order]
     first = np.concatenate(([True], r[1:] != r[:-1]))
     new = first | np.concatenate(([True], o[1:] != o[:-1]))
     starts = np.flatnonzero(first)
-    return key[order][starts], np.add.reduceat(new.astype(np.int64), starts), np.add.reduceat((new & (gone[order] == 1)).astype(np.int64), starts)
+    return key[order][starts], np.add.reduceat(new.astype(np.int64), starts)
 
 
 def covered_tokens(block: str, repeated: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -227,8 +221,9 @@ def unique_runs(block: str, repeated: np.ndarray, run: int = RUN) -> str:
 
 
 def main_text(pages: DataFrame, run: int = RUN, min_pages: int = PAGES, shard_pages: int = SHARD_PAGES) -> DataFrame:
-    """page_id, url, text, n_chars, has_article of every page.
+    """page_id, url, text, n_chars, has_article, n_repeated of every page.
 
+    ``n_repeated`` counts the tokens outside the article that runs shared by ``min_pages`` pages of the host cover.
     A null or empty html, or one without main text, has an empty text. A null url is a host of its own. Repeated rows are
     distinct pages. Very long pages are read whole; an empty table gives an empty result. Other columns are ignored.
     """
@@ -254,76 +249,70 @@ def main_text(pages: DataFrame, run: int = RUN, min_pages: int = PAGES, shard_pa
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     saved = common.cut(parsed.withColumns({"host": host, "page": F.xxhash64(F.monotonically_increasing_id())}), "pages")
 
-    opened = F.when(F.col("has_article"), F.array().cast("array<string>")).otherwise(F.col("blocks"))
-    streams = saved.select("host", "page", opened.alias("opened"), "other").where((F.size("opened") > 0) | (F.size("other") > 0))
+    around = F.when(F.col("has_article"), F.col("other")).otherwise(F.concat("blocks", "other")).alias("around")
+    streams = saved.select("host", "page", around).where(F.size("around") > 0)
     sizes = saved.groupBy("host").agg(F.ceil(F.count("*") / shard_pages).cast("int").alias("shards"))
-    dealt = streams.join(sizes, "host").withColumn("salt", F.pmod("page", F.col("shards"))).select("host", "salt", "opened", "other")
+    dealt = streams.join(sizes, "host").withColumn("salt", F.pmod("page", F.col("shards"))).select("host", "salt", "around")
     dealt = dealt.repartition("host", "salt").sortWithinPartitions("host", "salt")
 
     def index(batches):
         key, held = None, []
         for b in batches:
-            for h, s, *both in zip(*(b.column(k).to_pylist() for k in range(4))):
+            for h, s, blocks in zip(*(b.column(k).to_pylist() for k in range(3))):
                 if (h, s) != key:
                     if held:
                         yield emit(key[0], held)
                     key, held = (h, s), []
-                held.append(tuple([tokens(t) for t in blocks] for blocks in both))
+                held.append([tokens(t) for t in blocks])
         if held:
             yield emit(key[0], held)
 
     def emit(host, held):
-        keys, n, dropped = shared_runs(held, run)
-        return pa.RecordBatch.from_arrays([pa.array([host] * len(keys), pa.string()), pa.array(keys), pa.array(n), pa.array(dropped)], names=["host", "run", "pages", "dropped"])
+        keys, n = shared_runs(held, run)
+        return pa.RecordBatch.from_arrays([pa.array([host] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["host", "run", "pages"])
 
-    runs = common.map_arrow(dealt, index, "host string, run long, pages long, dropped long")
-    counts = runs.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.sum("dropped").alias("dropped"))
-    repeated = common.cut(counts.where(F.col("pages") >= min_pages), "repeated-runs")
+    runs = common.map_arrow(dealt, index, "host string, run long, pages long")
+    counts = runs.groupBy("host", "run").agg(F.sum("pages").alias("pages"))
+    repeated = common.cut(counts.where(F.col("pages") >= min_pages).select("host", "run"), "repeated-runs")
     known = common.share(spark, common.bitmap(repeated.select(F.col("run").alias("key"))))
 
     def own(batches):
         for b in common.slices(batches):
-            out: list[list] = [[], [], [], []]
-            for page, h, blocks, article in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if not blocks:
-                    continue
+            out: list[list] = [[], [], []]
+            for page, h, blocks in zip(*(b.column(k).to_pylist() for k in range(3))):
                 keys = np.unique(np.concatenate([run_keys(tokens(t), run) for t in blocks]))
                 keys = keys[common.in_bitmap(known.value, keys)]
-                for column, value in zip(out, ([page] * len(keys), [h] * len(keys), keys.tolist(), [article] * len(keys))):
+                for column, value in zip(out, ([page] * len(keys), [h] * len(keys), keys.tolist())):
                     column.extend(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), *(pa.array(c, pa.int64()) for c in out[2:])], names=["page", "host", "run", "article"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["page", "host", "run"])
 
-    article = F.when(F.col("has_article"), F.xxhash64("blocks"))
-    asked = common.cut(common.map_arrow(saved.select("page", "host", "blocks", article.alias("article")), own, "page long, host string, run long, article long"), "asked-runs")
-    spread = asked.where("article IS NOT NULL").groupBy("host", "run").agg((F.min("article") != F.max("article")).alias("spread"))
-    found = repeated.join(spread, ["host", "run"], "left").select("host", "run", (F.coalesce("spread", F.lit(False)) & (F.col("dropped") >= min_pages)).alias("pasted"))
-    gone = asked.join(found, ["host", "run"]).where("article IS NULL OR pasted")
-    covered = common.cut(gone.groupBy("page").agg(F.collect_list("run").alias("runs")), "covered-pages")  # a page's own runs: bounded by its length
+    asked = common.map_arrow(streams.select("page", "host", "around"), own, "page long, host string, run long").join(repeated, ["host", "run"])
+    covered = common.cut(asked.groupBy("page").agg(F.collect_list("run").alias("runs")), "covered-pages")  # a page's own runs: bounded by its length
 
-    # pages that surely lose nothing pass as they are; the others meet their runs
-    losing = common.share(spark, common.bitmap(covered.select(F.col("page").alias("key"))))
+    # pages that surely have no repeated run pass as they are; the others meet their runs
+    repeating = common.share(spark, common.bitmap(covered.select(F.col("page").alias("key"))))
 
-    def split(lose):
+    def split(repeat):
         def rows(batches):
             for b in batches:
-                yield b.filter(pa.array(common.in_bitmap(losing.value, b.column(0).to_numpy()) == lose))
+                yield b.filter(pa.array(common.in_bitmap(repeating.value, b.column(0).to_numpy()) == repeat))
 
-        return common.map_arrow(saved.select("page", "page_id", "url", "blocks", "has_article"), rows, f"page long, page_id {kinds['page_id']}, url {kinds['url']}, blocks array<string>, has_article boolean")
+        return common.map_arrow(
+            saved.select("page", "page_id", "url", "blocks", "other", "has_article"), rows,
+            f"page long, page_id {kinds['page_id']}, url {kinds['url']}, blocks array<string>, other array<string>, has_article boolean",
+        )
 
     def strip(batches):
-        for b in batches:
-            left = []
-            for blocks, has, drop in zip(*(b.column(k).to_pylist() for k in (3, 4, 5))):
-                drop = np.array(drop or [], np.int64)
-                if has:
-                    kept = [t for t in blocks if not covered_tokens(t, drop, run).all()]
-                else:
-                    kept = [u for u in (unique_runs(t, drop, run) for t in blocks) if u]
-                left.append(kept)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(left, texts), b.column(4)], names=["page_id", "url", "blocks", "has_article"])
-
-    met = split(True).join(covered, "page", "left").select("page", "page_id", "url", "blocks", "has_article", "runs")
-    stripped = common.map_arrow(met, strip, f"page_id {kinds['page_id']}, url {kinds['url']}, blocks array<string>, has_article boolean")
-    text = F.array_join("blocks", "\n")
-    both = split(False).drop("page").unionByName(stripped).select("page_id", "url", text.alias("text"), "has_article")
-    return both.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "has_article")
+        for b in common.slices(batches):
+            left, n = [], []
+            for blocks, other, has, found in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
+                found = np.array(found or [], np.int64)
+                n.append(sum(int(covered_tokens(t, found, run).sum()) for t in (other if has else blocks + other)))
+                left.append(blocks if has else [u for u in (unique_runs(t, found, run) for t in blocks) if u])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(left, texts), b.column(4), pa.array(n, pa.int64())], names=["page_id", "url", "blocks", "has_article", "n_repeated"])
+
+    met = split(True).join(covered, "page", "left").select("page_id", "url", "blocks", "other", "has_article", "runs")
+    stripped = common.map_arrow(met, strip, f"page_id {kinds['page_id']}, url {kinds['url']}, blocks array<string>, has_article boolean, n_repeated long")
+    plain = split(False).select("page_id", "url", "blocks", "has_article", F.lit(0).cast("long").alias("n_repeated"))
+    both = plain.unionByName(stripped).select("page_id", "url", F.array_join("blocks", "\n").alias("text"), "has_article", "n_repeated")
+    return both.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "has_article", "n_repeated")
