@@ -220,6 +220,15 @@ def unique_runs(block: str, repeated: np.ndarray, run: int = RUN) -> str:
     return " ".join(w for w, c in zip(block.split(), covered_tokens(block, repeated, run)) if not c)
 
 
+def _pack(text: str) -> bytes:
+    """A text as it waits for the evidence: compressed, since it is stored once and shuffled once."""
+    return zlib.compress(text.encode("utf-8", "surrogatepass"))
+
+
+def _unpack(data: bytes) -> str:
+    return zlib.decompress(data).decode("utf-8", "surrogatepass")
+
+
 def main_text(pages: DataFrame, run: int = RUN, min_pages: int = PAGES, shard_pages: int = SHARD_PAGES) -> DataFrame:
     """page_id, url, text, n_chars, has_article, n_repeated of every page.
 
@@ -234,22 +243,23 @@ def main_text(pages: DataFrame, run: int = RUN, min_pages: int = PAGES, shard_pa
 
     def cut(batches):
         for b in batches:
-            blocks, other, has = [], [], []
+            article, opened, other, has = [], [], [], []
             for t in b.column(2):
-                inside, free, gone, article = parse(t.as_py())
-                blocks.append(inside if article else free)
-                other.append(gone + free if article else gone)
-                has.append(article)
+                inside, free, gone, marked = parse(t.as_py())
+                article.append(_pack("\n".join(inside)) if marked else None)
+                opened.append([] if marked else free)
+                other.append(gone + free if marked else gone)
+                has.append(marked)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(blocks, texts), pa.array(other, texts), pa.array(has, pa.bool_())],
-                names=["page_id", "url", "blocks", "other", "has_article"],
+                [b.column(0), b.column(1), pa.array(article, pa.binary()), pa.array(opened, texts), pa.array(other, texts), pa.array(has, pa.bool_())],
+                names=["page_id", "url", "article", "opened", "other", "has_article"],
             )
 
-    parsed = common.map_arrow(source, cut, f"page_id {kinds['page_id']}, url {kinds['url']}, blocks array<string>, other array<string>, has_article boolean")
+    parsed = common.map_arrow(source, cut, f"page_id {kinds['page_id']}, url {kinds['url']}, article binary, opened array<string>, other array<string>, has_article boolean")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     saved = common.cut(parsed.withColumns({"host": host, "page": F.xxhash64(F.monotonically_increasing_id())}), "pages")
 
-    around = F.when(F.col("has_article"), F.col("other")).otherwise(F.concat("blocks", "other")).alias("around")
+    around = F.concat("opened", "other").alias("around")
     streams = saved.select("host", "page", around).where(F.size("around") > 0)
     sizes = saved.groupBy("host").agg(F.ceil(F.count("*") / shard_pages).cast("int").alias("shards"))
     dealt = streams.join(sizes, "host").withColumn("salt", F.pmod("page", F.col("shards"))).select("host", "salt", "around")
@@ -289,6 +299,9 @@ def main_text(pages: DataFrame, run: int = RUN, min_pages: int = PAGES, shard_pa
     asked = common.map_arrow(streams.select("page", "host", "around"), own, "page long, host string, run long").join(repeated, ["host", "run"])
     covered = common.cut(asked.groupBy("page").agg(F.collect_list("run").alias("runs")), "covered-pages")  # a page's own runs: bounded by its length
 
+    del runs, counts, asked, dealt
+    common.release(spark)  # their shuffle files go before texts are shuffled
+
     # pages that surely have no repeated run pass as they are; the others meet their runs
     repeating = common.share(spark, common.bitmap(covered.select(F.col("page").alias("key"))))
 
@@ -298,21 +311,20 @@ def main_text(pages: DataFrame, run: int = RUN, min_pages: int = PAGES, shard_pa
                 yield b.filter(pa.array(common.in_bitmap(repeating.value, b.column(0).to_numpy()) == repeat))
 
         return common.map_arrow(
-            saved.select("page", "page_id", "url", "blocks", "other", "has_article"), rows,
-            f"page long, page_id {kinds['page_id']}, url {kinds['url']}, blocks array<string>, other array<string>, has_article boolean",
+            saved.select("page", "page_id", "url", "article", "opened", "other", "has_article"), rows,
+            f"page long, page_id {kinds['page_id']}, url {kinds['url']}, article binary, opened array<string>, other array<string>, has_article boolean",
         )
 
-    def strip(batches):
+    def finish(batches):
         for b in common.slices(batches):
-            left, n = [], []
-            for blocks, other, has, found in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
+            text, n = [], []
+            for article, opened, other, found in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 6))):
                 found = np.array(found or [], np.int64)
-                n.append(sum(int(covered_tokens(t, found, run).sum()) for t in (other if has else blocks + other)))
-                left.append(blocks if has else [u for u in (unique_runs(t, found, run) for t in blocks) if u])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(left, texts), b.column(4), pa.array(n, pa.int64())], names=["page_id", "url", "blocks", "has_article", "n_repeated"])
-
-    met = split(True).join(covered, "page", "left").select("page_id", "url", "blocks", "other", "has_article", "runs")
-    stripped = common.map_arrow(met, strip, f"page_id {kinds['page_id']}, url {kinds['url']}, blocks array<string>, has_article boolean, n_repeated long")
-    plain = split(False).select("page_id", "url", "blocks", "has_article", F.lit(0).cast("long").alias("n_repeated"))
-    both = plain.unionByName(stripped).select("page_id", "url", F.array_join("blocks", "\n").alias("text"), "has_article", "n_repeated")
-    return both.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "has_article", "n_repeated")
+                n.append(sum(int(covered_tokens(t, found, run).sum()) for t in opened + other) if len(found) else 0)
+                text.append("\n".join(u for u in (unique_runs(t, found, run) for t in opened) if u) if article is None else _unpack(article))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), b.column(5), pa.array(n, pa.int64())], names=["page_id", "url", "text", "has_article", "n_repeated"])
+
+    met = split(True).join(covered, "page", "left").unionByName(split(False).withColumn("runs", F.lit(None).cast("array<long>")))
+    met = met.select("page_id", "url", "article", "opened", "other", "has_article", "runs")
+    done = common.map_arrow(met, finish, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, has_article boolean, n_repeated long")
+    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "has_article", "n_repeated")
