@@ -82,6 +82,36 @@ def test_near_duplicates_edges(spark, docs, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_links_by_exact_similarity(spark, make):
+    """All texts of five-word-shingle similarity 0.8 or more go, however far apart their fingerprints lie; no others do."""
+    rng = random.Random(9)
+    say = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    rows = []
+    for _ in range(150):
+        a, b = say(200), say(200)
+        # 19 and 45 of 200 words changed at the end: similarity 177/215 and 151/241
+        rows += [" ".join(x) for x in (a, a[:181] + say(19), b, b[:155] + say(45))]
+    sets = [{tuple(ws[k : k + 5]) for k in range(196)} for ws in map(str.split, rows)]
+    near = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8 for i in range(0, len(rows), 2)]
+    assert sum(near) == 150
+    apart = [(simhash.fingerprint(rows[i]) ^ simhash.fingerprint(rows[i + 1])).bit_count() > 4 for i in range(0, len(rows), 4)]
+    assert sum(apart) > 75  # which the tree alone would not link
+    kept = {r.doc_id for r in simhash.keep_one(make(list(enumerate(rows)))).collect()}
+    assert kept == {i for i in range(len(rows)) if i % 4 != 1}
+
+
+def test_similar_parts_equal_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 40, 90):
+        seeds = [rng.choice(500, 60, replace=False) for _ in range(3)]
+        sets = [np.unique(np.where(rng.random(60) < rng.choice([0.05, 0.1, 0.3]), rng.integers(0, 500, 60), seeds[k % 3])).astype(np.uint64) for k in range(n)] + [np.zeros(0, np.uint64)]
+        as_sets = [set(x.tolist()) for x in sets]
+        root = np.arange(len(sets))
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(as_sets[i] & as_sets[j]) >= 4 * len(as_sets[i] | as_sets[j]) and as_sets[i]]
+        simhash._link(*(np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), ()))), root)
+        assert np.array_equal(simhash.similar_parts(sets), simhash._flat(root))
+
+
 def brute_repeats(texts, n):
     seen = {}
     for d, t in enumerate(texts):
