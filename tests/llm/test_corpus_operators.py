@@ -151,6 +151,19 @@ def test_tokens_equal_the_library(texts):
         assert e.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_packed_ids_equal_the_library_by_default(spark, make, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    e = Encoder.at(PATH)
+    own = ["<|endoftext|>", "a<|endoftext|>b", "x <|endoftext|> y\n<|endoftext|><|endoftext|>", "<|endoftext", "<|<|endoftext|>|>", "日本<|endoftext|>  \n", "a<|ENDOFTEXT|>"]
+    for x in [*filter(None, texts), *own]:
+        assert e.ids(x).tolist() == t.encode(x, add_special_tokens=False).ids
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack_documents(make(list(enumerate(own))), PATH).collect()}
+    ids = [np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4") for x in own]
+    assert got == {k: (len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(ids)}
+
+
 def test_lower_bound_and_best_fit():
     rng = np.random.default_rng(0)
 

@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
             at, piece, start, length, crc = [], [], [], [], []
             for row, text in enumerate(b.column(1)):
                 text = text.as_py()
-                ids = np.append(encoder.encode(text) if text else np.zeros(0, np.uint32), np.uint32(end)).astype("<u4")
+                ids = np.append(encoder.ids(text) if text else np.zeros(0, np.uint32), np.uint32(end)).astype("<u4")
                 s = 0
                 for k, n in enumerate(cut_lengths(len(ids), capacity)):
                     at.append(row)

@@ -11,7 +11,11 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class Encoder:
-    """Loads the vocabulary at ``path`` once in each worker. Strings of special tokens in a text are ordinary text."""
+    """Loads the vocabulary at ``path`` once in each worker.
+
+    ``ids`` are those of the library's default settings: a string of an added token in a text becomes that token's id.
+    To ``encode`` such strings are ordinary text.
+    """
 
     _LOADED: dict[str, "Encoder"] = {}
 
@@ -26,15 +30,22 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)
-        special = {t["content"] for t in vocabulary["added_tokens"]}
+        special = {t["content"]: t["id"] for t in vocabulary["added_tokens"]}
+        if any(t.get(k) for t in vocabulary["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take in blanks or whole words only are not supported")
+        if any(a != b and a.startswith(b) for a in special for b in special):
+            raise ValueError("added tokens that begin with one another are not supported")
         to_byte = _byte_letters()
         # in such a file ids follow the order of the merges, so an id is also its token's rank
         ranks = {bytes(to_byte[ch] for ch in t): n for t, n in vocabulary["model"]["vocab"].items() if t not in special}
-        self.engine = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        self.engine = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.engine.encode_ordinary(text), np.uint32)
 
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.engine.encode(text, allowed_special="all"), np.uint32)
+
 
 def _byte_letters() -> dict[str, int]:
     """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from 256 on."""
