@@ -136,9 +136,47 @@ def test_repeats_are_exact(spark, make, seed, group, letters):
     assert sorted(map(tuple, got.collect())) == brute_repeats([(x or "").encode() for x in t + [t[3]]], 40)
 
 
-def test_repeats_edges(docs, none):
-    r = suffix.remove_repeats(docs, keep_text=True)
-    assert r.count() == docs.count() and suffix.remove_repeats(none).count() == 0
+@pytest.mark.parametrize("seed,group", [(1, 4096), (2, 3), (3, 6)])
+def test_shared_words_are_exact(spark, make, seed, group):
+    rng = random.Random(seed)
+    say = lambda a, b: [rng.choice("abcdefgh") for _ in range(rng.randint(a, b))]
+    shared = [say(4, 14) for _ in range(6)]
+    t = [rng.choice([" ", "  ", "\n"]).join(w for _ in range(rng.randint(0, 6)) for w in (rng.choice(shared) if rng.random() < 0.7 else say(1, 9))) for _ in range(40)]
+    t += [t[0], None, "", "a " * 60, "a b " * 30, "a b " * 20]
+    got = suffix.remove_repeats(make([*enumerate(t), (2, t[2]), (2, t[2])]), 40, 12, group, passage=8, passage_gram=3)
+    places = {}
+    words = [(x or "").split() for x in t]
+    for d, ws in enumerate(words):
+        for k in range(len(ws) - 7):
+            places.setdefault(tuple(ws[k : k + 8]), set()).add(d)
+    want = [sum(any(len(places[tuple(ws[k : k + 8])]) > 1 for k in range(max(0, p - 7), min(p, len(ws) - 8) + 1)) for p in range(len(ws))) for ws in words]
+    assert sorted((r.doc_id, r.n_shared_words) for r in got.collect()) == sorted([*enumerate(want), (2, want[2]), (2, want[2])])
+
+
+def test_refinement_of_long_runs_and_many_members():
+    rng = np.random.default_rng(6)
+    for n, length, gram, letters in ((1, 400, 128, 2), (300, 20, 6, 2), (5000, 9, 4, 3)):
+        back, extra = rng.integers(0, length - gram + 1, (2, n))
+        span = np.minimum(extra, back)
+        parts = [rng.integers(97, 97 + letters, length + s, np.uint8) for s in span.tolist()]
+        bucket, owner = np.sort(rng.integers(0, 3, n)), rng.integers(0, max(1, n // 4), n)
+        hit = suffix.repeated_windows(bucket, owner, back, span, parts, length, gram)
+        seen = {}
+        for m, p in enumerate(parts):
+            for s in range(span[m] + 1):
+                seen.setdefault((bucket[m], length - gram - back[m] + s, p[s : s + length].tobytes()), []).append(m)
+        want = np.zeros(hit.shape, bool)
+        for (_, c, _), ms in seen.items():
+            want[ms, c] = len(set(owner[ms].tolist())) > 1
+        assert np.array_equal(hit, want)
+
+
+def test_repeats_edges(docs, none, texts):
+    r = {(x.doc_id, x.n_bytes): x for x in suffix.remove_repeats(docs, keep_text=True).collect()}
+    assert len(r) < docs.count() and suffix.remove_repeats(none).count() == 0  # the repeated row has one key
+    want = brute_repeats([(x or "").encode() for x in [*texts, texts[4]]], 400)
+    assert sorted((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix.remove_repeats(docs).collect()) == want
+    assert r[0, 0].kept == b"" and r[12, 3000].n_removed == 3000
 
 
 def test_tokens_equal_the_library(texts):
@@ -372,10 +410,19 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     w = toxicity._dense(toxicity.train(docs, labels), toxicity.BITS)
     score = lambda t: toxicity._scores([type("T", (), {"as_py": lambda self: t})()], w, toxicity.BITS)[0]
     rows = [r for r in docs.collect() if score(r.text) < 0.5]
-    fps = np.array([simhash.fingerprint(r.text) for r in rows]).view(np.uint64)
-    root = parts(fps)
+    def shingles(text):
+        ws = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+        return frozenset(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4)))
+
+    sets = [shingles(r.text) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
     best = {}
-    for r, c in zip(rows, root.tolist()):
+    for r, c in zip(rows, group):
         best[c] = min(best.get(c, r), r, key=lambda x: x.doc_id)
     grams = set()
     for b in bench:

@@ -1,18 +1,22 @@
-"""Removal of byte strings that occur more than once in the whole table, by bucket-pointer refinement of suffixes.
+"""Removal of strings that occur more than once in the whole table, by bucket-pointer refinement of suffixes.
 
-A byte goes if some string of ``length`` bytes over it starts at two places of the table. The suffixes at all places are
-far too many to sort, and only their first ``length`` bytes matter, so each such window is represented by its anchor: the
-gram of ``gram`` bytes inside it with the smallest identifier, which equal windows share at the same offset. About two
-anchors a window length remain.
+A symbol (a byte; or a word) goes if some run of ``length`` symbols over it starts at two places of the table. Only the
+first ``length`` symbols of a suffix matter, so suffixes are runs (windows) of that length, and those that share their
+anchor - the gram of ``gram`` symbols inside with the smallest identifier - are handled as one reach of windows. Equal
+windows have equal anchors at equal offsets, so a window is only ever compared inside the bucket of its anchor's gram.
 
-1. Initial buckets: anchors by the identifier of their gram. Buckets of one suffix are final.
-2. Refinement by the identifiers at later offsets: all that an anchor's windows reach is one more identifier. Suffixes
-   that agree on it settle together - their windows are all repeated - however many there are, as counts, not as pairs.
-3. Recursion on what is left, mostly the edges of repeated passages: one suffix of each settled class, and every other
-   one of its bucket, are refined window by window. Buckets of more than ``group`` suffixes are split into shards;
-   windows that a shard leaves open meet those of the other shards by their identifiers, so no task holds a bucket.
+1. Initial buckets: reaches by the gram of their anchor. Buckets of one suffix are final.
+2. Reaches of a bucket that are equal from end to end settle together, however many there are, as counts and not as
+   pairs; one of them stands for all below.
+3. What is left is refined on its own symbols. The reaches of a bucket are laid side by side, aligned at the anchor;
+   windows get initial pointers from the first ``q`` symbols, exactly, and are then sorted on the pointers at their
+   later offsets q, 2q, 3q, ...; the sorted ranks are the new pointers, reused by the next, deeper sort, until ``length``
+   symbols are settled. Windows with equal pointers are equal symbol by symbol; no hash decides between them.
 
-Texts move only for documents that ask or lose bytes. Identifiers are 64-bit hashes, compared within a gram's bucket.
+Buckets of more than ``group`` reaches are dealt into shards that are refined alone; windows that a shard leaves open meet
+those of the other shards as (gram, identifier of the window), 128 bits in all, so no task holds a bucket.
+
+Texts move only for documents that ask or lose bytes.
 """
 
 from __future__ import annotations
@@ -29,6 +33,11 @@ from vecgrove.llm import common
 LENGTH = 400
 GRAM = 128
 GROUP = 512
+#: Of the count of shared words: words of a passage, and of its grams.
+PASSAGE = 50
+PASSAGE_GRAM = 10
+#: Reaches that are refined in one go, at least.
+BATCH = 1024
 _CHUNK = 1 << 20
 _POS = np.uint64(_CHUNK - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -60,27 +69,58 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Bytes:
-    """Identifiers of the substrings of one text, from sums of hashed prefixes."""
+class Symbols:
+    """A sequence of symbols and the identifiers of its runs, from sums of hashed prefixes."""
 
-    def __init__(self, data: bytes):
-        self.n = len(data)
-        a = np.frombuffer(data, np.uint8)
+    def __init__(self, symbols: np.ndarray, values: np.ndarray):
+        self.symbols, self.n = symbols, len(symbols)
         up, self.down = _powers(self.n + 1)
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_VALUE[a] * up[: self.n], dtype=np.uint64, out=self.sums[1:])
+        np.cumsum(values * up[: self.n], dtype=np.uint64, out=self.sums[1:])
 
     def ids(self, start, end):
-        """Identifier of data[start:end], for arrays of starts and ends."""
+        """Identifier of the run from start to end, for arrays of starts and ends."""
         return _mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _M2)
 
     def all_ids(self, length: int, lo: int, hi: int) -> np.ndarray:
-        """Identifiers of the substrings of ``length`` that start at lo, ..., hi - 1."""
+        """Identifiers of the runs of ``length`` that start at lo, ..., hi - 1."""
         return _mix((self.sums[lo + length : hi + length] - self.sums[lo:hi]) * self.down[lo:hi] + np.uint64(length * int(_M2) % (1 << 64)))
 
 
-def anchors(b: Bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the windows of ``length`` bytes: positions of their anchors, and the first and last window of each.
+class Bytes(Symbols):
+    """Each byte is a symbol."""
+
+    kind = np.dtype(np.uint8)
+
+    def __init__(self, data: bytes):
+        a = np.frombuffer(data, np.uint8)
+        super().__init__(a, _VALUE[a])
+
+    @staticmethod
+    def of(symbols: np.ndarray) -> Symbols:
+        return Symbols(symbols, _VALUE[symbols])
+
+
+class Words(Symbols):
+    """Each word is a symbol: its identifier. Words are parted by ASCII blanks, whatever their number."""
+
+    kind = np.dtype(np.int64)
+
+    def __init__(self, data: bytes):
+        a = np.frombuffer(data, np.uint8)
+        blank = np.ones(len(a) + 2, np.int8)
+        blank[1:-1] = (a == 32) | ((a >= 9) & (a <= 13))
+        edge = np.diff(blank)
+        ids = Bytes(data).ids(np.flatnonzero(edge == -1), np.flatnonzero(edge == 1))
+        super().__init__(ids.view(np.int64), ids)
+
+    @staticmethod
+    def of(symbols: np.ndarray) -> Symbols:
+        return Symbols(symbols, symbols.view(np.uint64))
+
+
+def anchors(b: Symbols, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the windows of ``length`` symbols: positions of their anchors, and the first and last window of each.
 
     A window's anchor is the gram inside it with the smallest identifier, the leftmost of several; equal windows have
     equal anchors at equal offsets, whatever surrounds them.
@@ -108,47 +148,135 @@ def anchors(b: Bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarra
     return np.concatenate(at), np.concatenate(lo), np.concatenate(hi)
 
 
+# -- refinement of one batch of buckets ----------------------------------------------------------------------------
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Dense ranks within each row."""
+    order = np.argsort(x, axis=1)
+    s = np.take_along_axis(x, order, 1)
+    r = np.zeros(x.shape, np.int64)
+    np.cumsum(s[:, 1:] != s[:, :-1], axis=1, out=r[:, 1:])
+    out = np.empty_like(r)
+    np.put_along_axis(out, order, r, 1)
+    return out
+
+
+def bucket_pointers(first: np.ndarray, q: int, length: int) -> np.ndarray:
+    """Pointers to depth ``length``: equal in a row of the result iff the suffixes' first ``length`` symbols are.
+
+    ``first[c, m]`` is an exact name of the q symbols of member m from place c on. Each turn sorts the suffixes on their
+    pointers at offsets 0, d, 2d, ... (as many as one key holds), and the ranks, pointers to that greater depth, are what
+    the next turn reads.
+    """
+    bits = max(1, (first.shape[1] - 1).bit_length())
+    pointers, depth = _ranks(first), q
+    while depth < length:
+        terms = min(max(2, 63 // bits), -(-length // depth))
+        reach = min(terms * depth, length)
+        rows = len(pointers) - (reach - depth)
+        key = pointers[:rows].copy()
+        for k in range(1, terms):
+            at = min(k * depth, reach - depth)
+            key <<= bits
+            key |= pointers[at : at + rows]
+        pointers, depth = _ranks(key), reach
+    return pointers
+
+
+def repeated_windows(bucket, owner, back, span, parts: list[np.ndarray], length: int, gram: int) -> np.ndarray:
+    """hit[m, c]: whether the window at place c of reach m equals a window at that place of its bucket with another owner.
+
+    Place length - gram is that of the window which begins with the anchor. ``parts`` are the symbols of the reaches,
+    from back symbols before the anchor on; span windows follow the first. Owners and buckets are numbers below 2^20.
+    """
+    n, most = len(parts), length - gram
+    wide = 2 * length - gram
+    m = np.zeros((n, wide), parts[0].dtype)
+    for i, p in enumerate(parts):
+        s = most - back[i]
+        m[i, s : s + len(p)] = p
+    m = np.ascontiguousarray(m.T)
+    if m.dtype == np.uint8:
+        q = min(8, length)
+        first = np.zeros((wide - q + 1, n), np.uint64)
+        for k in range(q):
+            first = first << np.uint64(8) | m[k : k + wide - q + 1]
+        first = first.view(np.int64)
+    else:
+        q, first = 1, m
+    pointers = bucket_pointers(first, q, length)
+    key = (pointers << 20 | bucket) << 20 | owner
+    place = np.arange(most + 1)[:, None]
+    outside = (place < most - back) | (place > most - back + span)
+    key = np.where(outside, -1 - np.arange(n, dtype=np.int64) << 20, key)
+    order = np.argsort(key, axis=1)
+    s = np.take_along_axis(key, order, 1)
+    same = np.zeros(s.shape, bool)
+    same[:, 1:] = s[:, 1:] >> 20 == s[:, :-1] >> 20
+    differ = same.copy()
+    differ[:, 1:] &= s[:, 1:] != s[:, :-1]
+    which = np.cumsum(~same.ravel()) - 1
+    many = np.zeros(which[-1] + 1, bool)
+    many[which[differ.ravel()]] = True
+    hit = np.empty(s.shape, bool)
+    np.put_along_axis(hit, order, many[which].reshape(s.shape), 1)
+    return hit.T
+
+
+def _runs(hit: np.ndarray) -> list[list[int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
+    return edge.reshape(-1, 2).tolist()
+
+
 # -- the distributed refinement ------------------------------------------------------------------------------------
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """(key, start, end) whose union are the bytes that repeated strings of ``length`` bytes cover; texts has (key, text).
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, unit: type[Symbols] = Bytes, batch: int = BATCH) -> DataFrame:
+    """(key, start, end) whose union are the symbols that repeated runs of ``length`` cover; texts has (key, text).
 
-    Equal rows share a key and count as several occurrences.
+    With Bytes a run repeats if it starts at two places of the table; equal rows share a key and count as several places.
+    With Words it repeats if it stands in texts of two keys.
     """
     spark = texts.sparkSession
+    apart = unit is Words
 
     def first(batches):
         for b in common.slices(batches):
-            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
             for key, t in zip(b.column(0).to_pylist(), b.column(1)):
                 data = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 if len(data) < length:
                     continue
-                s = Bytes(data)
+                s = unit(data)
                 at, lo, hi = anchors(s, length, gram)
                 near = s.ids(at, at + gram)
                 whole = s.ids(lo, hi + length) ^ _mix((at - lo).astype(np.uint64))
-                for c, v in zip(cols, (near.view(np.int64), whole.view(np.int64), np.full(len(at), key), lo, hi)):
+                for c, v in zip(cols, (near.view(np.int64), whole.view(np.int64), np.full(len(at), key), at, at - lo, hi - lo)):
                     c.append(v)
             joined = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, joined[:3]), *(pa.array(c.astype(np.int32)) for c in joined[3:])], names=["gram", "extent", "key", "lo", "hi"])
+            kinds = [np.int64] * 3 + [np.int32] + [np.int16 if length < 1 << 15 else np.int32] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(joined, kinds)], names=["gram", "extent", "key", "at", "back", "span"])
 
-    found = common.cut(common.map_arrow(texts, first, "gram long, extent long, key long, lo int, hi int"), "anchors")
+    small = "short" if length < 1 << 15 else "int"
+    found = common.cut(common.map_arrow(texts, first, f"gram long, extent long, key long, at int, back {small}, span {small}"), "anchors")
     # buckets by gram, refined at once by the identifier of everything that the anchor's windows reach
-    classes = common.cut(found.groupBy("gram", "extent").agg(F.count("*").alias("n"), F.min("key").alias("stands")), "classes")
-    buckets = classes.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("parts")).where("total >= 2")
-    refined = classes.join(buckets, "gram").select("gram", "extent", "n", "stands", "parts")
+    classes = common.cut(found.groupBy("gram", "extent").agg(F.count("*").alias("n"), F.min("key").alias("stands"), F.max("key").alias("high")), "classes")
+    more = (F.min("stands") < F.max("high")) if apart else (F.sum("n") >= 2)
+    buckets = classes.groupBy("gram").agg(more.alias("more"), F.count("*").alias("parts")).where("more").drop("more")
+    settles = (F.col("stands") < F.col("high")) if apart else (F.col("n") >= 2)
+    refined = classes.join(buckets, "gram").select("gram", "extent", settles.alias("settled"), "stands", "parts")
     told = found.join(refined, ["gram", "extent"])
-    # a class of one asks, window by window, and so does one member of each other class of its bucket
-    asks = (F.col("parts") >= 2) & ((F.col("n") == 1) | (F.col("key") == F.col("stands")))
-    told = common.cut(told.select("gram", "key", "lo", "hi", (F.col("n") >= 2).alias("settled"), asks.alias("asks"), "parts"), "told")
+    # a class that is not settled asks, window by window, and so does one member of each other class of its bucket
+    asks = (F.col("parts") >= 2) & (~F.col("settled") | (F.col("key") == F.col("stands")))
+    told = common.cut(told.select("gram", "key", "at", "back", "span", "settled", asks.alias("asks"), "parts").where("settled or asks"), "told")
     common.drop_cut(found)
     common.drop_cut(classes)
     common.release(spark)
-    settled = told.where("settled").select("key", F.col("lo").cast("long").alias("start"), (F.col("hi") + length).cast("long").alias("end")).distinct()
+    lo = F.col("at").cast("long") - F.col("back")
+    settled = told.where("settled").select("key", lo.alias("start"), (lo + F.col("span") + length).alias("end")).distinct()
 
-    wanted = told.where("asks").groupBy("key").agg(F.collect_set(F.struct("gram", "lo", "hi", "parts")).alias("asked"))
+    wanted = told.where("asks").groupBy("key").agg(F.collect_set(F.struct("gram", "at", "back", "span", "parts", "settled")).alias("asked"))
     wanted = common.cut(wanted, "wanted")
     places = common.share(spark, common.bitmap(wanted.select("key")))
 
@@ -157,79 +285,82 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
             yield b.filter(pa.array(common.in_bitmap(places.value, b.column(0).to_numpy(zero_copy_only=False))))
 
     own = common.map_arrow(texts, asked_only, "key long, text string").join(wanted, "key").select("key", "text", "asked")
+    names = ["gram", "shard", "key", "at", "back", "span", "settled", "symbols"]
 
-    def windows(batches):
-        for b in common.slices(batches):
-            out: list[list] = [[] for _ in range(5)]
+    def reaches(batches):
+        for b in common.slices(batches, 200):
+            out: list[list] = [[] for _ in names]
             for key, t, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                s = Bytes(t.as_py().encode("utf-8", "surrogatepass"))
+                data = t.as_py().encode("utf-8", "surrogatepass")
+                symbols = np.frombuffer(data, np.uint8) if unit is Bytes else unit(data).symbols
                 for a in asked:
-                    ids = s.all_ids(length, a["lo"], a["hi"] + 1)
+                    s = a["at"] - a["back"]
                     shards = -(-a["parts"] // group)
-                    for c, v in zip(out, (a["gram"], (key ^ a["lo"]) % shards if shards > 1 else -1, key, a["lo"], ids.tobytes())):
+                    row = (a["gram"], (key ^ a["at"]) % shards if shards > 1 else -1, key, a["at"], a["back"], a["span"], a["settled"], symbols[s : s + a["span"] + length].tobytes())
+                    for c, v in zip(out, row):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], names=["gram", "shard", "key", "lo", "ids"])
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
-    rows = common.map_arrow(own, windows, "gram long, shard int, key long, lo int, ids binary")
+    rows = common.map_arrow(own, reaches, "gram long, shard int, key long, at int, back int, span int, settled boolean, symbols binary")
     dealt = rows.repartition("gram", "shard").sortWithinPartitions("gram", "shard")
 
     def refine(batches):
         now, held = None, []
         for b in batches:
-            if not b.num_rows:
-                continue
-            grams, shards, keys, los = (b.column(k).to_pylist() for k in range(4))
-            for g, h, key, lo, ids in zip(grams, shards, keys, los, b.column(4).to_pylist()):
-                if (g, h) != now:
-                    if held:
-                        yield judged(now[1], held)
-                    now, held = (g, h), []
-                held.append((key, lo, np.frombuffer(ids, np.uint64)))
+            for row in zip(*(b.column(k).to_pylist() for k in range(len(names)))):
+                if row[:2] != now:
+                    if len(held) >= batch:
+                        yield judged(held)
+                        held = []
+                    now = row[:2]
+                held.append(row)
         if held:
-            yield judged(now[1], held)
+            yield judged(held)
 
-    def judged(shard, held):
+    def judged(held):
         """Repeated windows as runs; in a bucket of several shards also the others, and one of each repeated identifier."""
-        ids = np.concatenate([h[2] for h in held])
-        same, back, n = np.unique(ids, return_inverse=True, return_counts=True)
-        hit = n[back] >= 2
-        key, start, end, left = [], [], [], []
-        at = 0
-        for k, lo, w in held:
-            for s, e in _runs(hit[at : at + len(w)]):
-                key.append(k)
-                start.append(lo + s)
-                end.append(lo + e - 1 + length)
-                left.append(None)
-            if shard >= 0:
-                for i in np.flatnonzero(~hit[at : at + len(w)]).tolist():
-                    key.append(k)
-                    start.append(lo + i)
-                    end.append(lo + i + length)
-                    left.append(int(w.view(np.int64)[i]))
-            at += len(w)
-        if shard >= 0:
-            for i in same[n >= 2].view(np.int64).tolist():
-                key.append(None)
-                start.append(None)
-                end.append(None)
-                left.append(i)
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(left, pa.int64())], names=["key", "start", "end", "open"])
-
-    judged_rows = common.cut(common.map_arrow(dealt, refine, "key long, start long, end long, open long"), "judged")
+        grams, shards, keys, at, back, span, done = (np.array(c) for c in list(zip(*held))[:7])
+        parts = [np.frombuffer(r[7], unit.kind) for r in held]
+        n, most = len(held), length - gram
+        bucket = np.cumsum(np.concatenate(([False], (grams[1:] != grams[:-1]) | (shards[1:] != shards[:-1]))))
+        owner = np.arange(n)
+        if apart:  # one that stands for several keys differs from any other
+            owner = np.where(done, n + owner, np.unique(keys, return_inverse=True)[1])
+        hit = repeated_windows(bucket, owner, back, span, parts, length, gram)
+        edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        i, s = np.nonzero(edge == 1)
+        e = np.nonzero(edge == -1)[1]
+        start = at[i] - most + s
+        none = np.zeros(0, np.int64)
+        open_rows, twice = [[none] * 4], [np.zeros((2, 0), np.int64)]
+        for j in np.flatnonzero(shards >= 0).tolist():
+            ids = unit.of(parts[j]).all_ids(length, 0, int(span[j]) + 1).view(np.int64)
+            left = ~hit[j, most - back[j] : most - back[j] + span[j] + 1]
+            if done[j] and apart:
+                left[:] = False
+            begin = at[j] - back[j] + np.flatnonzero(left)
+            open_rows.append([np.full(len(begin), grams[j]), np.full(len(begin), keys[j]), begin, ids[left]])
+            twice.append(np.stack((np.full(len(ids) - len(begin), grams[j]), ids[~left])))
+        g, k, begin, ids = (np.concatenate(c) for c in zip(*open_rows))
+        again = np.unique(np.concatenate(twice, axis=1), axis=1)
+        a, b, c = len(i), len(g), again.shape[1]
+        cols = [np.concatenate(x) for x in ((grams[i], g, again[0]), (keys[i], k, np.zeros(c, np.int64)), (start, begin, np.zeros(c, np.int64)), (start + (e - s) - 1 + length, begin + length, np.zeros(c, np.int64)), (np.zeros(a, np.int64), ids, again[1]))]
+        at_row = np.arange(a + b + c)
+        made = [pa.array(x, mask=m) for x, m in zip(cols, (None, at_row >= a + b, None, None, at_row < a))]
+        return pa.RecordBatch.from_arrays(made, names=["gram", "key", "start", "end", "open"])
+
+    judged_rows = common.cut(common.map_arrow(dealt, refine, "gram long, key long, start long, end long, open long"), "judged")
     common.drop_cut(wanted)
     common.release(spark)
+    # of the windows that shards left open, those without a key were repeated in their shard
     open_ = judged_rows.where("open is not null")
-    twice = open_.groupBy("open").count().where("count >= 2").select("open")
-    late = open_.where("key is not null").join(twice, "open", "left_semi").select("key", "start", "end")
+    several = (F.min("key") < F.max("key")) if apart else (F.count("*") >= 2)
+    twice = open_.groupBy("gram", "open").agg((F.coalesce(several, F.lit(False)) | (F.count("key") < F.count("*"))).alias("twice")).where("twice").select("gram", "open")
+    late = open_.where("key is not null").join(twice, ["gram", "open"], "left_semi").select("key", "start", "end")
     return settled.unionByName(judged_rows.where("open is null").select("key", "start", "end")).unionByName(late)
 
 
-def _runs(hit: np.ndarray) -> list[list[int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-    return edge.reshape(-1, 2).tolist()
-
-
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
@@ -240,17 +371,25 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (and kept, the remaining bytes, if asked for).
+def _by_key(spans: DataFrame, name: str) -> DataFrame:
+    return common.cut(spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias(name)), name)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, keep_text: bool = False, passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words of every row (and kept, the remaining bytes, if asked for).
 
-    A null text has no bytes. Texts shorter than ``length`` lose nothing. Repeated rows are repeats of each other. An
-    empty table gives an empty result. Other columns are ignored.
+    Bytes covered by strings of ``length`` bytes that start at two places go. ``n_shared_words`` counts the words covered by
+    passages of ``passage`` words that also stand in a row with another doc_id or text; nothing is removed for them.
+
+    A null text has no bytes. Texts shorter than ``length`` lose nothing. Repeated rows are repeats of each other, but
+    share no words with themselves. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     key = F.xxhash64(F.lit(1), "doc_id", "text")
     texts = docs.select(key.alias("key"), "text")
-    spans = repeated_spans(texts, length, gram, group)
-    by_key = common.cut(spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    by_key = _by_key(repeated_spans(texts, length, gram, group), "spans")
+    common.release(spark)
+    shared = _by_key(repeated_spans(texts, passage, passage_gram, group, Words), "shared")
     common.release(spark)
     places = common.share(spark, common.bitmap(by_key.select("key")))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -268,23 +407,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.binary())], names=["key", "doc_id", "n_bytes", "sha", "data"])
 
     routed = common.map_arrow(docs.select(key.alias("key"), "doc_id", "text"), route, f"key long, doc_id {kind}, n_bytes long, sha string, data binary")
-    met = routed.join(by_key, "key", "left").select("doc_id", "n_bytes", "sha", "data", "spans")
+    met = routed.join(by_key.join(shared, "key", "full"), "key", "left").select("doc_id", "n_bytes", "sha", "data", "spans", "shared")
 
     def remove(batches):
         for b in common.slices(batches):
-            gone, n, sha, kept = [], [], [], []
-            for old, data, found in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
+            gone, n, sha, kept, words = [], [], [], [], []
+            for old, data, found, passages in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5))):
                 runs = merge([(x["start"], x["end"]) for x in found]) if found else []
                 gone.append(sum(e - s for s, e in runs))
                 n.append(len(runs))
+                words.append(sum(e - s for s, e in merge([(x["start"], x["end"]) for x in passages])) if passages else 0)
                 if runs:
                     edges = [0, *(x for r in runs for x in r), len(data)]
                     data = b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2]))
                     old = hashlib.sha256(data).hexdigest()
                 sha.append(old)
                 kept.append(data)
-            cols = [b.column(0), b.column(1), pa.array(gone, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            cols = [b.column(0), b.column(1), pa.array(gone, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(words, pa.int64())]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words"]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * keep_text, names=names + ["kept"] * keep_text)
 
-    return common.map_arrow(met, remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{extra}")
+    return common.map_arrow(met, remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long{extra}")
