@@ -8,10 +8,11 @@ windows have equal anchors at equal offsets, so a window is only ever compared i
 1. Initial buckets: reaches by the gram of their anchor. Buckets of one suffix are final.
 2. Reaches of a bucket that are equal from end to end settle together, however many there are, as counts and not as
    pairs; one of them stands for all below.
-3. What is left is refined on its own symbols. The reaches of a bucket are laid side by side, aligned at the anchor;
-   windows get initial pointers from the first ``q`` symbols, exactly, and are then sorted on the pointers at their
-   later offsets q, 2q, 3q, ...; the sorted ranks are the new pointers, reused by the next, deeper sort, until ``length``
-   symbols are settled. Windows with equal pointers are equal symbol by symbol; no hash decides between them.
+3. What is left is refined on its own symbols. The reaches of a bucket are aligned at the anchor. On either side of it,
+   initial pointers name the q-grams exactly; reaches are then sorted on their pointers at offsets 0, q, 2q, ..., and the
+   ranks are the pointers of the next, deeper sort, until one pointer names the whole side. In that order, the symbols
+   that neighbours share give the pointers to every depth at once. A window is named by the pointers of its parts before
+   the anchor and from it on: a last sort on both settles which windows are equal, symbol by symbol, with no hash.
 
 Buckets of more than ``group`` reaches are dealt into shards that are refined alone; windows that a shard leaves open meet
 those of the other shards as (gram, identifier of the window), 128 bits in all, so no task holds a bucket.
@@ -70,10 +71,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Symbols:
-    """A sequence of symbols and the identifiers of its runs, from sums of hashed prefixes."""
+    """A sequence of symbols and the identifiers of its runs, from sums of hashed prefixes; ``bounds`` part it into texts."""
 
-    def __init__(self, symbols: np.ndarray, values: np.ndarray):
+    def __init__(self, symbols: np.ndarray, values: np.ndarray, bounds: np.ndarray | None = None):
         self.symbols, self.n = symbols, len(symbols)
+        self.bounds = np.array([0, self.n]) if bounds is None else bounds
         up, self.down = _powers(self.n + 1)
         self.sums = np.zeros(self.n + 1, np.uint64)
         np.cumsum(values * up[: self.n], dtype=np.uint64, out=self.sums[1:])
@@ -92,9 +94,9 @@ class Bytes(Symbols):
 
     kind = np.dtype(np.uint8)
 
-    def __init__(self, data: bytes):
-        a = np.frombuffer(data, np.uint8)
-        super().__init__(a, _VALUE[a])
+    def __init__(self, texts: list[bytes]):
+        a = np.frombuffer(b"".join(texts), np.uint8)
+        super().__init__(a, _VALUE[a], np.cumsum([0, *map(len, texts)]))
 
     @staticmethod
     def of(symbols: np.ndarray) -> Symbols:
@@ -106,13 +108,15 @@ class Words(Symbols):
 
     kind = np.dtype(np.int64)
 
-    def __init__(self, data: bytes):
+    def __init__(self, texts: list[bytes]):
+        data = b" ".join(texts)
         a = np.frombuffer(data, np.uint8)
         blank = np.ones(len(a) + 2, np.int8)
-        blank[1:-1] = (a == 32) | ((a >= 9) & (a <= 13))
+        blank[1:-1] = (a == 32) | (a - np.uint8(9) <= 4)
         edge = np.diff(blank)
-        ids = Bytes(data).ids(np.flatnonzero(edge == -1), np.flatnonzero(edge == 1))
-        super().__init__(ids.view(np.int64), ids)
+        starts = np.flatnonzero(edge == -1)
+        ids = Bytes([data]).ids(starts, np.flatnonzero(edge == 1))
+        super().__init__(ids.view(np.int64), ids, np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])))
 
     @staticmethod
     def of(symbols: np.ndarray) -> Symbols:
@@ -120,13 +124,20 @@ class Words(Symbols):
 
 
 def anchors(b: Symbols, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the windows of ``length`` symbols: positions of their anchors, and the first and last window of each.
+    """For the windows of ``length`` symbols inside a text: positions of their anchors, and the first and last window of each.
 
     A window's anchor is the gram inside it with the smallest identifier, the leftmost of several; equal windows have
     equal anchors at equal offsets, whatever surrounds them.
     """
     last = b.n - length + 1  # windows
+    if last < 1:
+        return (np.zeros(0, np.int64),) * 3
     w = length - gram + 1  # grams in a window
+    # windows that start in the last length - 1 symbols of a text reach over its end
+    edges = np.zeros(b.n + 1, np.int32)
+    np.add.at(edges, np.maximum(b.bounds[:-1], b.bounds[1:] - length + 1), 1)
+    np.add.at(edges, b.bounds[1:], -1)
+    whole = np.cumsum(edges)[:last] == 0
     at, lo, hi = [], [], []
     for s in range(0, last, _CHUNK - w):
         e = min(last, s + _CHUNK - w)
@@ -138,13 +149,12 @@ def anchors(b: Symbols, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
         back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         k = e - s
         low = np.minimum(back[:k], fore[w - 1 : w - 1 + k]) & _POS
-        cut = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1, [k]))
-        at.append(low[cut[:-1]].astype(np.int64) + s)
-        lo.append(cut[:-1] + s)
-        hi.append(cut[1:] - 1 + s)
-    if not at:
-        z = np.zeros(0, np.int64)
-        return z, z, z
+        inside = whole[s:e]
+        cut = np.concatenate(([0], np.flatnonzero((low[1:] != low[:-1]) | (inside[1:] != inside[:-1])) + 1, [k]))
+        kept = inside[cut[:-1]]
+        at.append(low[cut[:-1]][kept].astype(np.int64) + s)
+        lo.append(cut[:-1][kept] + s)
+        hi.append(cut[1:][kept] - 1 + s)
     return np.concatenate(at), np.concatenate(lo), np.concatenate(hi)
 
 
@@ -162,66 +172,78 @@ def _ranks(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def bucket_pointers(first: np.ndarray, q: int, length: int) -> np.ndarray:
-    """Pointers to depth ``length``: equal in a row of the result iff the suffixes' first ``length`` symbols are.
+def bucket_pointers(grams: np.ndarray) -> np.ndarray:
+    """Ranks of the members in the order of ``grams[0, m], grams[1, m], ...``: equal iff all grams of two members are.
 
-    ``first[c, m]`` is an exact name of the q symbols of member m from place c on. Each turn sorts the suffixes on their
-    pointers at offsets 0, d, 2d, ... (as many as one key holds), and the ranks, pointers to that greater depth, are what
-    the next turn reads.
+    Initial pointers are the ranks of the grams. Each turn sorts on the pointers at as many neighbouring offsets as one key
+    holds; the ranks, pointers to that greater depth, are what the next turn sorts on.
     """
-    bits = max(1, (first.shape[1] - 1).bit_length())
-    pointers, depth = _ranks(first), q
-    while depth < length:
-        terms = min(max(2, 63 // bits), -(-length // depth))
-        reach = min(terms * depth, length)
-        rows = len(pointers) - (reach - depth)
-        key = pointers[:rows].copy()
+    bits = max(1, (grams.shape[1] - 1).bit_length())
+    terms = max(2, 63 // bits)
+    pointers = _ranks(grams)
+    while len(pointers) > 1:
+        key = pointers[::terms].copy()
         for k in range(1, terms):
-            at = min(k * depth, reach - depth)
-            key <<= bits
-            key |= pointers[at : at + rows]
-        pointers, depth = _ranks(key), reach
-    return pointers
+            later = pointers[k::terms]
+            key[: len(later)] = key[: len(later)] << bits | later
+        pointers = _ranks(key)
+    return pointers[0]
+
+
+def depth_pointers(side: np.ndarray, bucket: np.ndarray, least: int = 0) -> np.ndarray:
+    """pointer[d - least, m]: equal in a row iff two members are of one bucket and the first d symbols of their sides are equal."""
+    n, depth = side.shape
+    if side.dtype == np.uint8:  # eight bytes make a gram, the first the most significant
+        q = 8
+        grams = np.ascontiguousarray(np.pad(side, ((0, 0), (0, -depth % q)))).view(">u8").astype(np.uint64).T
+    else:
+        q, grams = 1, side.T
+    if not depth:
+        return bucket[None, :].astype(np.int64)
+    order = np.lexsort((bucket_pointers(grams), bucket))
+    sorted_ = grams[:, order]
+    differ = sorted_[:, 1:] ^ sorted_[:, :-1]
+    at = (differ != 0).argmax(axis=0)
+    value = differ[at, np.arange(n - 1)]
+    shared = at * q
+    if q == 8:
+        shared += (np.ascontiguousarray(value.astype(">u8")).view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
+    shared = np.where(value == 0, depth, shared)
+    shared[bucket[order][1:] != bucket[order][:-1]] = -1
+    pointers = np.zeros((depth + 1 - least, n), np.int64)
+    np.cumsum(shared[None, :] < np.arange(least, depth + 1)[:, None], axis=1, out=pointers[:, 1:])
+    out = np.empty_like(pointers)
+    out[:, order] = pointers
+    return out
 
 
-def repeated_windows(bucket, owner, back, span, parts: list[np.ndarray], length: int, gram: int) -> np.ndarray:
-    """hit[m, c]: whether the window at place c of reach m equals a window at that place of its bucket with another owner.
+def repeated_windows(bucket, owner, back, span, parts: list[np.ndarray], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(member, place, hit) of every window of every reach: whether one at that place of its bucket with another owner equals it.
 
     Place length - gram is that of the window which begins with the anchor. ``parts`` are the symbols of the reaches,
-    from back symbols before the anchor on; span windows follow the first. Owners and buckets are numbers below 2^20.
+    from ``back`` symbols before the anchor on; ``span`` windows follow the first.
     """
     n, most = len(parts), length - gram
-    wide = 2 * length - gram
-    m = np.zeros((n, wide), parts[0].dtype)
+    before, after = np.zeros((n, most), parts[0].dtype), np.zeros((n, length), parts[0].dtype)
     for i, p in enumerate(parts):
-        s = most - back[i]
-        m[i, s : s + len(p)] = p
-    m = np.ascontiguousarray(m.T)
-    if m.dtype == np.uint8:
-        q = min(8, length)
-        first = np.zeros((wide - q + 1, n), np.uint64)
-        for k in range(q):
-            first = first << np.uint64(8) | m[k : k + wide - q + 1]
-        first = first.view(np.int64)
-    else:
-        q, first = 1, m
-    pointers = bucket_pointers(first, q, length)
-    key = (pointers << 20 | bucket) << 20 | owner
-    place = np.arange(most + 1)[:, None]
-    outside = (place < most - back) | (place > most - back + span)
-    key = np.where(outside, -1 - np.arange(n, dtype=np.int64) << 20, key)
-    order = np.argsort(key, axis=1)
-    s = np.take_along_axis(key, order, 1)
-    same = np.zeros(s.shape, bool)
-    same[:, 1:] = s[:, 1:] >> 20 == s[:, :-1] >> 20
-    differ = same.copy()
-    differ[:, 1:] &= s[:, 1:] != s[:, :-1]
-    which = np.cumsum(~same.ravel()) - 1
+        k = back[i]
+        before[i, :k] = p[:k][::-1]
+        after[i, : len(p) - k] = p[k:]
+    left, right = depth_pointers(before, bucket), depth_pointers(after, bucket, gram)
+    size = span + 1
+    member = np.repeat(np.arange(n), size)
+    place = np.arange(len(member)) - np.repeat(np.cumsum(size) - size - (most - back), size)
+    name = (left[most - place, member] * n + right[place, member]) * (most + 1) + place
+    order = np.lexsort((owner[member], name))
+    name, own = name[order], owner[member][order]
+    same = np.concatenate(([False], name[1:] == name[:-1]))
+    differ = np.concatenate(([False], own[1:] != own[:-1])) & same
+    which = np.cumsum(~same) - 1
     many = np.zeros(which[-1] + 1, bool)
-    many[which[differ.ravel()]] = True
-    hit = np.empty(s.shape, bool)
-    np.put_along_axis(hit, order, many[which].reshape(s.shape), 1)
-    return hit.T
+    many[which[differ]] = True
+    hit = np.empty(len(order), bool)
+    hit[order] = many[which]
+    return member, place, hit
 
 
 def _runs(hit: np.ndarray) -> list[list[int]]:
@@ -242,21 +264,15 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     apart = unit is Words
 
     def first(batches):
-        for b in common.slices(batches):
-            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for key, t in zip(b.column(0).to_pylist(), b.column(1)):
-                data = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                if len(data) < length:
-                    continue
-                s = unit(data)
-                at, lo, hi = anchors(s, length, gram)
-                near = s.ids(at, at + gram)
-                whole = s.ids(lo, hi + length) ^ _mix((at - lo).astype(np.uint64))
-                for c, v in zip(cols, (near.view(np.int64), whole.view(np.int64), np.full(len(at), key), at, at - lo, hi - lo)):
-                    c.append(v)
-            joined = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
+        for keys, datas in _gathered(batches, length):
+            s = unit(datas)
+            at, lo, hi = anchors(s, length, gram)
+            text = np.searchsorted(s.bounds, at, "right") - 1
+            near = s.ids(at, at + gram)
+            whole = s.ids(lo, hi + length) ^ _mix((at - lo).astype(np.uint64))
+            cols = (near.view(np.int64), whole.view(np.int64), np.array(keys, np.int64)[text], at - s.bounds[text], at - lo, hi - lo)
             kinds = [np.int64] * 3 + [np.int32] + [np.int16 if length < 1 << 15 else np.int32] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(joined, kinds)], names=["gram", "extent", "key", "at", "back", "span"])
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, kinds)], names=["gram", "extent", "key", "at", "back", "span"])
 
     small = "short" if length < 1 << 15 else "int"
     found = common.cut(common.map_arrow(texts, first, f"gram long, extent long, key long, at int, back {small}, span {small}"), "anchors")
@@ -292,7 +308,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
             out: list[list] = [[] for _ in names]
             for key, t, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 data = t.as_py().encode("utf-8", "surrogatepass")
-                symbols = np.frombuffer(data, np.uint8) if unit is Bytes else unit(data).symbols
+                symbols = np.frombuffer(data, np.uint8) if unit is Bytes else unit([data]).symbols
                 for a in asked:
                     s = a["at"] - a["back"]
                     shards = -(-a["parts"] // group)
@@ -327,16 +343,21 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
         owner = np.arange(n)
         if apart:  # one that stands for several keys differs from any other
             owner = np.where(done, n + owner, np.unique(keys, return_inverse=True)[1])
-        hit = repeated_windows(bucket, owner, back, span, parts, length, gram)
-        edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        i, s = np.nonzero(edge == 1)
-        e = np.nonzero(edge == -1)[1]
-        start = at[i] - most + s
+        member, place, hit = repeated_windows(bucket, owner, back, span, parts, length, gram)
+        ends = np.cumsum(span + 1)
+        edge = np.zeros(len(hit) + 1, np.int8)  # runs of hits, none across members
+        edge[:-1] = hit
+        begins = hit.copy()
+        begins[1:] &= ~hit[:-1] | (member[1:] != member[:-1])
+        stops = hit & ((edge[1:] == 0) | np.isin(np.arange(1, len(hit) + 1), ends))
+        i = member[begins]
+        start = at[i] - most + place[begins]
+        end = at[i] - most + place[stops] + length
         none = np.zeros(0, np.int64)
         open_rows, twice = [[none] * 4], [np.zeros((2, 0), np.int64)]
         for j in np.flatnonzero(shards >= 0).tolist():
             ids = unit.of(parts[j]).all_ids(length, 0, int(span[j]) + 1).view(np.int64)
-            left = ~hit[j, most - back[j] : most - back[j] + span[j] + 1]
+            left = ~hit[ends[j] - span[j] - 1 : ends[j]]
             if done[j] and apart:
                 left[:] = False
             begin = at[j] - back[j] + np.flatnonzero(left)
@@ -345,7 +366,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
         g, k, begin, ids = (np.concatenate(c) for c in zip(*open_rows))
         again = np.unique(np.concatenate(twice, axis=1), axis=1)
         a, b, c = len(i), len(g), again.shape[1]
-        cols = [np.concatenate(x) for x in ((grams[i], g, again[0]), (keys[i], k, np.zeros(c, np.int64)), (start, begin, np.zeros(c, np.int64)), (start + (e - s) - 1 + length, begin + length, np.zeros(c, np.int64)), (np.zeros(a, np.int64), ids, again[1]))]
+        cols = [np.concatenate(x) for x in ((grams[i], g, again[0]), (keys[i], k, np.zeros(c, np.int64)), (start, begin, np.zeros(c, np.int64)), (end, begin + length, np.zeros(c, np.int64)), (np.zeros(a, np.int64), ids, again[1]))]
         at_row = np.arange(a + b + c)
         made = [pa.array(x, mask=m) for x, m in zip(cols, (None, at_row >= a + b, None, None, at_row < a))]
         return pa.RecordBatch.from_arrays(made, names=["gram", "key", "start", "end", "open"])
@@ -361,6 +382,23 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     return settled.unionByName(judged_rows.where("open is null").select("key", "start", "end")).unionByName(late)
 
 
+def _gathered(batches, least: int, most: int = 1 << 22):
+    """(keys, texts as bytes) of about ``most`` bytes at a time, without texts shorter than ``least``."""
+    keys, datas, size = [], [], 0
+    for b in batches:
+        for key, t in zip(b.column(0).to_pylist(), b.column(1)):
+            data = (t.as_py() or "").encode("utf-8", "surrogatepass")
+            if len(data) >= least:
+                keys.append(key)
+                datas.append(data)
+                size += len(data)
+                if size >= most:
+                    yield keys, datas
+                    keys, datas, size = [], [], 0
+    if keys:
+        yield keys, datas
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
