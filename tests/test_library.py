@@ -44,7 +44,7 @@ def test_expressions_equal_numpy(spark):
     rows = spark.createDataFrame([(i,) for i in ids], "j long").select(signatures.xor_signature(F.col("j"), 17).alias("x"), signatures.or_signature(F.col("j"), 9).alias("o"), vectors.mix(F.col("j")).alias("m"), vectors.unpack_bits(F.col("j"), 17).alias("b")).collect()
     assert [r.x for r in rows] == signatures.xor_words(ids, 17).tolist()
     assert [r.o for r in rows] == signatures.or_words(ids, 9).tolist()
-    assert [r.m for r in rows] == lsh.mix(np.array(ids, np.int64)).tolist()
+    assert [r.m for r in rows] == vectors.mix_numpy(np.array(ids, np.int64)).tolist()
     assert [sum(b << k for k, b in enumerate(r.b)) for r in rows] == ids
 
 
@@ -121,7 +121,8 @@ def test_hashes_are_near_for_near_vectors(spark):
 
 def test_decoders_recover_planted_items(spark):
     items = spark.range(200).select("id")
-    edges = grouptest.pooling(items, 90)
+    design = grouptest.Design(90)
+    edges = design.edges(items)
     planted = spark.createDataFrame([(q, int(i)) for q in range(6) for i in np.random.default_rng(q).choice(200, 4, replace=False)], "qid long, item long")
     want = set(rows_of(planted, "qid", "item"))
     positive = grouptest.outcomes(planted, edges)
@@ -129,10 +130,86 @@ def test_decoders_recover_planted_items(spark):
     for found in (grouptest.peel(edges, positive), grouptest.recover_omp(edges, positive), grouptest.recover_lsq(edges, positive)):
         got = set(rows_of(found, "qid", "item"))
         assert len(got & want) >= 0.7 * len(want) and len(got - want) <= 6
-    assert set(rows_of(grouptest.xor_peel(grouptest.xor_residuals(planted, edges, 8), edges, 8), "qid", "item")) == want
+    assert set(rows_of(grouptest.xor_peel(grouptest.xor_residuals(planted, edges, 8), design), "qid", "item")) == want
     shape = grouptest.saffron_shape(200, 8)
-    wide = grouptest.pooling(items, shape["buckets"] // 3 * 3)
-    assert set(rows_of(grouptest.or_solve(grouptest.or_outcomes(planted, wide, shape["bits"]), wide, shape["bits"]), "qid", "item")) == want
+    wide = grouptest.Design(shape["buckets"] // 3 * 3)
+    assert set(rows_of(grouptest.or_solve(grouptest.or_outcomes(planted, wide.edges(items), shape["bits"]), wide), "qid", "item")) == want
+
+
+def test_designs_agree_and_large_ids_stop_the_job(spark):
+    ids = [0, 5, 131_072, 2**31 + 3, 2**39 + 7]
+    items = spark.createDataFrame([(i,) for i in ids], "id long")
+    design = grouptest.Design(90, 3, 11)
+    assert rows_of(design.edges(items), "item", "pool") == sorted((i, int(p)) for i, ps in zip(ids, design.homes(ids)) for p in ps)
+    found = grouptest.xor_peel(grouptest.xor_residuals(items.selectExpr("1L as qid", "id as item"), design.edges(items), 40), design)
+    assert rows_of(found, "item") == [(i,) for i in ids]
+    with pytest.raises(Exception, match="more than 20 bits"):
+        grouptest.xor_residuals(items.selectExpr("1L as qid", "id as item"), design.edges(items), 20).collect()
+    with pytest.raises(Exception, match="invariants"):
+        grouptest.spread(design.edges(spark.range(50)), 3, 0).collect()
+
+
+def test_peeling_to_the_fixpoint_equals_a_plain_version(spark):
+    edges, members, positive = grouptest.random_problem(spark, 200, 60, 8)
+    homes = {}
+    for r in edges.collect():
+        homes.setdefault(r.item, set()).add(r.pool)
+    pools_ = {r.pool for r in positive.collect()}
+    left, want = {i for i, ps in homes.items() if ps <= pools_}, set()
+    while True:
+        single = {m[0] for p in pools_ for m in [[i for i in left if p in homes[i]]] if len(m) == 1}
+        if not single:
+            break
+        want |= single
+        left -= single
+        pools_ -= {p for i in single for p in homes[i]}
+    assert want and rows_of(grouptest.peel(edges, positive), "item") == sorted((i,) for i in want)
+
+
+def test_scans_in_several_groups_of_queries(spark):
+    rng = np.random.default_rng(4)
+    m = rng.integers(0, 9, (60, 4))
+    x = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "id long, v array<long>").repartition(3)
+    make = lambda qids, ids, scores: tuple(a[np.nonzero(scores >= 90)[k]] for a, k in ((qids, 1), (ids, 0))) + (scores[scores >= 90],)
+    want = sorted((q, i, int(m[q] @ m[i])) for q in range(60) for i in range(60) if m[q] @ m[i] >= 90)
+    assert want and rows_of(exact._scan(x, x, make, group_numbers=70), "qid", "id", "score") == want
+    best = lambda got: rows_of(got, "qid", "rank", "id", "score")
+    assert best(exact.knn_by_tree(x, x, 3, 16)) == best(exact.knn(x, x, 3))
+    got = {r.bin: r.n for r in exact.score_histogram(x, x, 100, 10).collect()}
+    assert got == {b: n for b in range(10) if (n := int((np.minimum(9, m @ m.T // 10) == b).sum()))}
+
+
+def test_coded_joins_equal_plain_ones(spark, sparse):
+    q = exact.queries_of(sparse.where("id % 10 = 0"))
+    assert rows_of(exact.linscan(*exact.coded(sparse, q)), "qid", "id", "score") == rows_of(exact.linscan(sparse, q), "qid", "id", "score")
+
+
+def test_dual_index_equals_a_plain_version(spark):
+    rng = np.random.default_rng(9)
+    x = spark.createDataFrame([(i, rng.integers(-9, 9, 8).tolist()) for i in range(60)], "id long, v array<long>")
+    design, q = grouptest.Design(6), x.where("id < 3")
+    index = ann.DualIndex(x, design, 4, 8, tables=3, word=2)
+    words = [{r.id: r.hashes for r in lsh.hashes(x, 3, 2, 8, s).collect()} for s in index.seeds]
+    near = lambda k, a, b: any(u == w for u, w in zip(words[k][a], words[k][b]))
+    sig = signatures.or_words(range(60), 4)
+    want = [(a, p, i) for a in range(3) for p in range(6 * 24) for i in range(60) if p // 24 in design.homes([i])[0] and sig[i][p % 24] and near(0, a, i) and near(1, a, i)]
+    assert rows_of(index.query(q, spark.range(6 * 24).withColumnRenamed("id", "pool")), "qid", "pool", "id") == sorted(want)
+
+
+def test_pursuit_equals_a_dense_version():
+    rng = np.random.default_rng(8)
+    a = (rng.random((15, 30)) < 0.25).astype(float)
+    a[0, a.sum(axis=0) == 0] = 1
+    y = a[:, 3] + a[:, 8] + a[:, 21]
+    rest, chosen = y, []
+    while len(chosen) < 5 and np.linalg.norm(rest) > 1e-9:
+        gain = np.abs(a.T @ rest)
+        gain[chosen] = -1
+        chosen.append(int(gain.argmax()))
+        rest = y - a[:, chosen] @ np.linalg.pinv(a[:, chosen]) @ y
+    pool, item = np.nonzero(a)
+    x = grouptest.omp(grouptest.Incidence(item, pool), y, 5)
+    assert sorted(np.flatnonzero(x)) == sorted(chosen) and np.allclose(a[:, chosen] @ x[chosen], y - rest)
 
 
 def test_balanced_pools(spark):
@@ -143,8 +220,11 @@ def test_balanced_pools(spark):
 def test_least_squares_is_the_minimum_norm_solution():
     rng = np.random.default_rng(5)
     a = (rng.random((12, 20)) < 0.3).astype(float)
+    a[0, a.sum(axis=0) == 0] = 1
+    a[a.sum(axis=1) == 0, 0] = 1
     y = rng.random(12)
-    assert np.allclose(grouptest.least_squares(a, y), np.linalg.pinv(a) @ y, atol=1e-6)
+    pool, item = np.nonzero(a)
+    assert np.allclose(grouptest.least_squares(grouptest.Incidence(item, pool), y), np.linalg.pinv(a) @ y, atol=1e-6)
 
 
 def test_pipelines_return_ranked_rows(spark):
@@ -155,7 +235,7 @@ def test_pipelines_return_ranked_rows(spark):
         r = ann.by_elimination(h, 60, 3, 10, decoder, rounds=2)
         assert {row.qid for row in r.collect()} == set(range(5))
     assert {row.qid for row in ann.by_xor(h, 300, 7, 3, 8).collect()} == set(range(5))
-    assert {row.qid for row in ann.by_bloom_bits(h, 300, 7, 3, 8).collect()} == set(range(5))
+    assert {row.qid for row in ann.by_bloom_bits(x, x.where("id < 5"), 16, 60, 7, 3, word=8).collect()} == set(range(5))
 
 
 def test_metrics(spark):

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vecgrove.functions import signatures, text, vectors
-from vecgrove.operators import ann, exact, grouptest, lsh, metrics, pools
+from vecgrove.operators import ann, bloom, exact, grouptest, lsh, metrics, pools
+from vecgrove.materialise import new_path
 from vecgrove.plans import pruned
 from vecgrove.types import SCALE, quantised, to_long
 
@@ -18,7 +19,9 @@ DIMS = 64
 T, B = 20, 6  # hash tables and bits
 LEAST = 3  # equal tables of a candidate
 POOLS = 90
-BITS = 17  # of an item index
+BITS = 40  # of an item index; a larger one stops the job
+HALF = BITS // 2
+BUCKETS, DEGREE = 64, 4  # of the inclusive-or design
 DENSE_LEAST = 9 << 36  # of 2^40
 TEXT_LEAST = 40
 LEVELS, QLEVELS = 4, 2
@@ -48,6 +51,11 @@ def grams(spark, d):
     return text.ngram_counts(docs)
 
 
+def _coded(spark, d):
+    x = grams(spark, d)
+    return exact.coded(x, sparse_queries(x))
+
+
 def sparse_queries(x):
     return exact.queries_of(asking(x))
 
@@ -91,17 +99,36 @@ def top(source, k=K):
     return f"SELECT qid, id, score, rank FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id DESC) AS rank FROM {source}) WHERE rank <= {k}"
 
 
-PL = f"""k0 AS (SELECT unnest(range(0, {T * B * DIMS})) AS n),
-k1 AS (SELECT n, ((n + 7) * 1103515245 + 12345) % 2147483648 AS k FROM k0), k2 AS (SELECT n, xor(k, k >> 15) AS k FROM k1),
-k3 AS (SELECT n, (k * 1103515245 + 12345) % 2147483648 AS k FROM k2), k4 AS (SELECT n, xor(k, k >> 13) AS k FROM k3),
-k5 AS (SELECT n, (k * 747796405 + 2891) % 2147483648 AS k FROM k4),
-pl AS (SELECT n // {B * DIMS} AS tbl, n // {DIMS} % {B} AS bit, list((k >> 30) * 2 - 1.0 ORDER BY n) AS p FROM k5 GROUP BY ALL)"""
-H = f"{X}, {PL}, h AS (SELECT id, tbl, CAST(sum(CASE WHEN list_dot_product(v, p) >= 0 THEN 1 << bit ELSE 0 END) AS BIGINT) AS h FROM x, pl GROUP BY id, tbl)"
+
+
+def _planes(tables, bits, seed=7, name="pl"):
+    """SQL of the hash planes: (tbl, bit, p)."""
+    n = name
+    return f"""{n}0 AS (SELECT unnest(range(0, {tables * bits * DIMS})) AS n),
+{n}1 AS (SELECT n, ((n + {seed}) * 1103515245 + 12345) % 2147483648 AS k FROM {n}0), {n}2 AS (SELECT n, xor(k, k >> 15) AS k FROM {n}1),
+{n}3 AS (SELECT n, (k * 1103515245 + 12345) % 2147483648 AS k FROM {n}2), {n}4 AS (SELECT n, xor(k, k >> 13) AS k FROM {n}3),
+{n}5 AS (SELECT n, (k * 747796405 + 2891) % 2147483648 AS k FROM {n}4),
+{n} AS MATERIALIZED (SELECT n // {bits * DIMS} AS tbl, n // {DIMS} % {bits} AS bit, list((k >> 30) * 2 - 1.0 ORDER BY n) AS p FROM {n}5 GROUP BY ALL)"""
+
+
+def _hash(planes="pl", name="h", rows="x"):
+    return f"{name} AS MATERIALIZED (SELECT id, tbl, CAST(sum(CASE WHEN list_dot_product(v, p) >= 0 THEN 1 << bit ELSE 0 END) AS BIGINT) AS h FROM {rows}, {planes} GROUP BY id, tbl)"
+
+
+H = f"{X}, {_planes(T, B)}, {_hash()}"
 M = "m AS (SELECT q.id AS qid, y.id, count(*) AS n_match FROM h q JOIN h y USING (tbl, h) WHERE q.id % 50 = 0 GROUP BY q.id, y.id)"
-E = f"""e0 AS (SELECT vec_id AS item, unnest(range(0, 3)) AS j FROM embeddings),
-e1 AS (SELECT item, j, ((item * 3 + j + 5) * 1103515245 + 12345) % 2147483648 AS k FROM e0), e2 AS (SELECT item, j, xor(k, k >> 15) AS k FROM e1),
-e3 AS (SELECT item, j, (k * 1103515245 + 12345) % 2147483648 AS k FROM e2), e4 AS (SELECT item, j, xor(k, k >> 13) AS k FROM e3),
-e AS (SELECT j * {POOLS // 3} + ((k * 747796405 + 2891) % 2147483648) % {POOLS // 3} AS pool, item FROM e4)"""
+
+
+def _edges(pools, each=3, name="e"):
+    """SQL of the design's edges, under ``name``."""
+    e, stripe = name, pools // each
+    return f"""{e}0 AS (SELECT vec_id AS item, unnest(range(0, {each})) AS j FROM embeddings),
+{e}1 AS (SELECT item, j, ((item * {each} + j + 5) * 1103515245 + 12345) % 2147483648 AS k FROM {e}0), {e}2 AS (SELECT item, j, xor(k, k >> 15) AS k FROM {e}1),
+{e}3 AS (SELECT item, j, (k * 1103515245 + 12345) % 2147483648 AS k FROM {e}2), {e}4 AS (SELECT item, j, xor(k, k >> 13) AS k FROM {e}3),
+{e} AS (SELECT j * {stripe} + ((k * 747796405 + 2891) % 2147483648) % {stripe} AS pool, item FROM {e}4)"""
+
+
+E = _edges(POOLS)
 PP = f"pp AS (SELECT DISTINCT qid, pool FROM m JOIN e ON m.id = e.item WHERE n_match >= {LEAST})"
 EL = "el AS (SELECT qid, item FROM pp JOIN e USING (pool) GROUP BY qid, item HAVING count(*) = 3)"
 
@@ -167,12 +194,12 @@ TEXT_TOP = f"WITH {G}, {GS} {top('s')}"
 
 @query("linscan_threshold", TEXT_SQL)
 def _(spark, d):
-    return exact.linscan(*_sparse(spark, d), TEXT_LEAST)
+    return exact.linscan(*_coded(spark, d), TEXT_LEAST)
 
 
 @query("linscan_topk", TEXT_TOP)
 def _(spark, d):
-    return exact.linscan_topk(*_sparse(spark, d), K)
+    return exact.linscan_topk(*_coded(spark, d), K)
 
 
 @query("linscan_postings_touched", f"WITH {G}, n AS (SELECT dim, count(*) AS n FROM g GROUP BY dim) SELECT id AS qid, CAST(sum(n) AS BIGINT) AS n_dots FROM g JOIN n USING (dim) WHERE id % 50 = 0 GROUP BY id")
@@ -241,6 +268,12 @@ def _(spark, d):
     return x.groupBy(F.col("dim").cast("long").alias("dim")).agg(F.count("*").alias("n"), F.sum("val").alias("total"))
 
 
+@query("dim_tree_sums", f"WITH {XA}, {XL}, v AS (SELECT unnest(range(0, 3)) AS level), t AS (SELECT a.dim AS of, l.id // 128 AS tree, level, (1 << level) + ((l.id % 128) // 32 >> (2 - level)) AS node, l.dim, sum(l.val) AS val FROM l a JOIN l USING (id), v WHERE a.val >= {SCALE // 20} AND l.val <> 0 GROUP BY ALL) SELECT of, tree, level, CAST(node AS BIGINT) AS node, count(*) AS dims, CAST(sum(val) AS BIGINT) AS total FROM t GROUP BY ALL")
+def _(spark, d):
+    t = pools.dim_trees(to_long(dense_abs(spark, d)), SCALE // 20, 2, 32)
+    return t.groupBy("of", "tree", "level", "node").agg(F.count("*").alias("dims"), F.sum("val").alias("total"))
+
+
 @query(
     "best_partition",
     f"""WITH {XA}, {XL}, b0 AS (SELECT id, unnest(range(0, 4)) AS trial FROM x),
@@ -262,42 +295,65 @@ def _(spark, d):
 
 @query("pruned_threshold", TEXT_SQL)
 def _(spark, d):
-    return pruned.threshold(*_sparse(spark, d), TEXT_LEAST)
+    return pruned.threshold(*_coded(spark, d), TEXT_LEAST)
 
 
 @query("pruned_candidate_pools", f"WITH {G}, p AS (SELECT id // 32 AS pool, dim, sum(val) AS val FROM g GROUP BY ALL) SELECT q.id AS qid, pool FROM g q JOIN p USING (dim) WHERE q.id % 50 = 0 GROUP BY q.id, pool HAVING sum(q.val * p.val) >= {TEXT_LEAST}")
 def _(spark, d):
-    return pruned.candidates(*_sparse(spark, d), TEXT_LEAST)
+    return pruned.candidates(*_coded(spark, d), TEXT_LEAST)
 
 
 @query("double_pruned_threshold", TEXT_SQL)
 def _(spark, d):
-    return pruned.double_threshold(*_sparse(spark, d), TEXT_LEAST)
+    return pruned.double_threshold(*_coded(spark, d), TEXT_LEAST)
 
 
 @query("page_pruned_threshold", TEXT_SQL)
 def _(spark, d):
-    return pruned.page_threshold(*_sparse(spark, d), TEXT_LEAST)
+    return pruned.page_threshold(*_coded(spark, d), TEXT_LEAST)
+
+
+DENSE_SQL = f"WITH {XA}, {S} SELECT qid, id, score FROM s WHERE score >= {DENSE_LEAST}"
+
+
+def _long_abs(spark, d):
+    x = to_long(dense_abs(spark, d))
+    return x, sparse_queries(x)
+
+
+@query("dense_pruned_threshold", DENSE_SQL)
+def _(spark, d):
+    return pruned.threshold(*_long_abs(spark, d), DENSE_LEAST)
+
+
+@query("dense_double_pruned_threshold", DENSE_SQL)
+def _(spark, d):
+    return pruned.double_threshold(*_long_abs(spark, d), DENSE_LEAST)
+
+
+@query("dense_pruned_candidates", f"WITH {XA}, {XL}, p AS (SELECT id // 32 AS pool, dim, sum(val) AS val FROM l GROUP BY ALL) SELECT q.id AS qid, pool FROM l q JOIN p USING (dim) WHERE q.id % 50 = 0 GROUP BY q.id, pool HAVING sum(q.val * p.val) >= {DENSE_LEAST}")
+def _(spark, d):
+    return pruned.candidates(*_long_abs(spark, d), DENSE_LEAST)
 
 
 @query("dim_based_threshold", f"WITH {G}, {GS}, c AS (SELECT DISTINCT q.id AS qid, g.id FROM g q JOIN g USING (dim) WHERE q.id % 50 = 0 AND q.val >= 2 AND g.val >= 2) SELECT qid, id, score FROM s JOIN c USING (qid, id) WHERE score >= {TEXT_LEAST}")
 def _(spark, d):
-    return pruned.dim_threshold(*_sparse(spark, d), TEXT_LEAST, 2)
+    return pruned.dim_threshold(*_coded(spark, d), TEXT_LEAST, 2)
 
 
 @query("pruned_knn", TEXT_TOP)
 def _(spark, d):
-    return pruned.knn(*_sparse(spark, d), K)
+    return pruned.knn(*_coded(spark, d), K)
 
 
 @query("double_knn", TEXT_TOP)
 def _(spark, d):
-    return pruned.double_knn(*_sparse(spark, d), K)
+    return pruned.double_knn(*_coded(spark, d), K)
 
 
 @query("cascade_knn", TEXT_TOP)
 def _(spark, d):
-    return pruned.cascade_knn(*_sparse(spark, d), K)
+    return pruned.cascade_knn(*_coded(spark, d), K)
 
 
 @query("reordered_knn", f"WITH {XA}, {S} {top('s')}")
@@ -341,16 +397,17 @@ def _(spark, d):
 # -- vector functions ----------------------------------------------------------------------------------------------
 
 
-@query("sparse_add", f"WITH {G} SELECT id % 50 AS id, count(*) AS dims, CAST(sum(val) AS BIGINT) AS total, CAST(sum(val * val) AS BIGINT) AS squares FROM (SELECT id % 50 AS id, dim, sum(val) AS val FROM g GROUP BY ALL) GROUP BY ALL")
+@query("sparse_add", f"WITH {G}, a AS (SELECT id - id % 2 AS id, dim, sum(val) AS val FROM g GROUP BY ALL) SELECT id, count(*) AS dims, CAST(sum(val) AS BIGINT) AS total, CAST(sum(val * val) AS BIGINT) AS squares FROM a GROUP BY id")
 def _(spark, d):
-    x = grams(spark, d).select((F.col("id") % 50).alias("id"), "dim", "val")
-    both = vectors.add_sparse(x, x.limit(0))
+    x = grams(spark, d)
+    odd = x.where("id % 2 = 1").withColumn("id", F.col("id") - 1)
+    both = vectors.add_sparse(x.where("id % 2 = 0"), odd)
     return both.groupBy("id").agg(F.count("*").alias("dims"), F.sum("val").alias("total"), F.sum(F.col("val") * F.col("val")).alias("squares"))
 
 
 @query("sparse_dot", f"WITH {G}, {GS} SELECT qid, id, score FROM s")
 def _(spark, d):
-    x, q = _sparse(spark, d)
+    x, q = _coded(spark, d)
     return vectors.dot_sparse(q, x)
 
 
@@ -370,7 +427,7 @@ def _(spark, d):
 
 @query("dot_histogram", f"WITH {XA}, {S} SELECT least(999, CAST(floor(score * 1000.0 / {1 << 40}) AS BIGINT)) AS bin, count(*) AS n FROM s GROUP BY ALL")
 def _(spark, d):
-    return metrics.histogram(exact.threshold(*_abs(spark, d), 0), 1 << 40)
+    return exact.score_histogram(*_abs(spark, d), 1 << 40)
 
 
 @query("dim_cooccurrence", f"WITH {XA}, {XL} SELECT a.dim AS d1, b.dim AS d2, CAST(sum(a.val * b.val) AS BIGINT) AS weight FROM l a JOIN l b USING (id) WHERE a.dim <> b.dim AND a.val <> 0 AND b.val <> 0 GROUP BY ALL")
@@ -467,16 +524,16 @@ def _peel_sql(rounds):
     parts, pools_, left, found = [], "pp", "el", []
     for n in range(rounds):
         parts += [
-            f"g{n} AS (SELECT DISTINCT qid, item FROM (SELECT qid, pool, count(*) AS n, min(item) AS item FROM {pools_} JOIN e USING (pool) JOIN {left} USING (qid, item) GROUP BY qid, pool) WHERE n = 1)",
-            f"l{n} AS (SELECT qid, item FROM {left} ANTI JOIN g{n} USING (qid, item))",
-            f"q{n} AS (SELECT qid, pool FROM {pools_} ANTI JOIN (SELECT DISTINCT qid, pool FROM g{n} JOIN e USING (item)) z USING (qid, pool))",
+            f"g{n} AS MATERIALIZED (SELECT DISTINCT qid, item FROM (SELECT qid, pool, count(*) AS n, min(item) AS item FROM {pools_} JOIN e USING (pool) JOIN {left} USING (qid, item) GROUP BY qid, pool) WHERE n = 1)",
+            f"l{n} AS MATERIALIZED (SELECT qid, item FROM {left} ANTI JOIN g{n} USING (qid, item))",
+            f"q{n} AS MATERIALIZED (SELECT qid, pool FROM {pools_} ANTI JOIN (SELECT DISTINCT qid, pool FROM g{n} JOIN e USING (item)) z USING (qid, pool))",
         ]
         found.append(f"SELECT qid, item FROM g{n}")
         pools_, left = f"q{n}", f"l{n}"
-    return ", ".join(parts) + " " + " UNION ALL ".join(found)
+    return ", ".join(parts) + ", peeled AS (" + " UNION ALL ".join(found) + ")"
 
 
-@query("comp_peel", f"WITH {H}, {M}, {E}, {PP6}, {EL}, {_peel_sql(2)}")
+@query("comp_peel", f"WITH {H}, {M}, {E}, {PP6}, {EL}, {_peel_sql(2)} SELECT qid, item FROM peeled")
 def _(spark, d):
     return grouptest.peel(*_positive(spark, d), rounds=2)
 
@@ -515,8 +572,7 @@ def _(spark, d):
 
 
 def _res(spark, d):
-    edges = grouptest.pooling(_items(spark, d), POOLS)
-    return grouptest.xor_residuals(_planted(spark, d), edges, BITS), edges
+    return grouptest.xor_residuals(_planted(spark, d), grouptest.pooling(_items(spark, d), POOLS), BITS)
 
 
 _CNT = f"WITH {E}, {MEM}, c AS (SELECT qid, pool, count(*) AS n, min(item) AS lo, max(item) AS hi FROM mem JOIN e USING (item) GROUP BY qid, pool)"
@@ -524,24 +580,56 @@ _CNT = f"WITH {E}, {MEM}, c AS (SELECT qid, pool, count(*) AS n, min(item) AS lo
 
 @query("singleton_decode", f"{_CNT} SELECT qid, pool, lo AS item FROM c WHERE n = 1")
 def _(spark, d):
-    return grouptest.decode_singletons(_res(spark, d)[0], BITS)
+    return grouptest.decode_singletons(_res(spark, d), BITS)
 
 
 @query("doubleton_decode", f"{_CNT} SELECT qid, pool, lo AS first, hi AS second FROM c WHERE n = 2 AND ((lo >> 7) & 1 <> (hi >> 7) & 1 OR (lo >> 13) & 1 <> (hi >> 13) & 1)")
 def _(spark, d):
-    return grouptest.decode_pairs(_res(spark, d)[0], BITS)
+    return grouptest.decode_pairs(_res(spark, d), BITS)
 
 
 @query("xor_peel", f"WITH {MEM} SELECT qid, item FROM mem")
 def _(spark, d):
-    return grouptest.xor_peel(*_res(spark, d), BITS)
+    return grouptest.xor_peel(_res(spark, d), grouptest.Design(POOLS))
 
 
-@query("or_saffron")
+def _xor_peel_sql(rounds=10):
+    """SQL of peeling: met (qid, pool, item) holds what is in each sum; a found item enters or leaves the sums of its pools."""
+    parts, sums = ["p0 AS MATERIALIZED (SELECT DISTINCT qid, pool FROM met)"], "met"
+    for n in range(rounds):
+        before = f"f{n - 1}" if n else "(SELECT 0::BIGINT AS qid, 0::BIGINT AS item WHERE FALSE)"
+        parts += [
+            f"c{n} AS MATERIALIZED (SELECT qid, pool, count(*) AS n, min(item) AS lo, max(item) AS hi FROM {sums} GROUP BY qid, pool)",
+            f"d{n} AS MATERIALIZED (SELECT qid, lo AS item FROM c{n} WHERE n = 1 UNION SELECT qid, unnest([lo, hi]) FROM c{n} WHERE n = 2 AND ((lo >> 7) & 1 <> (hi >> 7) & 1 OR (lo >> 13) & 1 <> (hi >> 13) & 1))",
+            f"n{n} AS MATERIALIZED (SELECT qid, item FROM d{n} ANTI JOIN {before} z USING (qid, item))",
+            f"f{n} AS MATERIALIZED (SELECT * FROM n{n} UNION SELECT * FROM {before} z)",
+            f"s{n} AS MATERIALIZED (SELECT qid, pool, item FROM (SELECT qid, pool, item FROM {sums} UNION ALL SELECT qid, pool, item FROM n{n} JOIN e USING (item) SEMI JOIN p0 USING (qid, pool)) GROUP BY ALL HAVING count(*) % 2 = 1)",
+        ]
+        sums = f"s{n}"
+    return ", ".join(parts) + f", peeled AS (SELECT * FROM f{rounds - 1})"
+
+
+_OR_M = (1 << HALF) - 1
+_L, _U = f"(item & {_OR_M})", f"((item >> {HALF}) & {_OR_M})"
+_OR_SIG = ", ".join(f"{x} | (xor({x}, {_OR_M}) << {HALF}) AS {n}" for x, n in ((_L, "a"), (_U, "b"), (f"xor({_L}, {_U})", "c")))
+
+
+def _or_solve_sql(rounds=6):
+    """SQL of inclusive-or recovery: from met (qid, pool, item) to solved (qid, item), by singletons, then by known items."""
+    parts = [
+        f"os AS MATERIALIZED (SELECT pool, item, {_OR_SIG} FROM e)",
+        "z AS MATERIALIZED (SELECT met.qid, met.pool, bit_or(a) AS a, bit_or(b) AS b, bit_or(c) AS c FROM met JOIN os USING (pool, item) GROUP BY ALL)",
+        "f0 AS MATERIALIZED (SELECT DISTINCT qid, item FROM z JOIN os USING (pool, a, b, c))",
+    ]
+    for n in range(1, rounds):
+        parts.append(f"f{n} AS MATERIALIZED (SELECT * FROM f{n - 1} UNION SELECT z.qid, o.item FROM f{n - 1} f JOIN os k ON k.item = f.item JOIN z ON z.qid = f.qid AND z.pool = k.pool JOIN os o ON o.pool = z.pool AND o.item <> k.item AND k.a | o.a = z.a AND k.b | o.b = z.b AND k.c | o.c = z.c)")
+    return ", ".join(parts) + f", solved AS (SELECT * FROM f{rounds - 1})"
+
+
+@query("or_saffron", f"WITH {_edges(BUCKETS, DEGREE)}, {MEM}, met AS (SELECT qid, pool, item FROM mem JOIN e USING (item)), {_or_solve_sql()} SELECT qid, item FROM solved")
 def _(spark, d):
-    shape = grouptest.saffron_shape(1 << 18, 16)
-    edges = grouptest.pooling(_items(spark, d), shape["buckets"] // 4 * 4, 4)
-    return grouptest.or_solve(grouptest.or_outcomes(_planted(spark, d), edges, shape["bits"]), edges, shape["bits"])
+    design = grouptest.Design(BUCKETS, DEGREE)
+    return grouptest.or_solve(grouptest.or_outcomes(_planted(spark, d), design.edges(_items(spark, d)), HALF), design)
 
 
 @query("omp_recover")
@@ -556,36 +644,115 @@ def _(spark, d):
     return grouptest.recover_lsq(edges, grouptest.outcomes(_planted(spark, d), edges))
 
 
+@query(
+    "random_problem_elimination",
+    """WITH r AS (SELECT unnest(range(0, 50)) AS item), a0 AS (SELECT item, unnest(range(0, 3)) AS j FROM r),
+a1 AS (SELECT item, j, ((item * 3 + j + 42) * 1103515245 + 12345) % 2147483648 AS k FROM a0), a2 AS (SELECT item, j, xor(k, k >> 15) AS k FROM a1),
+a3 AS (SELECT item, j, (k * 1103515245 + 12345) % 2147483648 AS k FROM a2), a4 AS (SELECT item, j, xor(k, k >> 13) AS k FROM a3),
+e AS (SELECT j * 10 + ((k * 747796405 + 2891) % 2147483648) % 10 AS pool, item FROM a4),
+b1 AS (SELECT item, ((item + 119) * 1103515245 + 12345) % 2147483648 AS k FROM r), b2 AS (SELECT item, xor(k, k >> 15) AS k FROM b1),
+b3 AS (SELECT item, (k * 1103515245 + 12345) % 2147483648 AS k FROM b2), b4 AS (SELECT item, xor(k, k >> 13) AS k FROM b3),
+pl AS (SELECT item FROM b4 ORDER BY (k * 747796405 + 2891) % 2147483648, item LIMIT 3),
+y AS (SELECT DISTINCT pool FROM e SEMI JOIN pl USING (item)),
+f AS (SELECT item FROM e SEMI JOIN y USING (pool) GROUP BY item HAVING count(*) = 3)
+SELECT item, item IN (SELECT item FROM pl) AS planted FROM f""",
+)
+def _(spark, d):
+    edges, members, positive = grouptest.random_problem(spark, 50, 30, 3)
+    found = grouptest.eliminate(edges, positive).select("item")
+    return found.join(members.select("item", F.lit(True).alias("planted")), "item", "left").select("item", F.coalesce("planted", F.lit(False)).alias("planted"))
+
+
+@query("default_pools", f"WITH {_edges(400 * K)} SELECT pool, count(*) AS n FROM e GROUP BY pool")
+def _(spark, d):
+    return grouptest.pooling(_items(spark, d), grouptest.default_pools(K)).groupBy("pool").agg(F.count("*").alias("n"))
+
+
+@query("design_invariants", f"WITH e AS (SELECT j * {POOLS // 3} + (vec_id + j * (vec_id // {POOLS // 3})) % {POOLS // 3} AS pool, vec_id AS item FROM embeddings, range(0, 3) r(j)), s AS (SELECT pool, count(*) AS n FROM e GROUP BY pool), i AS (SELECT item, count(DISTINCT pool) AS n FROM e GROUP BY item), t AS (SELECT count(*) AS n FROM embeddings) SELECT count(*) AS pools, min(s.n) AS smallest, max(s.n) AS largest, (SELECT min(n) FROM i) AS each_least, (SELECT max(n) FROM i) AS each_most, max(s.n) <= (SELECT (n * 3 + {POOLS - 1}) // {POOLS} + 10 FROM t) AS fits FROM s")
+def _(spark, d):
+    items = _items(spark, d)
+    room = items.agg(F.count("*").alias("n"))  # one row
+    found = grouptest.spread(grouptest.balanced(items, POOLS), 3, 10).join(room)
+    fits = F.col("largest") <= F.ceil(F.col("n") * 3 / POOLS) + 10
+    return found.select("pools", "smallest", "largest", "each_least", "each_most", fits.alias("fits"))
+
+
 # -- pipelines -----------------------------------------------------------------------------------------------------
 
-@query("ann_lsh_comp", f"WITH {H}, {M}, {E}, {PP6}, {EL}, c AS (SELECT el.qid, el.item AS id, coalesce(n_match, 0) AS score FROM el LEFT JOIN m ON m.qid = el.qid AND m.id = el.item UNION ALL SELECT qid, id, n_match FROM m WHERE qid NOT IN (SELECT qid FROM el)) {top('c')}")
+_COUNTED = "counted AS (SELECT {f}.qid, {f}.item AS id, coalesce(n_match, 0) AS score FROM {f} LEFT JOIN m ON m.qid = {f}.qid AND m.id = {f}.item UNION ALL SELECT qid, id, n_match FROM m WHERE qid NOT IN (SELECT qid FROM {f}))"
+COMP = f"{H}, {M}, {E}, {PP6}, {EL}, " + _COUNTED.format(f="el")
+
+
+@query("ann_lsh_comp", f"WITH {COMP} {top('counted')}")
 def _(spark, d):
     return ann.by_elimination(_hashed(spark, d), POOLS, K, LEAST + 3, "eliminate")
 
 
-@query("ann_lsh_peel")
+@query("ann_lsh_peel", f"WITH {H}, {M}, {E}, {PP6}, {EL}, {_peel_sql(3)}, {_COUNTED.format(f='peeled')} {top('counted')}")
 def _(spark, d):
     return ann.by_elimination(_hashed(spark, d), POOLS, K, LEAST + 3, "peel", rounds=3)
 
 
-@query("ann_lsh_xor")
+_RERANKED = "rr AS (SELECT s.qid, s.id, s.score FROM s JOIN peeled p ON p.qid = s.qid AND p.item = s.id)"
+
+
+@query("ann_lsh_xor", f"WITH {H}, {M}, {S}, {_edges(10 * POOLS)}, met AS MATERIALIZED (SELECT qid, pool, item FROM m JOIN e ON m.id = e.item WHERE n_match >= {LEAST + 4}), {_xor_peel_sql()}, {_RERANKED} {top('rr')}")
 def _(spark, d):
     return ann.by_xor(_hashed(spark, d), 10 * POOLS, BITS, K, LEAST + 4)
 
 
-@query("ann_saffron_index")
+@query("ann_saffron_index", f"WITH {X}, {_planes(5 * POOLS, 8)}, {_hash()}, {S}, {_edges(5 * POOLS)}, met AS MATERIALIZED (SELECT q.id AS qid, e.pool, e.item FROM h q JOIN h y USING (tbl, h) JOIN e ON e.pool = y.tbl AND e.item = y.id WHERE q.id % 50 = 0), {_xor_peel_sql()}, {_RERANKED} {top('rr')}")
 def _(spark, d):
     return ann.by_pool_hash(*_dense(spark, d), DIMS, 5 * POOLS, BITS, K, word=8)
 
 
+FILTERS, FHASHES, FWORD = 30, 2, 5  # pools, hashes and bits of the filters by pool and bit
+_FLEN = 3 * (2 * BITS + 1)
+
+
+@query(
+    "bloom_positive_tests",
+    f"""WITH {X}, {_planes(FILTERS * _FLEN * FHASHES, FWORD)}, {_edges(FILTERS)},
+sg AS (SELECT pool, item, unnest({_sig('item')}) AS one, unnest(range(0, {_FLEN})) AS pos FROM e),
+it AS (SELECT item, (pool * {_FLEN} + pos) * {FHASHES} + r.j AS tbl FROM sg, range(0, {FHASHES}) r(j) WHERE one = 1),
+hi AS MATERIALIZED (SELECT item, tbl, sum(CASE WHEN list_dot_product(v, p) >= 0 THEN 1 << bit ELSE 0 END) AS h FROM it JOIN x ON x.id = it.item JOIN pl USING (tbl) GROUP BY ALL),
+hq AS MATERIALIZED (SELECT id AS qid, tbl, sum(CASE WHEN list_dot_product(v, p) >= 0 THEN 1 << bit ELSE 0 END) AS h FROM x, pl WHERE id % 50 = 0 GROUP BY ALL),
+mt AS (SELECT qid, tbl // {FHASHES} AS test, item FROM hq JOIN hi USING (tbl, h) GROUP BY ALL HAVING count(*) >= {FHASHES})
+SELECT DISTINCT qid, test // {_FLEN} AS pool, test % {_FLEN} AS pos FROM mt""",
+)
+def _(spark, d):
+    x, q = _dense(spark, d)
+    return bloom.positive_tests(x, q, grouptest.Design(FILTERS), DIMS, BITS, FHASHES, FWORD, FHASHES)
+
+
 @query("ann_bloom_xor")
 def _(spark, d):
-    return ann.by_bloom_bits(_hashed(spark, d), 10 * POOLS, BITS, K, LEAST + 4)
+    return ann.by_bloom_bits(*_dense(spark, d), DIMS, POOLS, BITS, K)
 
 
-@query("ann_or_saffron")
+@query("ann_or_saffron", f"WITH {H}, {M}, {_edges(BUCKETS, DEGREE)}, met AS MATERIALIZED (SELECT qid, pool, item FROM m JOIN e ON m.id = e.item WHERE n_match >= {LEAST + 4}), {_or_solve_sql()}, c AS (SELECT m.qid, m.id, n_match AS score FROM m JOIN solved o ON o.qid = m.qid AND o.item = m.id WHERE n_match >= {LEAST + 4}) {top('c')}")
+def _(spark, d):
+    return ann.by_saffron(_hashed(spark, d), 16, 1 << BITS, K, LEAST + 4)
+
+
+DT, DW = 4, 4  # tables and bits of the dual index
+_TESTS = 6 * HALF
+_DUAL = f"{X}, {_planes(DT, DW, 7, 'pa')}, {_hash('pa', 'ha')}, {_planes(DT, DW, 7 + DT * DW * DIMS, 'pb')}, {_hash('pb', 'hb')}, {E}"
+
+
+@query(
+    "dual_index_pools",
+    f"""WITH {_DUAL}, ask AS (SELECT b.b * {_TESTS} + t.t AS pool, b.b AS bucket, t.t AS test FROM range(0, {POOLS}, 30) b(b), range(0, {_TESTS}, 7) t(t)),
+ma AS (SELECT DISTINCT q.id AS qid, e.pool AS bucket, e.item FROM ha q JOIN ha y USING (tbl, h) JOIN e ON e.item = y.id WHERE q.id % 50 = 0),
+mb AS (SELECT q.id AS qid, y.id AS item FROM hb q JOIN hb y USING (tbl, h) WHERE q.id % 50 = 0 GROUP BY ALL),
+on_ AS (SELECT ask.pool, item FROM ask JOIN e ON e.pool = ask.bucket WHERE CASE test // {HALF} WHEN 0 THEN (item >> (test % {HALF})) & 1 WHEN 1 THEN 1 - ((item >> (test % {HALF})) & 1) WHEN 2 THEN (item >> (test % {HALF} + {HALF})) & 1 WHEN 3 THEN 1 - ((item >> (test % {HALF} + {HALF})) & 1) WHEN 4 THEN xor((item >> (test % {HALF})) & 1, (item >> (test % {HALF} + {HALF})) & 1) ELSE 1 - xor((item >> (test % {HALF})) & 1, (item >> (test % {HALF} + {HALF})) & 1) END = 1)
+SELECT ma.qid, ask.pool, ma.item AS id FROM ask JOIN ma USING (bucket) JOIN mb ON mb.qid = ma.qid AND mb.item = ma.item JOIN on_ ON on_.pool = ask.pool AND on_.item = ma.item""",
+)
 def _(spark, d):
-    return ann.by_saffron(_hashed(spark, d), 16, 1 << 18, K, LEAST + 4)
+    x, q = _dense(spark, d)
+    index = ann.DualIndex(x, grouptest.Design(POOLS), HALF, DIMS, DT, DW)
+    buckets, tests = spark.range(0, POOLS, 30).select(F.col("id").alias("b")), spark.range(0, _TESTS, 7).select(F.col("id").alias("t"))
+    return index.query(q, buckets.join(tests).select((F.col("b") * _TESTS + F.col("t")).alias("pool")))  # a few dozen pools
 
 
 # -- evaluation ----------------------------------------------------------------------------------------------------
@@ -604,6 +771,22 @@ def _(spark, d):
     return metrics.verify_knn(*_found_true(spark, d), K)
 
 
+@query("verify_overlap", f"WITH {FT}, c AS (SELECT r.qid, count(f.id) AS n_both FROM r LEFT JOIN f ON f.qid = r.qid AND f.id = r.id GROUP BY r.qid) SELECT qid, n_both, round(n_both * 1.0 / {K}, 6) AS recall, round(n_both * 1.0 / {K}, 6) AS precision FROM c")
+def _(spark, d):
+    return metrics.verify_overlap(*_found_true(spark, d), K)
+
+
+_MATRIX = (3, 4, 5, 6)
+
+
+@query("run_matrix", f"WITH {H}, {M}, {S}, r AS ({top('s')}), v AS (SELECT unnest({list(_MATRIX)}) AS least), fc AS (SELECT least, s.qid, s.id, row_number() OVER (PARTITION BY least, s.qid ORDER BY s.score DESC, s.id DESC) AS rank FROM s JOIN m USING (qid, id) JOIN v ON n_match >= least), f AS (SELECT least, qid, id FROM fc WHERE rank <= {K}) SELECT CAST(a.least AS INTEGER) AS least, count(*) AS n_true, count(f.id) AS n_both FROM (SELECT least, qid, id FROM v, r) a LEFT JOIN f ON f.least = a.least AND f.qid = a.qid AND f.id = a.id GROUP BY a.least")
+def _(spark, d):
+    h = _hashed(spark, d)
+    truth = exact.knn(h.x, h.q, K)
+    variants = {least: exact.rerank(h.matches(least), h.x, h.q, K) for least in _MATRIX}
+    return metrics.run_matrix(variants, truth, "least")
+
+
 @query("verify_threshold", f"WITH {H}, {M}, {S}, f AS (SELECT s.qid, s.id FROM s JOIN m USING (qid, id) WHERE n_match >= {LEAST}), r AS (SELECT qid, id FROM s WHERE score >= {1 << 38}), j AS (SELECT coalesce(f.qid, r.qid) AS qid, f.id IS NOT NULL AS a, r.id IS NOT NULL AS b FROM f FULL JOIN r ON f.qid = r.qid AND f.id = r.id), c AS (SELECT qid, count(*) FILTER (a AND b) AS n_both, count(*) FILTER (a) AS n_found, count(*) FILTER (b) AS n_true FROM j GROUP BY qid) SELECT *, round(CASE WHEN n_found = 0 THEN 1.0 ELSE n_both * 1.0 / n_found END, 6) AS precision, round(CASE WHEN n_true = 0 THEN 1.0 ELSE n_both * 1.0 / n_true END, 6) AS recall FROM c")
 def _(spark, d):
     h = _hashed(spark, d)
@@ -622,7 +805,17 @@ def _(spark, d):
     return metrics.match_rate(exact.knn(x, asking(x), K), pruned.reordered_knn(long, sparse_queries(long), K, pools.reorder(x)))
 
 
-@query("quality_report")
+def _quality_sql():
+    parts, rows = [], []
+    for name, a, b in (("end_to_end", "fd", "tr"), ("decoder_vs_hash", "fd", "ht"), ("hash_vs_true", "ht", "tr")):
+        n = name[0]
+        parts.append(f"{n}j AS (SELECT coalesce(a.qid, b.qid) AS qid, count(*) FILTER (a.id IS NOT NULL AND b.id IS NOT NULL) AS n_both, count(a.id) AS n_found, count(b.id) AS n_true FROM {a} a FULL JOIN {b} b ON a.qid = b.qid AND a.id = b.id GROUP BY ALL)")
+        parts.append(f"{n}m AS (SELECT avg(round(CASE WHEN n_found = 0 THEN 1.0 ELSE n_both * 1.0 / n_found END, 6)) AS p, avg(round(CASE WHEN n_true = 0 THEN 1.0 ELSE n_both * 1.0 / n_true END, 6)) AS r FROM {n}j)")
+        rows.append(f"SELECT '{name}' AS comparison, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM {n}m")
+    return f"WITH {COMP}, fd AS ({top('counted')}), ms AS (SELECT qid, id, n_match AS score FROM m), ht AS ({top('ms')}), {S}, tr AS ({top('s')}), {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
+@query("quality_report", _quality_sql())
 def _(spark, d):
     h = _hashed(spark, d)
     found = ann.by_elimination(h, POOLS, K, LEAST + 3, "eliminate")
@@ -649,6 +842,26 @@ def _(spark, d):
     return append.followed(spark, f"{d}/embeddings.parquet", lambda df: to_long(df.select(F.col("vec_id").alias("id"), quantised(F.transform("embedding", lambda x: F.abs(x))).alias("v"))), 5).sums()
 
 
+@query("stream_reordered_knn", f"WITH {XA}, {S} {top('s')}")
+def _(spark, d):
+    from vecgrove.streaming import append
+
+    index = append.followed(spark, f"{d}/embeddings.parquet", lambda df: df.select(F.col("vec_id").alias("id"), quantised(F.transform("embedding", lambda x: F.abs(x))).alias("v")), 5, reordered=True)
+    rows = index.rows()
+    return pruned.reordered_knn(rows.drop("pos"), sparse_queries(rows), K, rows.select("id", "pos").distinct())
+
+
+@query("appended_linscan", f"WITH {XA}, {XL}, s AS (SELECT q.id AS qid, l.id, CAST(sum(q.val * l.val) AS BIGINT) AS score FROM l q JOIN l USING (dim) WHERE q.id % 50 = 0 GROUP BY q.id, l.id) {top('s')}")
+def _(spark, d):
+    from vecgrove.streaming import append
+
+    x = to_long(dense_abs(spark, d))
+    index = append.PoolIndex(spark, new_path(spark, "appended"), 5)
+    for k, part in enumerate(("id % 3 = 0", "id % 3 = 1", "id % 3 = 1", "id % 3 = 2")):  # a batch that comes again replaces itself
+        index.append(x.where(part), k - (k >= 2))
+    return exact.linscan_topk(index.rows(), sparse_queries(x), K)
+
+
 @query("stream_append_knn", f"WITH {XA}, {S} {top('s')}")
 def _(spark, d):
     from vecgrove.streaming import append

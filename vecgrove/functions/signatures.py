@@ -77,13 +77,14 @@ def decode_xor(measured: np.ndarray) -> list[int]:
 
 
 def decode_or(measured: np.ndarray, known: list[int]) -> list[int]:
-    """The item that a bucket's inclusive-or measurement shows beside the ``known`` ones, if it is alone or one of two."""
+    """The item that a bucket's inclusive-or measurement shows if it is alone, or those that make it up with one of the ``known``."""
     bits = len(measured) // 6
     low, nlow, high, nhigh = (measured[k * bits : (k + 1) * bits] for k in range(4))
     at = np.arange(bits)
     if not ((low & nlow).any() or (high & nhigh).any()) and ((low | nlow).all() and (high | nhigh).all()):
         item = int((low.astype(np.int64) << at).sum() + (high.astype(np.int64) << (at + bits)).sum())
         return [item] if np.array_equal(or_words([item], bits)[0], measured) else []
+    out = set()
     for k in known:
         own = or_words([k], bits)[0]
         # where the known item has no one, a one is the other's; elsewhere the complement tells
@@ -92,5 +93,5 @@ def decode_or(measured: np.ndarray, known: list[int]) -> list[int]:
         second = np.where(ohigh == 0, high, 1 - nhigh)
         other = int((first.astype(np.int64) << at).sum() + (second.astype(np.int64) << (at + bits)).sum())
         if other != k and np.array_equal(own | or_words([other], bits)[0], measured):
-            return [other]
-    return []
+            out.add(other)
+    return sorted(out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,9 +69,23 @@ def unpack_bits(word: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.pmod(F.floor(word / F.pow(F.lit(2.0), k.cast("double"))), F.lit(2)).cast("int"))
 
 
+#: Factor, increment and shift of each step of the scramble.
+_MIX = ((1103515245, 12345, 15), (1103515245, 12345, 13), (747796405, 2891, 0))
+
+
 def mix(k: Column) -> Column:
     """A fixed scramble of a non-negative long into 31 bits, in integer arithmetic that any SQL engine repeats."""
-    for mul, inc, shift in ((1103515245, 12345, 15), (1103515245, 12345, 13), (747796405, 2891, 0)):
+    k = k % F.lit(1 << 31).cast("long")
+    for mul, inc, shift in _MIX:
         k = (k * F.lit(mul).cast("long") + F.lit(inc).cast("long")) % F.lit(1 << 31).cast("long")
         k = k.bitwiseXOR(F.shiftright(k, shift)) if shift else k
     return k
+
+
+def mix_numpy(k: np.ndarray) -> np.ndarray:
+    """The same over numpy longs."""
+    k = k % (1 << 31)
+    for mul, inc, shift in _MIX:
+        k = (k * mul + inc) % (1 << 31)
+        k = k ^ (k >> shift) if shift else k
+    return k

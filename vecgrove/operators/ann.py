@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecgrove.operators import grouptest, lsh
+from vecgrove.materialise import cut
+from vecgrove.operators import bloom, grouptest, lsh
 from vecgrove.operators.exact import rerank, topk
 
 
@@ -41,43 +42,71 @@ def by_elimination(h: Hashed, n_pools: int, k: int, least: int, decoder: str = "
 
 def by_xor(h: Hashed, n_pools: int, bits: int, k: int, least: int, each: int = 3) -> DataFrame:
     """Top-k by inner product of the items that peeling finds in the xor of the signatures of hash matches."""
-    edges = grouptest.pooling(h.x, n_pools, each)
+    design = grouptest.Design(n_pools, each)
     members = h.matches(least).select("qid", F.col("id").alias("item"))
-    found = grouptest.xor_peel(grouptest.xor_residuals(members, edges, bits), edges, bits)
+    found = grouptest.xor_peel(grouptest.xor_residuals(members, design.edges(h.x), bits), design)
     return rerank(found.select("qid", F.col("item").alias("id")), h.x, h.q, k)
 
 
+def pool_matches(x: DataFrame, q: DataFrame, design: grouptest.Design, dims: int, word: int = 6, seed: int = 7) -> DataFrame:
+    """(qid, pool, item): items whose word by the pool's own hash function is the query's, in the pools that they are in."""
+    xt = lsh.tables(lsh.hashes(x, design.n_pools, word, dims, seed)).select(F.col("tbl").alias("pool"), "h", F.col("id").alias("item"))
+    qt = lsh.tables(lsh.hashes(q, design.n_pools, word, dims, seed)).select(F.col("tbl").alias("pool"), "h", F.col("id").alias("qid"))
+    own = xt.join(design.edges(x), ["pool", "item"])
+    return qt.join(own, ["pool", "h"]).select("qid", "pool", "item")
+
+
 def by_pool_hash(x: DataFrame, q: DataFrame, dims: int, n_pools: int, bits: int, k: int, word: int = 6, each: int = 3, seed: int = 7) -> DataFrame:
-    """The same with one hash function for each pool instead of shared tables: an item matches in a pool if the words agree."""
-    edges = grouptest.pooling(x, n_pools, each)
-    xt = lsh.tables(lsh.hashes(x, n_pools, word, dims, seed)).select(F.col("tbl").alias("pool"), "h", F.col("id").alias("item"))
-    qt = lsh.tables(lsh.hashes(q, n_pools, word, dims, seed)).select(F.col("tbl").alias("pool"), "h", F.col("id").alias("qid"))
-    own = xt.join(edges, ["pool", "item"])
-    met = qt.join(own, ["pool", "h"]).select("qid", "pool", "item")
-    found = grouptest.xor_peel(grouptest.fold_signatures(met, bits), edges, bits)
+    """:func:`by_xor` with one hash function for each pool instead of shared tables."""
+    design = grouptest.Design(n_pools, each)
+    met = pool_matches(x, q, design, dims, word, seed)
+    found = grouptest.xor_peel(grouptest.fold_signatures(met, bits), design)
     return rerank(found.select("qid", F.col("item").alias("id")), x, q, k)
 
 
-def by_bloom_bits(h: Hashed, n_pools: int, bits: int, k: int, least: int, each: int = 3) -> DataFrame:
-    """Residual bits from separate tests for each pool and signature bit (a bit is one if some match has it), pairs aside.
-
-    An inclusive or of signatures spells an item only where a pool has one match; the decoder accepts nothing else.
-    """
-    edges = grouptest.pooling(h.x, n_pools, each)
-    members = h.matches(least).select("qid", F.col("id").alias("item"))
-    per_bit = members.join(edges, "item").select("qid", "pool", F.posexplode(grouptest.signatures.xor_signature(F.col("item"), bits)).alias("pos", "one"))
-    ored = per_bit.groupBy("qid", "pool", "pos").agg(F.max("one").alias("one"))
-    residuals = ored.groupBy("qid", "pool").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "one"))), lambda r: r["one"]).alias("sig"))
-    single = grouptest.decode_singletons(residuals, bits)
-    return rerank(single.select("qid", F.col("item").alias("id")).distinct(), h.x, h.q, k)
+def by_bloom_bits(x: DataFrame, q: DataFrame, dims: int, n_pools: int, bits: int, k: int, hashes: int = 2, word: int = 6, least: int = 2, each: int = 3) -> DataFrame:
+    """The same from a test of its own for each pool and signature bit: the bit is one if some match has it (an inclusive or)."""
+    design = grouptest.Design(n_pools, each)
+    positive = bloom.positive_tests(x, q, design, dims, bits, hashes, word, least)
+    found = grouptest.xor_peel(bloom.residuals(positive, bits), design)
+    return rerank(found.select("qid", F.col("item").alias("id")), x, q, k)
 
 
 def by_saffron(h: Hashed, sparsity: int, n_items: int, k: int, least: int) -> DataFrame:
     """Inclusive-or recovery over buckets of the product design, ranked by equal tables."""
     shape = grouptest.saffron_shape(n_items, sparsity)
     each = shape["degree"]
-    edges = grouptest.pooling(h.x, shape["buckets"] // each * each, each)
+    design = grouptest.Design(shape["buckets"] // each * each, each)
     counts = h.matches(least)
-    z = grouptest.or_outcomes(counts.select("qid", F.col("id").alias("item")), edges, shape["bits"])
-    found = grouptest.or_solve(z, edges, shape["bits"]).select("qid", F.col("item").alias("id"))
+    z = grouptest.or_outcomes(counts.select("qid", F.col("id").alias("item")), design.edges(h.x), shape["bits"])
+    found = grouptest.or_solve(z, design).select("qid", F.col("item").alias("id"))
     return topk(found.join(counts, ["qid", "id"]).select("qid", "id", F.col("n_match").alias("score")), k)
+
+
+class DualIndex:
+    """Two inverted indexes over the same rows, written once: by bucket of the design, and by test of the signature.
+
+    A pool of the product design is a bucket and a test; its matches are the items that match in both.
+    """
+
+    def __init__(self, x: DataFrame, design: grouptest.Design, bits: int, dims: int, tables: int = 8, word: int = 6, seed: int = 7):
+        self.tests, self.shape = 6 * bits, (tables, word, dims)
+        self.seeds = (seed, seed + tables * word * dims)
+        sig = grouptest.signatures.or_signature(F.col("item"), bits)
+        items = grouptest.fitting(x.select(F.col("id").alias("item")), 2 * bits)
+        tested = items.select("item", F.posexplode(sig).alias("test", "one")).where("one = 1").select("item", F.col("test").cast("long").alias("test"))
+        hashed = [lsh.tables(lsh.hashes(x, tables, word, dims, s)).select("tbl", "h", F.col("id").alias("item")) for s in self.seeds]
+        self.by_bucket = cut(hashed[0].join(design.edges(x), "item").select(F.col("pool").alias("bucket"), "tbl", "h", "item"), "by-bucket")
+        self.by_test = cut(hashed[1].join(tested, "item").select("test", "tbl", "h", "item"), "by-test")
+
+    def query(self, q: DataFrame, pools: DataFrame, least: int = 1) -> DataFrame:
+        """(qid, pool, id) for the given pools (pool): matches by bucket that are matches by test, each in ``least`` tables."""
+        asked = pools.select("pool", F.floor(F.col("pool") / self.tests).cast("long").alias("bucket"), F.pmod("pool", F.lit(self.tests)).alias("test")).distinct()
+        tables, word, dims = self.shape
+        found = []
+        for index, part, seed in ((self.by_bucket, "bucket", self.seeds[0]), (self.by_test, "test", self.seeds[1])):
+            asks = lsh.tables(lsh.hashes(q, tables, word, dims, seed)).select("tbl", "h", F.col("id").alias("qid"))
+            met = asks.join(index.join(asked.select(part).distinct(), part, "left_semi"), ["tbl", "h"])
+            found.append(met.groupBy("qid", part, "item").count().where(F.col("count") >= least).drop("count"))
+        pairs = found[0].join(asked, "bucket").join(found[1], ["qid", "test", "item"])
+        return pairs.select("qid", "pool", F.col("item").alias("id"))

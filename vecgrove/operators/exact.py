@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecgrove.materialise import cut
 from vecgrove.shipping import ship
 
 #: Query matrices go to the executors in groups of at most so many numbers (64 MB), one pass over the data each.
@@ -24,32 +25,27 @@ def ids_sorted(found: DataFrame) -> DataFrame:
     return found.groupBy("qid").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def _groups(q: DataFrame, dims: int):
-    """The query matrix in bounded groups: (ids, rows)."""
-    most = max(1, GROUP_NUMBERS // max(1, dims))
-    ids, rows = [], []
-    for r in q.select("id", "v").toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == most:
-            yield np.array(ids), np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows, np.float64)
-
-
-def _scan(x: DataFrame, q: DataFrame, pick) -> DataFrame:
-    """Union over query groups of one pass of ``x`` each; ``pick(scores)`` names the (row, query) pairs to keep.
+def _scan(x: DataFrame, q: DataFrame, make, schema: str = "qid long, id long, score long", group_numbers: int = GROUP_NUMBERS) -> DataFrame:
+    """Every row of ``x`` against every query; ``make(qids, ids, scores)`` gives the columns to keep of a block of scores.
 
+    Queries are dealt into groups by their ids. A group's matrix is the only data on the driver and the only broadcast at
+    a time: with several groups each pass is written before the next one's queries are fetched. ``x`` is never shuffled.
     Components must be whole numbers small enough that scores stay below 2^53; they are then exact in any order.
     """
     spark = x.sparkSession
     ship(spark)
-    schema = "qid long, id long, score long"
-    first = q.select(F.size("v").alias("d")).first()
+    n, dims = q.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not n:
+        return spark.createDataFrame([], schema)
+    groups = -(-n * dims // group_numbers)
     out = None
-    for qids, m in _groups(q, first[0] if first else 1):
-        shared = spark.sparkContext.broadcast((qids, m))
+    for g in range(groups):
+        some = q.select("id", "v") if groups == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g).select("id", "v")
+        rows = some.collect()  # about ``group_numbers`` numbers
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)))
+        del rows
 
         def run(batches, shared=shared):
             qids, m = shared.value
@@ -57,43 +53,83 @@ def _scan(x: DataFrame, q: DataFrame, pick) -> DataFrame:
                 ids = b.column(0).to_numpy(zero_copy_only=False)
                 v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
                 for s in range(0, len(ids), 2048):
-                    scores = v[s : s + 2048] @ m.T
-                    i, j = pick(scores)
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[j]), pa.array(ids[s + i]), pa.array(scores[i, j].astype(np.int64))], names=["qid", "id", "score"])
+                    made = make(qids, ids[s : s + 2048], v[s : s + 2048] @ m.T)
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in made], names=names)
 
+        names = [c.split()[0] for c in schema.split(", ")]
         part = x.select("id", "v").mapInArrow(run, schema)
+        if groups > 1:
+            part = cut(part, "scan")
+            shared.unpersist()
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
-
+    return out
 
-def _best(k: int):
-    def pick(scores):
-        if scores.shape[0] <= k:
-            i, j = np.indices(scores.shape)
-            return i.ravel(), j.ravel()
-        # all rows that reach the block's k-th score, ties included
-        kth = np.partition(scores, scores.shape[0] - k, axis=0)[scores.shape[0] - k]
-        return np.nonzero(scores >= kth[None, :])
 
-    return pick
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of all rows that reach the k-th score of the block, ties included."""
+    if scores.shape[0] <= k:
+        i, j = np.indices(scores.shape)
+        return i.ravel(), j.ravel()
+    kth = np.partition(scores, scores.shape[0] - k, axis=0)[scores.shape[0] - k]
+    return np.nonzero(scores >= kth[None, :])
 
 
 def knn(x: DataFrame, q: DataFrame, k: int) -> DataFrame:
     """(qid, id, score, rank) of the k largest inner products; x and q are (id, v) of whole numbers."""
-    return topk(_scan(x, q, _best(k)), k)
+
+    def make(qids, ids, scores):
+        i, j = _best(scores, k)
+        return qids[j], ids[i], scores[i, j]
+
+    return topk(_scan(x, q, make), k)
 
 
 def knn_by_tree(x: DataFrame, q: DataFrame, k: int, tree: int = 1024) -> DataFrame:
-    """The same by a top-k in each tree of ``tree`` rows and a merge of those."""
-    scored = _scan(x, q, lambda s: tuple(a.ravel() for a in np.indices(s.shape)))
+    """The same by a top-k in each tree of ``tree`` rows and a merge of those; a block emits its part of each tree's top-k."""
+
+    def make(qids, ids, scores):
+        got = []
+        for t in np.unique(ids // tree):
+            own = np.flatnonzero(ids // tree == t)
+            i, j = _best(scores[own], k)
+            got.append((qids[j], ids[own[i]], scores[own[i], j]))
+        return [np.concatenate(c) for c in zip(*got)]
+
     w = Window.partitionBy("qid", F.floor(F.col("id") / tree)).orderBy(F.desc("score"), F.desc("id"))
-    local = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+    local = _scan(x, q, make).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
     return topk(local, k)
 
 
 def threshold(x: DataFrame, q: DataFrame, least: int) -> DataFrame:
     """(qid, id, score) of all pairs with an inner product of at least ``least``."""
-    return _scan(x, q, lambda s: np.nonzero(s >= least))
+
+    def make(qids, ids, scores):
+        i, j = np.nonzero(scores >= least)
+        return qids[j], ids[i], scores[i, j]
+
+    return _scan(x, q, make)
+
+
+def score_histogram(x: DataFrame, q: DataFrame, unit: int, bins: int = 1000) -> DataFrame:
+    """(bin, n): pairs by score in steps of unit / bins, the last bin open; a block emits counts, never pairs."""
+
+    def make(qids, ids, scores):
+        at, n = np.unique(np.minimum(bins - 1, np.floor(scores * float(bins) / unit)), return_counts=True)
+        return at, n
+
+    return _scan(x, q, make, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+
+
+def coded(x: DataFrame, q: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(x, q) written once with dimensions as longs, without the dimensions that no query has, as they add to no score.
+
+    The code is a dictionary of the queries' dimensions, so it is exact; what an index join or a pruned join reads
+    afterwards is the postings that queries can touch, with short keys, instead of the whole table with its own keys.
+    """
+    words = cut(q.select("dim").distinct().withColumn("code", F.monotonically_increasing_id()), "dims")
+    own = x.join(words, "dim").select("id", F.col("code").alias("dim"), "val")
+    asks = q.join(words, "dim").select("qid", F.col("code").alias("dim"), "qval")
+    return cut(own, "postings"), cut(asks, "asks")
 
 
 def queries_of(x: DataFrame) -> DataFrame:

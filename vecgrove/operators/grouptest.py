@@ -3,23 +3,74 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecgrove.functions import signatures
-from vecgrove.functions.vectors import mix
+from vecgrove.functions.vectors import mix, mix_numpy
+from vecgrove.materialise import cut
 from vecgrove.shipping import ship
 
 
+@dataclass(frozen=True)
+class Design:
+    """Each item in ``each`` distinct pools, one in every stripe of n_pools / each pools. Pools follow from ids alone."""
+
+    n_pools: int
+    each: int = 3
+    seed: int = 5
+
+    def edges(self, items: DataFrame) -> DataFrame:
+        """(pool, item) of items (id)."""
+        stripe = self.n_pools // self.each
+        j = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.each - 1).cast("long"))).alias("j")
+        rows = items.select(F.col("id").alias("item"), j)
+        return rows.select((F.col("j") * stripe + mix(F.col("item") * self.each + F.col("j") + self.seed) % stripe).alias("pool"), "item")
+
+    def homes(self, items) -> np.ndarray:
+        """The pools of each item, a row of ``each``: decoders check and update pools without any table of edges."""
+        j = np.arange(self.each, dtype=np.int64)
+        stripe = self.n_pools // self.each
+        return j * stripe + mix_numpy(np.asarray(items, np.int64)[:, None] * self.each + j + self.seed) % stripe
+
+
 def pooling(items: DataFrame, n_pools: int, each: int = 3, seed: int = 5) -> DataFrame:
-    """Edges (pool, item): each item in ``each`` distinct pools, one in every stripe of n_pools / each pools."""
-    stripe = n_pools // each
-    j = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(each - 1).cast("long"))).alias("j")
-    rows = items.select(F.col("id").alias("item"), j)
-    return rows.select((F.col("j") * stripe + mix(F.col("item") * each + F.col("j") + seed) % stripe).alias("pool"), "item")
+    """Edges (pool, item) of the design."""
+    return Design(n_pools, each, seed).edges(items)
+
+
+def fitting(items: DataFrame, bits: int, item: str = "item") -> DataFrame:
+    """The same rows; an id that ``bits`` bits do not hold stops the job, since its signature would be another item's."""
+    bad = (F.col(item) < 0) | (F.col(item) >= F.lit(1 << bits))
+    return items.where(F.when(bad, F.raise_error(F.lit(f"an item number needs more than {bits} bits"))).otherwise(F.lit(True)))
+
+
+def spread(edges: DataFrame, least_each: int, most_apart: int) -> DataFrame:
+    """(pools, smallest, largest, each_least, each_most) of a design; too few pools of an item, or pools too uneven, stop the job."""
+    sizes = edges.groupBy("pool").agg(F.count("*").alias("n")).agg(F.count("*").alias("pools"), F.min("n").alias("smallest"), F.max("n").alias("largest"))
+    each = edges.groupBy("item").agg(F.countDistinct("pool").alias("n")).agg(F.min("n").alias("each_least"), F.max("n").alias("each_most"))
+    found = sizes.join(each)  # one row each
+    bad = (F.col("each_least") < least_each) | (F.col("largest") - F.col("smallest") > most_apart)
+    return found.where(F.when(bad, F.raise_error(F.lit("the design breaks its invariants"))).otherwise(F.lit(True)))
+
+
+def capacity(points: int, n_pools: int, each: int) -> int:
+    """Rows that a pool must take so that all fit, with ten to spare."""
+    return -(-points * each // n_pools) + 10
+
+
+def random_problem(spark, items: int, n_pools: int, sparsity: int, each: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, members, positive): a design over 0..items-1, ``sparsity`` planted items of query 0, and its positive pools."""
+    x = spark.range(items)
+    edges = pooling(x, n_pools, each, seed)
+    order = Window.orderBy(mix(F.col("id") + seed + 77), "id")
+    planted = x.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sparsity)  # a few thousand items at most
+    members = planted.select(F.lit(0).cast("long").alias("qid"), F.col("id").alias("item"))
+    return edges, members, outcomes(members, edges)
 
 
 def default_pools(k: int) -> int:
@@ -53,20 +104,20 @@ def eliminate(edges: DataFrame, positive: DataFrame) -> DataFrame:
     return hits.join(degree, "item").where("hit = degree").select("qid", "item")
 
 
-def peel(edges: DataFrame, positive: DataFrame, rounds: int | None = None, cut=None) -> DataFrame:
+def peel(edges: DataFrame, positive: DataFrame, rounds: int | None = None) -> DataFrame:
     """(qid, item) found: after elimination, in each round a positive pool with one remaining item names it, and all pools of
-    the newly named items are no longer positive. Rounds are synchronous; without ``rounds`` they go on to the fixpoint.
+    the newly named items are no longer positive. Rounds are synchronous; without ``rounds`` they go on to the fixpoint,
+    each written before the next reads it.
     """
     left = eliminate(edges, positive)
     found = None
     pools = positive
-    cut = cut or (lambda df: df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df)
     n = 0
     while rounds is None or n < rounds:
         members = pools.join(edges, "pool").join(left, ["qid", "item"])
         single = members.groupBy("qid", "pool").agg(F.count("*").alias("n"), F.min("item").alias("item")).where("n = 1").select("qid", "item").distinct()
         if rounds is None:
-            single = cut(single)
+            single = cut(single, "named")
             if single.isEmpty():
                 break
         found = single if found is None else found.unionByName(single)
@@ -74,7 +125,7 @@ def peel(edges: DataFrame, positive: DataFrame, rounds: int | None = None, cut=N
         left = left.join(single, ["qid", "item"], "left_anti")
         pools = pools.join(gone, ["qid", "pool"], "left_anti")
         if rounds is None:
-            left, pools = cut(left), cut(pools)
+            left, pools = cut(left, "left"), cut(pools, "pools")
         n += 1
     return found if found is not None else left.limit(0)
 
@@ -90,7 +141,7 @@ def xor_residuals(members: DataFrame, edges: DataFrame, bits: int) -> DataFrame:
 def fold_signatures(met: DataFrame, bits: int) -> DataFrame:
     """The same from given (qid, pool, item): signatures travel as a few 62-bit words, which xor before the shuffle."""
     size = 3 * (2 * bits + 1)
-    met = met.withColumn("sig", signatures.xor_signature(F.col("item"), bits))
+    met = fitting(met, bits).withColumn("sig", signatures.xor_signature(F.col("item"), bits))
     words = [F.bit_xor(F.aggregate(F.slice("sig", s + 1, min(62, size - s)), F.lit(0).cast("long"), lambda a, b: a * 2 + b)).alias(f"w{k}") for k, s in enumerate(range(0, size, 62))]
     folded = met.groupBy("qid", "pool").agg(*words)
     back = [F.expr(f"transform(sequence({min(62, size - s) - 1}, 0, -1), i -> cast(shiftright(w{k}, i) & 1 as int))") for k, s in enumerate(range(0, size, 62))]
@@ -124,36 +175,33 @@ def decode_pairs(residuals: DataFrame, bits: int) -> DataFrame:
     return tried.where(same).select("qid", "pool", F.least("one", "other").alias("first"), F.greatest("one", "other").alias("second")).distinct()
 
 
-def xor_peel(residuals: DataFrame, edges: DataFrame, bits: int) -> DataFrame:
-    """(qid, item): all items that peeling finds. Each query's residuals - pools times signature bits - form one group.
+def xor_peel(residuals: DataFrame, design: Design) -> DataFrame:
+    """(qid, item): all items that peeling finds. Each query's residuals form one group, as large as the design at most.
 
-    Decoded items leave the pools they are in, whose rest may decode then; each item is taken once.
+    Decoded items leave the pools they are in, whose rest may decode then; each item is taken once. A decoded number
+    counts only in a pool that the design puts it in; callers that need it to exist join their items.
     """
     ship(residuals.sparkSession)
-    joined = residuals.join(edges.groupBy("pool").agg(F.sort_array(F.collect_list("item")).alias("members")), "pool")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = {int(p): np.array(s, np.uint8) for p, s in zip(pdf.pool, pdf.sig)}
-        homes: dict[int, list[int]] = {}
-        for p, members in zip(pdf.pool, pdf.members):
-            for m in members:
-                homes.setdefault(int(m), []).append(int(p))
         found: set[int] = set()
         todo = set(sig)
         while todo:
             new: set[int] = set()
             for p in sorted(todo):
-                new.update(i for i in signatures.decode_xor(sig[p]) if i not in found and p in homes.get(i, ()))
+                new.update(i for i in signatures.decode_xor(sig[p]) if i not in found and p in design.homes([i])[0])
             todo = set()
             for i in sorted(new):
                 found.add(i)
-                word = signatures.xor_words([i], bits)[0]
-                for p in homes[i]:
-                    sig[p] = sig[p] ^ word
-                    todo.add(p)
+                word = signatures.xor_words([i], (len(next(iter(sig.values()))) // 3 - 1) // 2)[0]
+                for p in design.homes([i])[0].tolist():
+                    if p in sig:
+                        sig[p] = sig[p] ^ word
+                        todo.add(p)
         return pd.DataFrame({"qid": [int(pdf.qid.iloc[0])] * len(found), "item": sorted(found)}, columns=["qid", "item"]).astype("int64")
 
-    return joined.groupBy("qid").applyInPandas(solve, "qid long, item long")
+    return residuals.groupBy("qid").applyInPandas(solve, "qid long, item long")
 
 
 # -- inclusive-or channel ------------------------------------------------------------------------------------------
@@ -168,34 +216,59 @@ def saffron_shape(n: int, k: int) -> dict[str, int]:
 def or_outcomes(members: DataFrame, edges: DataFrame, bits: int) -> DataFrame:
     """(qid, pool, z): in each bucket, the tests that some item of the query makes positive; members is (qid, item)."""
     sig = signatures.or_signature(F.col("item"), bits)
-    each = members.join(edges, "item").select("qid", "pool", F.posexplode(sig).alias("pos", "one"))
+    each = fitting(members.join(edges, "item"), 2 * bits).select("qid", "pool", F.posexplode(sig).alias("pos", "one"))
     tests = each.groupBy("qid", "pool", "pos").agg(F.max("one").alias("one"))
     return tests.groupBy("qid", "pool").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "one"))), lambda r: r["one"]).alias("z"))
 
 
-def or_solve(outcomes: DataFrame, edges: DataFrame, bits: int, rounds: int = 200) -> DataFrame:
+def or_solve(outcomes: DataFrame, design: Design, rounds: int = 200) -> DataFrame:
     """(qid, item): singletons first, then pairs of a known and one verified unknown item, to the fixpoint."""
     ship(outcomes.sparkSession)
-    joined = outcomes.join(edges.groupBy("pool").agg(F.sort_array(F.collect_list("item")).alias("members")), "pool")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(np.array(z, np.uint8), {int(m) for m in ms}) for z, ms in zip(pdf.z, pdf.members)]
+        rows = [(int(p), np.array(z, np.uint8)) for p, z in zip(pdf.pool, pdf.z)]
         found: set[int] = set()
+        known: dict[int, list[int]] = {}
         for _ in range(rounds):
             new = set()
-            for z, members in rows:
-                new.update(i for i in signatures.decode_or(z, sorted(found & members)) if i in members)
-            if new <= found:
+            for p, z in rows:
+                new.update(i for i in signatures.decode_or(z, sorted(known.get(p, ()))) if p in design.homes([i])[0])
+            new -= found
+            if not new:
                 break
             found |= new
+            for i in sorted(new):
+                for p in design.homes([i])[0].tolist():
+                    known.setdefault(p, []).append(i)
         return pd.DataFrame({"qid": [int(pdf.qid.iloc[0])] * len(found), "item": sorted(found)}, columns=["qid", "item"]).astype("int64")
 
-    return joined.groupBy("qid").applyInPandas(solve, "qid long, item long")
+    return outcomes.groupBy("qid").applyInPandas(solve, "qid long, item long")
 
 
 # -- linear decoders -----------------------------------------------------------------------------------------------
 
 
+class Incidence:
+    """The pools x items matrix of a query as the pools of each item: products cost its ones, not its cells."""
+
+    def __init__(self, item: np.ndarray, pool: np.ndarray):
+        self.items, self.col = np.unique(item, return_inverse=True)
+        pools, self.row = np.unique(pool, return_inverse=True)
+        self.shape = (len(pools), len(self.items))
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=x[self.col], minlength=self.shape[0])
+
+    def turned(self, y: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, weights=y[self.row], minlength=self.shape[1])
+
+    def columns(self, chosen: list[int]) -> np.ndarray:
+        a = np.zeros((self.shape[0], len(chosen)))
+        for k, c in enumerate(chosen):
+            a[self.row[self.col == c], k] = 1
+        return a
+
+
 def _per_query(edges: DataFrame, positive: DataFrame, solve) -> DataFrame:
     """Decode each query's outcome vector over the items of its positive pools."""
     ship(edges.sparkSession)
@@ -203,48 +276,45 @@ def _per_query(edges: DataFrame, positive: DataFrame, solve) -> DataFrame:
     part = left.join(edges, "item").select("qid", "pool", "item")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        items, col = np.unique(pdf.item.to_numpy(), return_inverse=True)
-        pools, row = np.unique(pdf.pool.to_numpy(), return_inverse=True)
-        a = np.zeros((len(pools), len(items)))
-        a[row, col] = 1
-        x = solve(a, np.ones(len(pools)))
-        keep = items[x > 0.5]
+        a = Incidence(pdf.item.to_numpy(), pdf.pool.to_numpy())
+        keep = a.items[solve(a, np.ones(a.shape[0])) > 0.5]
         return pd.DataFrame({"qid": [int(pdf.qid.iloc[0])] * len(keep), "item": keep}, columns=["qid", "item"]).astype("int64")
 
     return part.groupBy("qid").applyInPandas(run, "qid long, item long")
 
 
-def omp(a: np.ndarray, y: np.ndarray, sparsity: int) -> np.ndarray:
+def omp(a: Incidence, y: np.ndarray, sparsity: int) -> np.ndarray:
     """Orthogonal matching pursuit: the column that explains most of the rest joins, and a least-squares fit follows."""
     chosen: list[int] = []
-    rest, x = y.astype(float), np.zeros(a.shape[1])
+    rest, x, fit = y.astype(float), np.zeros(a.shape[1]), np.zeros(0)
     while len(chosen) < min(sparsity, *a.shape) and np.linalg.norm(rest) > 1e-9:
-        gain = np.abs(a.T @ rest)
+        gain = np.abs(a.turned(rest))
         gain[chosen] = -1
         best = int(gain.argmax())
         if gain[best] <= 1e-12:
             break
         chosen.append(best)
-        fit = np.linalg.lstsq(a[:, chosen], y, rcond=None)[0]
-        rest = y - a[:, chosen] @ fit
-    x[chosen] = fit if chosen else 0
+        columns = a.columns(chosen)
+        fit = np.linalg.lstsq(columns, y, rcond=None)[0]
+        rest = y - columns @ fit
+    x[chosen] = fit
     return x
 
 
-def least_squares(a: np.ndarray, y: np.ndarray, steps: int = 500) -> np.ndarray:
+def least_squares(a: Incidence, y: np.ndarray, steps: int = 500) -> np.ndarray:
     """The minimum-norm least-squares solution, by conjugate gradients on the normal equations from zero."""
     x = np.zeros(a.shape[1])
     r = y.astype(float)
-    s = a.T @ r
+    s = a.turned(r)
     p, gamma = s.copy(), s @ s
     for _ in range(steps):
         if gamma < 1e-18:
             break
-        q = a @ p
+        q = a.times(p)
         step = gamma / (q @ q)
         x += step * p
         r -= step * q
-        s = a.T @ r
+        s = a.turned(r)
         new = s @ s
         p, gamma = s + new / gamma * p, new
     return x

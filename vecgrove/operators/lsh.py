@@ -7,22 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecgrove.functions.vectors import mix_numpy
 from vecgrove.operators.exact import topk
 from vecgrove.shipping import ship
 
 
-def mix(k: np.ndarray) -> np.ndarray:
-    """The scramble of ``functions.vectors.mix`` over numpy longs."""
-    for mul, inc, shift in ((1103515245, 12345, 15), (1103515245, 12345, 13), (747796405, 2891, 0)):
-        k = (k * mul + inc) % (1 << 31)
-        k = k ^ (k >> shift) if shift else k
-    return k
-
-
 def planes(tables: int, bits: int, dims: int, seed: int = 7) -> np.ndarray:
     """tables x bits x dims of +1 and -1: hash sums of whole-number vectors are exact."""
     k = np.arange(tables * bits * dims, dtype=np.int64) + seed
-    return ((mix(k) >> 30) * 2 - 1).reshape(tables, bits, dims).astype(np.float64)
+    return ((mix_numpy(k) >> 30) * 2 - 1).reshape(tables, bits, dims).astype(np.float64)
 
 
 def hashes(x: DataFrame, tables: int, bits: int, dims: int, seed: int = 7) -> DataFrame:

@@ -68,6 +68,25 @@ def quality(found: DataFrame, hash_truth: DataFrame, truth: DataFrame) -> DataFr
     return out
 
 
+def verify_overlap(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """(qid, n_both, recall, precision): the share of k that found and true top-k have in common serves as both."""
+    both = truth.select("qid", "id").join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
+    n = both.groupBy("qid").agg(F.count("hit").alias("n_both"))
+    share = F.round(F.col("n_both") / k, 6)
+    return n.select("qid", "n_both", share.alias("recall"), share.alias("precision"))
+
+
+def run_matrix(variants: dict[int, DataFrame], truth: DataFrame, name: str) -> DataFrame:
+    """(name, n_true, n_both) of each variant's found (qid, id) against the truth: a sweep of one parameter in one plan."""
+    found = None
+    for v, df in variants.items():
+        row = df.select(F.lit(v).alias(name), "qid", "id", F.lit(1).alias("hit"))
+        found = row if found is None else found.unionByName(row)
+    asked = truth.select("qid", "id", F.explode(F.array(*map(F.lit, variants))).alias(name))
+    met = asked.join(found, [name, "qid", "id"], "left")
+    return met.groupBy(name).agg(F.count("*").alias("n_true"), F.count("hit").alias("n_both"))
+
+
 def weighted_mean(rows: DataFrame, value: str, weight: str, by: list[str]) -> DataFrame:
     """Means over shards of unequal size."""
     return rows.groupBy(*by).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias(value), F.sum(weight).alias(weight))

@@ -47,6 +47,18 @@ def tree_sums(x: DataFrame, levels: int) -> DataFrame:
     return each.groupBy("tree", F.col("level").cast("long").alias("level"), node.alias("node"), "dim").agg(F.sum("val").alias("val"))
 
 
+def dim_trees(x: DataFrame, least: int, levels: int, leaf: int) -> DataFrame:
+    """(of, tree, level, node, dim, val): for each dimension ``of``, the tree of the rows that reach ``least`` in it.
+
+    Trees have 2^levels leaves of ``leaf`` neighbouring ids. A row enters as many trees as it has large components.
+    """
+    lists = x.where(F.col("val") >= least).select("id", F.col("dim").alias("of"))
+    size = leaf << levels
+    met = lists.join(x, "id").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    node = F.expr(f"shiftleft(1L, level) + shiftright(pmod(id, {size}) div {leaf}, {levels} - level)")
+    return met.groupBy(F.col("of").cast("long").alias("of"), F.floor(F.col("id") / size).cast("long").alias("tree"), F.col("level").cast("long").alias("level"), node.alias("node"), "dim").agg(F.sum("val").alias("val"))
+
+
 def page_sums(x: DataFrame, outer: int = 16, inner: int = 8) -> DataFrame:
     """(page, grp, dim, val): pages of outer x inner rows, one sum for each group of ``inner``."""
     page, grp = F.floor(F.col("id") / (outer * inner)).cast("long"), F.pmod(F.floor(F.col("id") / inner), F.lit(outer)).cast("long")

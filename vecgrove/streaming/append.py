@@ -11,7 +11,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecgrove.materialise import new_path
 from vecgrove.operators import pools
+from vecgrove.types import to_long
 
 
 class PoolIndex:
@@ -52,13 +54,25 @@ def reordered_batch(batch: DataFrame, order: DataFrame, first_pool: int, size: i
     return batch.join(order.select("id", "pos"), "id").withColumn("pos", F.col("pos") + first_pool * size)
 
 
-def followed(spark: SparkSession, source: str, shape, levels: int) -> PoolIndex:
-    """Index a Parquet table as a stream of its files until all are read; ``shape`` turns rows into (id, dim, val)."""
-    import tempfile
-    import uuid
+#: Pools that a micro-batch may take before its positions reach those of the next.
+BATCH_POOLS = 1 << 30
 
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecgrove-")
-    path = f"{where}/stream-{uuid.uuid4().hex}"
+
+class ReorderedIndex(PoolIndex):
+    """The same over dense rows (id, v): each micro-batch is laid out by largest component, in pools of its own."""
+
+    def append(self, batch: DataFrame, batch_id: int) -> None:
+        size = 1 << self.levels
+        laid = reordered_batch(to_long(batch), pools.reorder(batch), batch_id * BATCH_POOLS, size)
+        super().append(laid, batch_id)
+
+
+def followed(spark: SparkSession, source: str, shape, levels: int, reordered: bool = False) -> PoolIndex:
+    """Index a Parquet table as a stream of its files until all are read; ``shape`` turns rows into (id, dim, val).
+
+    ``reordered`` takes rows as (id, v) and lays each micro-batch out by largest component.
+    """
+    path = new_path(spark, "stream")
     schema = spark.read.parquet(source).schema
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(source)
@@ -66,7 +80,7 @@ def followed(spark: SparkSession, source: str, shape, levels: int) -> PoolIndex:
     # a table is a folder of files, or one file of its folder
     root, glob = (source, "*.parquet") if folder else source.rsplit("/", 1)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", glob).parquet(root)
-    index = PoolIndex(spark, path, levels)
+    index = (ReorderedIndex if reordered else PoolIndex)(spark, path, levels)
     query = index.follow(shape(stream), f"{path}/log")
     query.awaitTermination()
     if query.exception():
