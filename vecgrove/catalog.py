@@ -43,17 +43,22 @@ def asking(x):
     return x.where("id % 50 = 0")
 
 
-def grams(spark, d):
+def _documents(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
     cores = spark.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < cores:  # a table of few files would leave most cores idle; a large one never moves its texts
         docs = docs.repartition(cores)
-    return text.ngram_counts(docs)
+    return docs
+
+
+def grams(spark, d):
+    return text.ngram_counts(_documents(spark, d))
 
 
 def _coded(spark, d):
-    x = grams(spark, d)
-    return exact.coded(x, sparse_queries(x))
+    x = text.ngrams(_documents(spark, d)).withColumn("val", F.lit(1).cast("long"))
+    own = text.ngrams(asking(spark.read.parquet(f"{d}/documents.parquet").withColumnRenamed("doc_id", "id")), id_="id")
+    return exact.coded(x, own.select(F.col("id").alias("qid"), "dim", F.lit(1).cast("long").alias("qval")))
 
 
 def sparse_queries(x):
@@ -323,12 +328,12 @@ def _long_abs(spark, d):
 
 @query("dense_pruned_threshold", DENSE_SQL)
 def _(spark, d):
-    return pruned.threshold(*_long_abs(spark, d), DENSE_LEAST)
+    return pruned.threshold(*_long_abs(spark, d), DENSE_LEAST, by_pool=True)
 
 
 @query("dense_double_pruned_threshold", DENSE_SQL)
 def _(spark, d):
-    return pruned.double_threshold(*_long_abs(spark, d), DENSE_LEAST)
+    return pruned.double_threshold(*_long_abs(spark, d), DENSE_LEAST, by_pool=True)
 
 
 @query("dense_pruned_candidates", f"WITH {XA}, {XL}, p AS (SELECT id // 32 AS pool, dim, sum(val) AS val FROM l GROUP BY ALL) SELECT q.id AS qid, pool FROM l q JOIN p USING (dim) WHERE q.id % 50 = 0 GROUP BY q.id, pool HAVING sum(q.val * p.val) >= {DENSE_LEAST}")

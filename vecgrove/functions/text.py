@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ngram_counts(docs: DataFrame, n: int = 3, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, dim, val): how often each run of n words [a-z0-9]+ (A-Z lowered) occurs in each document."""
+def ngrams(docs: DataFrame, n: int = 3, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, dim): every run of n words [a-z0-9]+ (A-Z lowered) of each document, as often as it occurs."""
     low = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = docs.select(F.col(id_).alias("id"), F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)).alias("w")).where(F.size("w") >= n)
     joined = F.slice("w", F.lit(1), F.size("w") - (n - 1))
     for k in range(1, n):  # each gram grows by the word k places on: no array is built for a single gram
         joined = F.zip_with(joined, F.slice("w", F.lit(k + 1), F.size("w") - (n - 1)), lambda a, b: F.concat(a, F.lit(" "), b))
-    grams = words.select("id", F.explode(joined).alias("dim"))
-    return grams.groupBy("id", "dim").agg(F.count("*").alias("val"))
+    return words.select("id", F.explode(joined).alias("dim"))
+
+
+def ngram_counts(docs: DataFrame, n: int = 3, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, dim, val): how often each run of n words occurs in each document."""
+    return ngrams(docs, n, id_, text).groupBy("id", "dim").agg(F.count("*").alias("val"))

@@ -125,10 +125,13 @@ def coded(x: DataFrame, q: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The code is a dictionary of the queries' dimensions, so it is exact; what an index join or a pruned join reads
     afterwards is the postings that queries can touch, with short keys, instead of the whole table with its own keys.
+    Entries of one (id, dim) may still be apart, as n-grams before they are counted: they add up here, after the join has
+    dropped the most.
     """
     words = cut(q.select("dim").distinct().withColumn("code", F.monotonically_increasing_id()), "dims")
-    own = x.join(words, "dim").select("id", F.col("code").alias("dim"), "val")
-    asks = q.join(words, "dim").select("qid", F.col("code").alias("dim"), "qval")
+    code = F.col("code").alias("dim")
+    own = x.join(words, "dim").groupBy("id", code).agg(F.sum("val").alias("val"))
+    asks = q.join(words, "dim").groupBy("qid", code).agg(F.sum("qval").alias("qval"))
     return cut(own, "postings"), cut(asks, "asks")
 
 

@@ -27,7 +27,7 @@ def box_bounds(x: DataFrame, q: DataFrame, size: int) -> DataFrame:
     return q.join(box, "dim").groupBy("qid", "pool").agg(F.sum(part).alias("bound"))
 
 
-def candidates(x: DataFrame, q: DataFrame, least: int, sizes: tuple[int, ...] = (128, 32)) -> DataFrame:
+def candidates(x: DataFrame, q: DataFrame, least: int, sizes: tuple[int, ...] = (128, 32), by_pool: bool = False) -> DataFrame:
     """(qid, pool) of the finest pools that may hold a row at or over the threshold; coarser pools are tested first."""
     kept = None
     for size in sizes:
@@ -37,32 +37,41 @@ def candidates(x: DataFrame, q: DataFrame, least: int, sizes: tuple[int, ...] =
         else:
             up = kept.select("qid", F.col("pool").alias("up"))
             children = sums.withColumn("up", F.floor(F.col("pool") * size / last).cast("long"))
-            met = q.join(up, "qid").join(children, ["up", "dim"])
+            met = q.join(up, "qid").join(children, ["up", "dim"]) if by_pool else q.join(children, "dim").join(up, ["qid", "up"], "left_semi")
         kept = met.groupBy("qid", "pool").agg(F.sum(F.col("qval") * F.col("val")).alias("bound")).where(F.col("bound") >= least).select("qid", "pool")
         last = size
     return kept
 
 
-def score_pools(x: DataFrame, q: DataFrame, kept: DataFrame, size: int, least: int = 1) -> DataFrame:
-    """Exact scores of the rows of the kept (qid, pool) pairs, at or over the threshold."""
+def score_pools(x: DataFrame, q: DataFrame, kept: DataFrame, size: int, least: int = 1, by_pool: bool = False) -> DataFrame:
+    """Exact scores of the rows of the kept (qid, pool) pairs, at or over the threshold.
+
+    Postings meet queries by dimension, and those outside the kept pools go before anything is summed. Where all rows
+    share most dimensions, ``by_pool`` opens the pools first.
+    """
     rows = x.withColumn("pool", F.floor(F.col("id") / size).cast("long"))
-    met = q.join(kept, "qid").join(rows, ["pool", "dim"])
+    if by_pool:
+        met = q.join(kept, "qid").join(rows, ["pool", "dim"])
+    else:
+        met = q.join(rows, "dim").join(kept, ["qid", "pool"], "left_semi")
     return met.groupBy("qid", "id").agg(F.sum(F.col("qval") * F.col("val")).alias("score")).where(F.col("score") >= least)
 
 
-def threshold(x: DataFrame, q: DataFrame, least: int, sizes: tuple[int, ...] = (128, 32)) -> DataFrame:
+def threshold(x: DataFrame, q: DataFrame, least: int, sizes: tuple[int, ...] = (128, 32), by_pool: bool = False) -> DataFrame:
     """(qid, id, score) of all pairs at or over the threshold, single-sided pruning."""
-    return score_pools(x, q, candidates(x, q, least, sizes), sizes[-1], least)
+    return score_pools(x, q, candidates(x, q, least, sizes, by_pool), sizes[-1], least, by_pool)
 
 
-def double_threshold(x: DataFrame, q: DataFrame, least: int, size: int = 32, qsize: int = 32) -> DataFrame:
+def double_threshold(x: DataFrame, q: DataFrame, least: int, size: int = 32, qsize: int = 32, by_pool: bool = False) -> DataFrame:
     """The same with both sides pooled: pairs of pools are tested before any query is."""
     grouped = q.withColumn("qpool", F.floor(F.col("qid") / qsize).cast("long"))
     sums = grouped.groupBy("qpool", "dim").agg(F.sum("qval").alias("qval"))
     pairs = sums.join(pools.leaf_sums(x, size), "dim").groupBy("qpool", "pool").agg(F.sum(F.col("qval") * F.col("val")).alias("bound")).where(F.col("bound") >= least)
     opened = grouped.select("qid", "qpool").distinct().join(pairs.select("qpool", "pool"), "qpool").select("qid", "pool")
-    bounds = q.join(opened, "qid").join(pools.leaf_sums(x, size), ["pool", "dim"]).groupBy("qid", "pool").agg(F.sum(F.col("qval") * F.col("val")).alias("bound"))
-    return score_pools(x, q, bounds.where(F.col("bound") >= least).select("qid", "pool"), size, least)
+    sums = pools.leaf_sums(x, size)
+    met = q.join(opened, "qid").join(sums, ["pool", "dim"]) if by_pool else q.join(sums, "dim").join(opened, ["qid", "pool"], "left_semi")
+    bounds = met.groupBy("qid", "pool").agg(F.sum(F.col("qval") * F.col("val")).alias("bound"))
+    return score_pools(x, q, bounds.where(F.col("bound") >= least).select("qid", "pool"), size, least, by_pool)
 
 
 def page_threshold(x: DataFrame, q: DataFrame, least: int, outer: int = 16, inner: int = 8) -> DataFrame:
