@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecgrove.materialise import cut
 from vecgrove.operators import pools
 from vecgrove.operators.exact import topk
 
@@ -128,7 +129,7 @@ def cascade_knn(x: DataFrame, q: DataFrame, k: int, thresholds: tuple[int, ...]
     """The same by descending thresholds: queries with k hits are done, the others go on; the last threshold is 1."""
     pending, done = q, None
     for least in thresholds:
-        hits = threshold(x, pending, least, sizes)
+        hits = cut(threshold(x, pending, least, sizes), "cascade")
         full = hits.groupBy("qid").count().where(F.col("count") >= k).select("qid")
         part = hits.join(full, "qid", "left_semi") if least > 1 else hits
         done = part if done is None else done.unionByName(part)
