@@ -1,8 +1,8 @@
 """Benchmark decontamination with a generalised suffix automaton over the words of the test items.
 
-The automaton of all items is built once and broadcast (its size is bounded by ``group_chars``: a larger benchmark is
-split into groups, one automaton and one narrow pass each, so nothing grows with the benchmark or the corpus). Documents
-stream through it in place: no shuffle, and memory of one batch of texts. Per word the walk keeps the longest length
+The automaton of the items is built once and broadcast (its size is bounded by ``group_chars``: a larger benchmark is
+split into groups, one automaton and one narrow pass each, one after the other, so no memory grows with the benchmark or
+the corpus). Documents stream through it in place: no shuffle, and memory of one batch of texts. Per word the walk keeps the longest length
 that still matches some item; whenever that length reaches the window length, the window of words that ends here occurs.
 
 Edge cases: a null or wordless text has no words and no hits; a null or wordless item has no window; rows with a null
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from vecgrove.llm import common
 
 WINDOW = 8
-GROUP_CHARS = 8_000_000
+#: Characters of the items of one automaton: some hundreds of MB in a worker at most.
+GROUP_CHARS = 2_000_000
 
 #: Bytes to words: A-Z lowered, other ASCII that is neither digit nor letter becomes a space, the rest stays.
 _FOLD = bytes(
@@ -175,51 +176,51 @@ class SuffixAutomaton:
         return merged, items
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, group_chars: int = GROUP_CHARS) -> list[SuffixAutomaton]:
-    """One automaton for each group of at most about ``group_chars`` characters of items (one, for usual benchmarks)."""
+def automata(benchmark: DataFrame, window: int = WINDOW, group_chars: int = GROUP_CHARS):
+    """One automaton at a time, for each group of about ``group_chars`` characters of items (one group, for usual benchmarks)."""
     items = benchmark.where("item_id is not null and text is not null").select(
         F.col("item_id").cast("string").alias("name"), F.col("text").alias("body")
     )
     chars = items.agg(F.sum(F.length("body"))).first()[0] or 0
     n = max(1, math.ceil(chars / group_chars))
     dealt = items.distinct().withColumn("g", F.pmod(F.xxhash64("name", "body"), F.lit(n)))
-    return [
-        SuffixAutomaton([(r.name, words(r.body)) for r in dealt.where(F.col("g") == g).toLocalIterator()], window)
-        for g in range(n)
-    ]
+    for g in range(n):
+        yield SuffixAutomaton([(r.name, words(r.body)) for r in dealt.where(F.col("g") == g).toLocalIterator()], window), g + 1 == n
 
 
-def match_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group_chars: int = GROUP_CHARS) -> DataFrame:
-    """Per document: doc_id, n_words, spans (merged word ranges, as start, end, start, end, ...) and items (sorted ids)."""
+def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """Per row: doc (all its columns), n_words, spans (merged word ranges, as start, end, start, end, ...) and items (sorted ids).
+
+    Groups of items take one pass each; a pass is written before the next automaton is built, so one automaton is all that
+    the driver, a worker and a broadcast hold.
+    """
     spark = docs.sparkSession
-    out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<int>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    groups = automata(benchmark, window, group_chars)
-    for k, automaton in enumerate(groups):
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    out = docs.select(whole, F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<int>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    for automaton, last in automata(benchmark, window, group_chars):
         shared = common.share(spark, automaton)
 
-        last = k + 1 == len(groups)
-        schema = out.drop("text").schema if last else out.schema
-
-        def walk(batches, shared=shared, last=last):
+        def walk(batches, shared=shared):
             for b in batches:
                 sam = shared.value
-                texts, before, names = (b.column(i).to_pylist() for i in (1, 3, 4))
+                old, names = b.column(2).to_pylist(), b.column(3).to_pylist()
                 n_words, spans, items = [], [], []
-                for text, old, seen in zip(texts, before, names):
+                for text, before, seen in zip(b.column(0).field("text").to_pylist(), old, names):
                     ws = words(text)
                     got, hit = sam.match(ws)
-                    if old:
-                        got = _merge(got + [(old[i], old[i + 1]) for i in range(0, len(old), 2)])
+                    if before:
+                        got = _merge(got + [(before[i], before[i + 1]) for i in range(0, len(before), 2)])
                     n_words.append(len(ws))
                     spans.append([x for p in got for x in p])
                     items.append(sorted(hit | set(seen or ())))
-                made = {"doc_id": b.column(0)} | ({} if last else {"text": b.column(1)})
-                made |= {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_pydict(made)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["doc", "n_words", "spans", "items"]
+                )
 
-        out = common.map_arrow(out, walk, schema)
+        out = common.map_arrow(out, walk, out.schema)
         if not last:
             out = common.cut(out, "decontaminate")
+            shared.unpersist()
     return out
 
 
@@ -233,40 +234,67 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = 2) -> DataFrame:
+def _lengths():
+    """Words of each span."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size("spans") - 2, F.lit(0)), F.lit(2)), lambda i: F.coalesce(F.get("spans", i + 1) - F.get("spans", i), F.lit(0)))
+
+
+def _covered():
+    return F.aggregate(_lengths(), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = 2, group_chars: int = GROUP_CHARS) -> DataFrame:
     """Per document: n_words, n_hit (words inside an occurrence), n_items, items_sha256, contaminated, longest_hit."""
-    m = match_documents(docs, benchmark, window)
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("spans") - 2, F.lit(0)), F.lit(2)), lambda i: F.coalesce(F.get("spans", i + 1) - F.get("spans", i), F.lit(0)))
-    return m.select(
-        "doc_id", "n_words",
-        F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_hit"),
+    return matched(docs.select("doc_id", "text"), benchmark, window, group_chars).select(
+        "doc.doc_id", "n_words", _covered().alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("items") >= min_items).alias("contaminated"),
-        F.array_max(pairs).cast("long").alias("longest_hit"),
+        F.array_max(_lengths()).cast("long").alias("longest_hit"),
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = 7, max_coverage: float = 0.0) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = 7, max_coverage: float = 0.0, group_chars: int = GROUP_CHARS) -> DataFrame:
     """Drop the documents whose covered spans exceed ``max_words`` in all and ``max_coverage`` of their words.
 
-    At the defaults every document with eight or more covered words goes; a shorter item alone doesn't condemn one. All columns of ``docs`` are kept. Equal
-    (doc_id, text) rows share one decision.
+    At the defaults every document with eight or more covered words goes; a shorter item alone doesn't condemn one. All
+    columns of ``docs`` are kept, whatever their names; rows with a null or empty text stay; equal rows share one decision.
     """
-    spark = docs.sparkSession
-    groups = automata(benchmark, window)
-    keep_schema = docs.schema
-    at = docs.columns.index("text")
-    shared = [common.share(spark, g) for g in groups]
+    m = matched(docs, benchmark, window, group_chars)
+    return m.where(~((_covered() > max_words) & (_covered() > max_coverage * F.greatest("n_words", F.lit(1))))).select("doc.*")
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = 8, max_coverage: float = 0.5, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """Cut covered spans of ``min_words`` words or more out of the texts; documents covered to more than ``max_coverage`` go.
+
+    A span goes from its first word's first character to its last word's last, with what stands between; the blanks on its
+    two sides stay. All other columns are kept as they are. Null and empty texts stay.
+    """
+    m = matched(docs, benchmark, window, group_chars).where(_covered() <= max_coverage * F.greatest("n_words", F.lit(1)))
+    columns = docs.columns
+    at = columns.index("text")
 
-    def keep(batches):
+    def run(batches):
         for b in batches:
-            stay = []
-            for text in b.column(at).to_pylist():
-                ws = words(text)
-                got = _merge([p for s in shared for p in s.value.match(ws)[0]])
-                covered = sum(e - s for s, e in got)
-                stay.append(not (covered > max_words and covered > max_coverage * max(1, len(ws))))
-            yield b.filter(pa.array(stay, pa.bool_()))
-
-    return common.map_arrow(docs, keep, keep_schema)
+            doc = b.column(0)
+            texts = [cut_words(t, [(s[i], s[i + 1]) for i in range(0, len(s), 2) if s[i + 1] - s[i] >= min_words]) for t, s in zip(doc.field("text").to_pylist(), b.column(2).to_pylist())]
+            cols = [doc.field(k) for k in range(len(columns))]
+            cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=columns)
+
+    return common.map_arrow(m, run, docs.schema)
+
+
+def cut_words(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """The text without the words from s to e - 1 of each span (s, e), sorted and apart."""
+    if not spans:
+        return text
+    data = text.encode("utf-8", "surrogatepass")
+    is_word = np.frombuffer(b" " + data.translate(_FOLD) + b" ", np.uint8) != 32
+    edge = np.diff(is_word.view(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    out, at = [], 0
+    for s, e in spans:
+        out.append(data[at : starts[s]])
+        at = ends[e - 1]
+    return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")

@@ -29,13 +29,17 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MIN_RATIO = 0.8
 SAMPLE = 4000
 
-#: Words that the sample's ordinary identifiers are made of.
+#: Words that the sample's ordinary identifiers are made of: usual in code, and frequent in four languages' prose.
 _PARTS = (
     "get set value index count user name file path data list item node tree query result table column row batch score vector "
     "graph edge page token label model train test split merge sort filter window shard bucket cache buffer stream read write "
-    "open close start stop order price total region nation customer supplier document content header request response server "
-    "client session config option default format string number integer thing other under over nation station motion enter here "
-    "there these those which would could should about after before because between during without through against"
+    "open close start stop price total content header request response server client session config option default format "
+    "string number integer message error warning handler service manager factory builder parser worker thread process "
+    "the and that with from have this they which would there about could other after first people because through between "
+    "never should house world school family government important different possible question development international "
+    "und nicht eine werden haben zwischen gesellschaft entwicklung wirtschaft regierung geschichte freiheit arbeiten schreiben "
+    "les des pour dans avec sont cette leurs gouvernement entreprise question histoire politique developpement maintenant "
+    "que para como pero esta entre cuando gobierno historia trabajo desarrollo informacion universidad administracion"
 ).split()
 
 
@@ -48,10 +52,12 @@ def sample(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
     words = F.array(*map(F.lit, _PARTS))
     pick = [F.get(words, F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(_PARTS))).cast("int")) for k in range(5)]
     plain = (
-        F.when(i % 5 == 0, F.concat_ws("_", *pick))
-        .when(i % 5 == 1, F.concat(pick[0], *map(F.initcap, pick[1:])))
-        .when(i % 5 == 2, F.upper(F.concat_ws("_", *pick[:4])))
-        .when(i % 5 == 3, F.concat_ws("-", *pick[:4], (i % 100).cast("string")))
+        F.when(i % 60 == 0, F.repeat(F.substring(F.lit("-_=+/"), (F.floor(i / 60) % 5 + 1).cast("int"), F.lit(1)), 40))  # ruled lines
+        .when(i % 6 == 0, F.concat_ws("_", *pick))
+        .when(i % 6 == 1, F.concat(pick[0], *map(F.initcap, pick[1:])))
+        .when(i % 6 == 2, F.upper(F.concat_ws("_", *pick[:4])))
+        .when(i % 6 == 3, F.concat_ws("-", *pick[:4], (i % 100).cast("string")))
+        .when(i % 6 == 4, F.concat(F.lit("/"), F.concat_ws("/", *pick[:4])))
         .otherwise(F.concat(*pick))
     )
     rows = spark.range(n)
@@ -105,7 +111,7 @@ def scan(docs: DataFrame, weights: list[float] | None = None, min_ratio: float =
     assign = spans("assign", matches(body, ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= MIN_ASSIGN))
     access = spans("access", matches(body, ACCESS))
     hexes = spans("hex", matches(body, HEX))
-    markov = spans("markov", matches(body, CANDIDATE, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (ratio(m, weights) > min_ratio)))
+    markov = spans("markov", matches(body, CANDIDATE, lambda m: ratio(m, weights) > min_ratio))
     found = docs.select("doc_id", text.alias("text")).select("doc_id", assign.alias("a"), access.alias("k"), hexes.alias("h"), markov.alias("m"))
     base = F.concat("a", "k", "h")
     return found.select(
