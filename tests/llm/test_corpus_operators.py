@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -378,23 +379,39 @@ def test_pages_by_host(spark, make):
     rows = [(i, f"http://h{i % 2}.org/{i}", f"<body><p>home about contact us now please</p><p>{b}</p><div>all rights reserved to host {i % 2} for ever</div>") for i, b in enumerate(bodies)]
     rows += [(50, "http://h0.org/x", f"<article><p>{bodies[0]}</p></article>"), (51, None, None), (52, "", ""), (53, "not a url", "<p>alone here</p>"), (53, "not a url", "<p>alone here</p>")]
     kinds = "page_id long, url string, html string"
-    for shard in (3, 4000):
-        got = sorted((r.page_id, r.text, r.n_chars) for r in boilerplate.main_text(make(rows, kinds), shard_pages=shard).collect())
+    for shard in (150, 10**6):
+        got = sorted((r.page_id, r.text, r.n_chars) for r in boilerplate.main_text(make(rows, kinds), shard_tokens=shard).collect())
         want = [(i, b) for i, b in enumerate(bodies)] + [(50, bodies[0]), (51, ""), (52, ""), (53, "alone here"), (53, "alone here")]
         assert got == [(i, t, len(t)) for i, t in want]
     assert boilerplate.main_text(make([], kinds)).count() == 0
 
 
 def test_evidence_around_articles(spark, make):
-    """Marked articles keep lines that others share or show outside; the shared text around them is counted."""
-    line = "this line stands in many articles and around them"
-    pages = [(k, "https://h.org/x", f"<nav><p>{line}</p><p>only page {k} says this {k} here</p></nav><article><h1>{line}</h1><p>text {k}</p><p>{line}</p></article>") for k in range(4)]
-    pages += [(8, "https://other.org/", f"<nav>{line}</nav><article>{line}</article>"), (9, "https://h.org/y", f"<p>{line}</p><p>a text in the open of page nine</p>")]
-    n = len(line.split())
-    want = [(k, f"{line}\ntext {k}\n{line}", n) for k in range(4)] + [(8, line, 0), (9, "a text in the open of page nine", n)]
-    for shard in (2, 4000):
-        got = boilerplate.main_text(make(pages, "page_id long, url string, html string"), shard_pages=shard).collect()
+    """Long lines that stand around articles leave articles, but for copies; what articles alone share stays."""
+    say = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    short, legal, shared = "this line stands in many articles and around them", say("legal", 20), say("shared", 30)
+    page = lambda k: f"<nav><p>{short}</p><p>{legal}</p></nav><article><h1>{short}</h1><p>{say(k, 40)}</p><p>{legal}</p><p>{shared}</p></article>"
+    pages = [(k, "https://h.org/x", page(k)) for k in range(4)]
+    pages += [(8, "https://other.org/", page(8)), (9, "https://h.org/y", f"<p>{short}</p><p>{say(9, 9)} {legal} {say(10, 2)}</p>")]
+    pages += [(10, "https://h.org/q", f"<article><p>{legal}</p><p>a quote</p></article>"), (10, "https://h.org/q", f"<article><p>{legal}</p><p>a quote</p></article>")]
+    n = len(short.split())
+    want = [(k, "\n".join((short, say(k, 40), shared)), 20) for k in range(4)]
+    want += [(8, "\n".join((short, say(8, 40), legal, shared)), 0), (9, f"{say(9, 9)} {say(10, 2)}", n + 20)] + [(10, f"{legal}\na quote", 20)] * 2
+    for shard in (100, 10**6):
+        got = boilerplate.main_text(make(pages, "page_id long, url string, html string"), shard_tokens=shard).collect()
         assert sorted((r.page_id, r.text, r.n_repeated) for r in got) == want
+    # of a large host, a share of the pages is asked for
+    many = [(100 + k, "https://h.org/z", f"<nav>{say(f'n{k}', 18)}</nav><article>{say(f'm{k}', 5)}</article>") for k in range(100)]
+    got = boilerplate.main_text(make(pages + many, "page_id long, url string, html string")).where("page_id < 10").collect()
+    assert {r.n_repeated for r in got} == {0}
+
+
+def test_unclosed_tags_take_linear_time():
+    began = time.time()
+    for t in ('<a href="x ', "<a", '<a href="x" ', "<!", "<p '", "<!--", "<a<a ' ", '"<', "</", "<script>", "<p>x</p>"):
+        boilerplate.parse("<article>kept<p>" + t * 60_000 + " ' end")
+    assert time.time() - began < 20
+    assert boilerplate.parse("<article>a<b title='>'>c</b> d < e")[0] == ["ac d < e"]
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
