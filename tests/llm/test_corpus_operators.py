@@ -305,6 +305,17 @@ def test_ring_shards(spark, docs, none, make):
     assert set(zip(r["size"], r.text_crc32)) == {(len(t.encode()) + 1, zlib.crc32(t.encode())) for t in ["same text", *(f"text {i} é" for i in range(0, 1000, 3))]}
 
 
+def test_ring_depends_on_rows_alone_and_moves_few(spark, make):
+    rows = [(i, f"text {i % 900}") for i in range(3000)] + [(5, "text 5")] * 700 + [(None, "no id")] * 40 + [(7, None)]
+    place = lambda df, n=16: sorted(map(str, ring.assign(df, n).select("doc_id", "size", "text_crc32", "shard", "slot").collect()))
+    assert place(make(rows).repartition(7)) == place(make(rows[::-1]).coalesce(2))
+    distinct = [(i, f"text {i}") for i in range(4000)]
+    before, after = ({r.doc_id: r.shard for r in ring.assign(make(distinct), n).collect()} for n in (16, 17))
+    moved = [i for i in before if before[i] != after[i]]
+    # a seventeenth has to move; full shards push some more clockwise
+    assert len(moved) < 0.25 * len(before) and sum(after[i] == 16 for i in moved) == sum(s == 16 for s in after.values())
+
+
 def exact_neighbours(ids, x, k):
     out = {}
     for q in sorted(set(ids.tolist())):

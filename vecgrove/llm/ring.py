@@ -4,10 +4,11 @@ Every shard owns ``vnodes`` points of a ring of 2^32 places; a row's place is a
 size, and the arc that it falls in belongs to the next point clockwise. Shards have capacities that add up to the number
 of rows and differ by at most one; rows that find their shard full continue clockwise to the next shard with room.
 
-The walk needs no rows on the driver: they are counted by (input part, arc), and the counts of the ``shards * vnodes``
-arcs alone go to the driver, which walks the ring once and cuts each arc's ranks into ranges [from, to) with a shard and
-a first slot. A row's rank in its arc is its part's offset plus its place among the part's rows of that arc, so rows
-gather by input part, never by arc or shard: a hot arc is spread over all parts.
+The walk needs no rows on the driver: they are counted by (cell, arc), where a cell is one of 2^16 stretches of the ring,
+and the counts of the ``shards * vnodes`` arcs alone go to the driver, which walks the ring once and cuts each arc's ranks
+into ranges [from, to) with a shard and a first slot. A row's rank in its arc is its cell's offset plus its place in the
+cell, in the order of the ring, so the result depends on the rows alone, never on files or partitions. Rows gather by
+cell, never by arc or shard; equal rows are one row with a count until they are placed.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from vecgrove.llm import common
 SHARDS = 16
 VNODES = 64
 RING = 1 << 32
+CELL_BITS = 16
 
 
 def points(shards: int = SHARDS, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -77,31 +79,31 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataF
         common.crc32_text(F.col("text")).alias("text_crc32"),
     )
     place = F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "size"), 32)
-    saved = common.cut(rows.withColumns({"place": place, "part": F.spark_partition_id().cast("long")}), "ring")
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")).withColumn("place", place)
+    saved = common.cut(rows.withColumn("cell", F.shiftright("place", 32 - CELL_BITS)), "ring")
 
     def tally(batches):
         for b in batches:
             arcs = np.searchsorted(places, b.column(0).to_numpy(zero_copy_only=False)) % len(places)
-            keys, n = np.unique(np.stack((b.column(1).to_numpy(zero_copy_only=False), arcs)), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(n)], names=["part", "arc", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(arcs), b.column(2)], names=["cell", "arc", "n"])
 
-    counted = common.map_arrow(saved.select("place", "part"), tally, "part long, arc long, n long")
-    tallied = common.cut(counted.groupBy("part", "arc").agg(F.sum("n").alias("n")), "tally")
+    counted = common.map_arrow(saved.select("place", "cell", "n"), tally, "cell long, arc long, n long")
+    tallied = common.cut(counted.groupBy("cell", "arc").agg(F.sum("n").alias("n")), "tally")
     sums = dict(tallied.groupBy("arc").agg(F.sum("n")).collect())  # at most shards * vnodes rows
     cuts = walk([sums.get(a, 0) for a in range(len(ring))], owners, shards)
-    before = tallied.withColumn("before", F.sum("n").over(Window.partitionBy("arc").orderBy("part")) - F.col("n"))
+    before = tallied.withColumn("before", F.sum("n").over(Window.partitionBy("arc").orderBy("cell")) - F.col("n"))
     return _place(saved, before, cuts, places, owners)
 
 
 def _place(saved: DataFrame, before: DataFrame, cuts, places: list[int], owners: list[int]) -> DataFrame:
-    """Each part's rows meet the part's own rank offsets, which sort first, and take shards and slots one by one."""
+    """Each cell's rows meet the cell's own rank offsets, which sort first, and take shards and slots one by one."""
     shared = common.share(saved.sparkSession, cuts)  # one range for each arc and each shard that it spills into
     kind = saved.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, size long, text_crc32 long, law string, shard int, slot long, grown_shard int, home_shard int"
     none = F.lit(None)
-    offsets = before.select("part", "arc", "before", none.cast(kind).alias("doc_id"), none.cast("long").alias("size"), none.cast("long").alias("text_crc32"), none.cast("long").alias("place"))
-    data = saved.select("part", none.cast("long").alias("arc"), none.cast("long").alias("before"), "doc_id", "size", "text_crc32", "place")
-    met = offsets.unionByName(data).repartition("part").sortWithinPartitions("part", F.col("arc").asc_nulls_last(), "place", "doc_id", "size")
+    offsets = before.select("cell", "arc", "before", none.cast(kind).alias("doc_id"), none.cast("long").alias("size"), none.cast("long").alias("text_crc32"), none.cast("long").alias("place"), none.cast("long").alias("n"))
+    data = saved.select("cell", none.cast("long").alias("arc"), none.cast("long").alias("before"), "doc_id", "size", "text_crc32", "place", "n")
+    met = offsets.unionByName(data).repartition("cell").sortWithinPartitions("cell", F.col("arc").asc_nulls_last(), "place", "doc_id", "size", "text_crc32")
 
     def run(batches):
         cuts = shared.value
@@ -109,26 +111,33 @@ def _place(saved: DataFrame, before: DataFrame, cuts, places: list[int], owners:
         rank: dict[int, int] = {}
         now = None
         for b in batches:
-            part, arc, first = (b.column(k).to_pylist() for k in range(3))
+            cell, arc, first = (b.column(k).to_pylist() for k in range(3))
             arcs = np.searchsorted(places, b.column(6).fill_null(0).to_numpy(zero_copy_only=False)) % len(places)
             rows, shard, slot = [], [], []
+            times = b.column(7).to_pylist()
             for i, a in enumerate(arcs.tolist()):
-                if part[i] != now:
-                    now, rank = part[i], {}
+                if cell[i] != now:
+                    now, rank = cell[i], {}
                 if arc[i] is not None:
                     rank[arc[i]] = first[i]
                     continue
-                r = rank[a]
-                rank[a] = r + 1
-                lo, _, s, start = cuts[a][bisect.bisect_right(ends[a], r)]
-                rows.append(i)
-                shard.append(s)
-                slot.append(start + r - lo)
-            took = pa.array(rows, pa.int64())
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(k).take(took) for k in (3, 4, 5)), pa.array(["rows"] * n, pa.string()), pa.array(shard, pa.int32()), pa.array(slot, pa.int64()), pa.nulls(n, pa.int32()), pa.array(np.array(owners, np.int32)[arcs[rows]] if n else [], pa.int32())],
-                names=["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "home_shard"],
-            )
+                for r in range(rank[a], rank[a] + times[i]):
+                    lo, _, s, start = cuts[a][bisect.bisect_right(ends[a], r)]
+                    rows.append(i)
+                    shard.append(s)
+                    slot.append(start + r - lo)
+                    if len(rows) >= 100_000:  # many equal rows make several batches
+                        yield made(b, arcs, rows, shard, slot)
+                        rows, shard, slot = [], [], []
+                rank[a] += times[i]
+            yield made(b, arcs, rows, shard, slot)
+
+    def made(b, arcs, rows, shard, slot):
+        took, n = pa.array(rows, pa.int64()), len(rows)
+        home = pa.array(np.array(owners, np.int32)[arcs[rows]] if n else [], pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [*(b.column(k).take(took) for k in (3, 4, 5)), pa.array(["rows"] * n, pa.string()), pa.array(shard, pa.int32()), pa.array(slot, pa.int64()), pa.nulls(n, pa.int32()), home],
+            names=["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "home_shard"],
+        )
 
     return common.map_arrow(met, run, schema)
