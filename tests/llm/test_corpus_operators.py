@@ -349,6 +349,31 @@ def test_neighbours_recall_and_form(spark):
     assert [i for i in copies if 200 <= i < 260] == sorted(set(range(200, 221)) - {220})[: len([i for i in copies if 200 <= i < 260])]
 
 
+def test_lists_are_dealt_by_size():
+    counts = np.array([3, 40, 0, 9, 2, 10, 1])
+    order = np.array([6, 0, 1, 2, 4, 3, 5])
+    first, parts = ann.deal(counts, order, 10)
+    load = {}
+    for c in range(7):
+        for p in range(parts[c]):
+            load.setdefault(first[c] + p, 0)
+            load[first[c] + p] += counts[c] / parts[c]
+    assert parts.tolist() == [1, 4, 1, 1, 1, 1, 1] and max(load.values()) <= 10 and first[6] == first[0]
+
+
+def test_neighbours_in_many_shards_and_of_two_lengths(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 8))
+    short = rng.standard_normal((40, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(short)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, probe=1.0, sample=160, shard_rows=25).toPandas()
+    want = exact_neighbours(np.arange(600), x, 20) | exact_neighbours(1000 + np.arange(40), short, 20)
+    near = {q: g.sort_values("rank").vec_id.tolist() for q, g in got.groupby("query_id")}
+    assert set(near) == set(want)
+    hits = sum(len(set(near[q]) & {i for _, i in want[q]}) for q in want)
+    assert hits >= 0.97 * sum(map(len, want.values()))  # the test on partial distances may lose a few
+
+
 def test_neighbours_few_rows(spark):
     schema = "vec_id long, embedding array<double>"
     assert ann.search(spark.createDataFrame([], schema), lambda i: i % 20 == 0).count() == 0

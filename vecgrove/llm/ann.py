@@ -6,10 +6,12 @@ columns after another; a hypothesis test on the partial distance - could the who
 threshold? - abandons most after the first blocks. Survivors are scored exactly, in double precision, on the original
 vectors. Thresholds come from a first scan of each query's nearest lists.
 
-Scale: lists are fitted on a bounded sample (``sample`` rows; they only steer the search), every row is indexed. Equal
-vectors form one class, represented by its k + 1 smallest ids - no result can hold more of them - so copies, however many,
-are one point. Lists are dealt into shards of about ``shard_rows`` classes; a query travels once to each shard with
-a list that it probes, in blocks of at most ``query_rows``; tasks return k + 1 classes a query at most.
+Scale: lists are fitted on a bounded sample (``sample`` rows, 16 a list at least; they only steer the search), every row is
+indexed. Equal vectors form one class, represented by its k + 1 smallest ids - no result can hold more of them - so copies,
+however many, are one point. Lists are dealt by their measured sizes into shards of about ``SHARD_ROWS`` classes: small
+neighbouring lists share one, a large list has several. The index moves once a pass; a query travels once to each shard
+with a list that it probes. A task holds one shard, the queries stream past it in batches, and k + 1 classes a query
+and shard at most come back.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ SEEDS = 2
 BLOCK = 16
 EPSILON = 2.1
 SHARD_ROWS = 8_192
-QUERY_ROWS = 20_000
-CENTRES_MOST = 1 << 17
+QUERY_ROWS = 256
+LIST_SAMPLE = 16
 
 
 def valid(vectors: DataFrame, id_: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -95,116 +97,158 @@ def scan_list(x: np.ndarray, q: np.ndarray, tau: np.ndarray, block: int = BLOCK,
     return i, j
 
 
-def search(vectors: DataFrame, is_query, k: int = K, probe: float = PROBE, sample: int = SAMPLE, id_: str = "vec_id", vec: str = "embedding") -> DataFrame:
+def deal(counts: np.ndarray, order: np.ndarray, shard_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shard and number of shards of each list: lists join in the given order until a shard is full, large ones split."""
+    first, parts = np.zeros(len(counts), np.int64), np.maximum(1, -(-counts // shard_rows))
+    shard, room = -1, 0
+    for c in order.tolist():
+        if parts[c] > 1 or counts[c] > room:
+            first[c], shard = shard + 1, shard + parts[c]
+            room = shard_rows - counts[c] if parts[c] == 1 else 0
+        else:
+            first[c], room = shard, room - counts[c]
+    return first, parts
+
+
+def search(vectors: DataFrame, is_query, k: int = K, probe: float = PROBE, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS, id_: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the nearest found for each row with ``is_query(vec_id)``.
 
     All rows but the query's own id are candidates; ties go to the smaller vec_id. Rows whose vector is null or zero, or
-    holds null or non-finite components, take no part, nor do vectors of another length than most; rows that repeat id
-    and vector count once. With fewer candidates than k all that are found are returned; an empty table gives an empty
-    result. Other columns are ignored.
+    holds null or non-finite components, take no part; rows that repeat id and vector count once. Vectors of different
+    lengths have no inner product: each length is searched by itself. With fewer candidates than k all that are found are
+    returned; an empty table gives an empty result. Other columns are ignored.
     """
-    spark = vectors.sparkSession
     rows = common.cut(valid(vectors, id_, vec).distinct(), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    out = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], out)
-    dim = sizes["d"]
-    rows = rows.where(F.size("v") == dim)
+    dims = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())  # usually one
+    found = [_search(rows.where(F.size("v") == d), is_query, k, probe, sample, shard_rows) for d in dims]
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for f in found:
+        out = f if f is found[0] else out.unionByName(f)
+    return out
+
+
+def _search(rows: DataFrame, is_query, k: int, probe: float, sample: int, shard_rows: int) -> DataFrame:
+    """:func:`search` over rows of one length."""
+    spark = rows.sparkSession
     within = Window.partitionBy("v").orderBy("vec_id")
     few = rows.withColumn("r", F.row_number().over(within)).where(F.col("r") <= k + 1)
     classes = common.cut(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("cls", F.get("ids", 0)), "classes")
     n, norm2 = classes.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
 
-    lists = max(1, min(CENTRES_MOST, n // 4 + 1, int(4 * math.sqrt(n))))
-    share = min(1.0, sample / n)
-    picked = classes.where(F.pmod(F.xxhash64("cls", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("cls", "v").orderBy("cls")
+    lists = max(1, min(sample // LIST_SAMPLE, n // 4 + 1, int(4 * math.sqrt(n))))
+    part = min(1.0, sample / n)
+    picked = classes.where(F.pmod(F.xxhash64("cls", F.lit(5)), F.lit(1 << 30)) < int(part * (1 << 30)) + 1).select("cls", "v").orderBy("cls")
     fit = np.array([r.v for r in picked.toLocalIterator()], np.float64)  # about ``sample`` rows
     if not len(fit):
         fit = np.array([classes.orderBy("cls").first().v], np.float64)
     model = Model(fit, math.sqrt(norm2), lists)
     n_lists = len(model.centres)
     probes = max(1, math.ceil(probe * n_lists))
-    shards = max(1, -(-n // SHARD_ROWS))
-    # neighbouring lists share a shard: centres in the order of their first principal direction
-    centred = model.centres - model.centres.mean(axis=0)
-    order = np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")
-    shard_of = np.empty(n_lists, np.int64)
-    shard_of[order] = np.arange(n_lists) * shards // n_lists
-    shared = common.share(spark, (model, shard_of))
+    shared_model = common.share(spark, model)
 
     def assign(batches):
-        model, shard_of = shared.value
+        model = shared_model.value
         for b in batches:
             if b.num_rows:
                 near = _nearest(model.place(_matrix(b.column(1))), model.centres)
-                yield pa.RecordBatch.from_arrays([pa.array(shard_of[near]), pa.array(near), *b.columns], names=["shard", "list", "cls", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(near), *b.columns], names=["list", "cls", "v"])
+
+    index = common.cut(common.map_arrow(classes.select("cls", "v"), assign, "list long, cls long, v array<double>"), "index")
+    counts = np.zeros(n_lists, np.int64)
+    for r in index.groupBy("list").count().collect():  # one row a list
+        counts[r["list"]] = r["count"]
+    # neighbouring lists share a shard: centres in the order of their first principal direction
+    centred = model.centres - model.centres.mean(axis=0)
+    order = np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")
+    first_shard, parts = deal(counts, order, shard_rows)
+    shared = common.share(spark, (model, first_shard, parts))
+    starts = F.array(*[F.lit(int(x)).cast("long") for x in first_shard]), F.array(*[F.lit(int(x)).cast("long") for x in parts])
+    at = F.col("list").cast("int")
+    shard = F.get(starts[0], at) + F.pmod(F.xxhash64("cls", F.lit(3)), F.get(starts[1], at))
+    none = F.lit(None)
+    stored = index.select(shard.alias("shard"), F.lit(0).alias("kind"), "list", "cls", "v", none.cast("double").alias("tau"))
+    stored = common.cut(stored, "shards")
+    common.drop_cut(index)
 
-    index = common.cut(common.map_arrow(classes.select("cls", "v"), assign, "shard long, list long, cls long, v array<double>"), "index")
     queries = rows.where(is_query(F.col("vec_id")))
-    own = queries.join(classes.select("v", "cls"), "v").select(F.col("vec_id").alias("query_id"), "cls")
-    own = common.cut(own, "queries")
+    own = common.cut(queries.join(classes.select("v", "cls"), "v").select(F.col("vec_id").alias("query_id"), "cls"), "queries")
     asked = classes.join(own.select("cls").distinct(), "cls", "left_semi").select("cls", "v")
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
 
-    def send(first: int, last: int):
+    def ranked(model, q, lo, hi):
+        """The lists of each query from the lo-th to the hi-th nearest."""
+        half = 0.5 * (model.centres**2).sum(axis=1)
+        return np.argsort(-(q @ model.centres.T - half), axis=1, kind="stable")[:, lo:hi]
+
+    def send(lo: int, hi: int):
         def run(batches):
-            model, shard_of = shared.value
-            half = 0.5 * (model.centres**2).sum(axis=1)
-            for b in batches:
+            model, first_shard, parts = shared.value
+            last_shard = first_shard + parts
+            for b in common.slices(batches):
                 if not b.num_rows:
                     continue
-                near = np.argsort(-(model.ask(_matrix(b.column(1))) @ model.centres.T - half), axis=1, kind="stable")[:, first:last]
-                to = np.sort(shard_of[near], axis=1)
-                new = np.ones(to.shape, bool)
-                new[:, 1:] = to[:, 1:] != to[:, :-1]
-                i, j = np.nonzero(new)
-                part = b.take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([pa.array(to[i, j]), *part.columns], names=["shard", *b.schema.names])
+                near = ranked(model, model.ask(_matrix(b.column(1))), lo, hi)
+                i, to = [], []
+                for row, ls in enumerate(near):
+                    s = np.unique(np.concatenate([np.arange(a, z) for a, z in zip(first_shard[ls], last_shard[ls])]))
+                    i.append(np.full(len(s), row))
+                    to.append(s)
+                i, to = np.concatenate(i), np.concatenate(to)
+                rows = b.take(pa.array(i))
+                nothing = pa.nulls(len(i), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.ones(len(i), np.int32)), nothing, *rows.columns], names=["shard", "kind", "list", "cls", "v", "tau"])
 
         return run
 
-    def scan(first: int, last: int):
-        def run(key, found: pa.Table, asking: pa.Table) -> pa.Table:
-            model, _ = shared.value
-            none = pa.table({"query": pa.array([], pa.int64()), "cls": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-            if not found.num_rows or not asking.num_rows:
-                return none
-            found, asking = found.sort_by([("list", "ascending"), ("cls", "ascending")]), asking.combine_chunks()
-            v = _matrix(found.column("v").combine_chunks())
-            lists = found.column("list").to_numpy()
-            cls = found.column("cls").to_numpy()
-            w = _matrix(asking.column("v").combine_chunks())
-            ids = asking.column("cls").to_numpy()
-            x, q = model.place(v), model.ask(w)
-            tau = asking.column("tau").to_numpy().copy()
-            half = 0.5 * (model.centres**2).sum(axis=1)
+    def scan(lo: int, hi: int):
+        """Rows come by shard, its classes first: they are laid out by list, and the queries that follow are scanned in batches."""
+
+        def run(batches):
+            model = shared.value[0]
+            now, held, ready = None, [], None
+            for b in batches:
+                for s in _stretches(b):
+                    key, kind = s.column(0)[0].as_py(), s.column(1)[0].as_py()
+                    if key != now:
+                        now, held, ready = key, [], None
+                    if kind == 0:
+                        held.append(s)
+                    elif held:
+                        ready = ready or layout(model, held)
+                        for part in common.slices([s], QUERY_ROWS):
+                            yield answer(model, ready, part)
+
+        def layout(model, held):
+            t = pa.Table.from_batches(held).sort_by([("list", "ascending"), ("cls", "ascending")])
+            v = _matrix(t.column("v").combine_chunks())
+            lists = t.column("list").to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], lists[1:] != lists[:-1], [True])))
+            return v, model.place(v), t.column("cls").to_numpy(), lists[edge[:-1]], edge
+
+        def answer(model, ready, part):
+            v, x, cls, lists, edge = ready
+            w, ids, tau = _matrix(part.column(4)), part.column(3).to_numpy(), part.column(5).to_numpy(zero_copy_only=False)
+            q = model.ask(w)
             probed = np.zeros((len(q), len(model.centres)), bool)
-            for s in range(0, len(q), 1024):
-                near = np.argsort(-(q[s : s + 1024] @ model.centres.T - half), axis=1, kind="stable")[:, first:last]
-                np.put_along_axis(probed[s : s + 1024], near, True, axis=1)
-            starts = np.flatnonzero(np.concatenate(([True], lists[1:] != lists[:-1])))
+            np.put_along_axis(probed, ranked(model, q, lo, hi), True, axis=1)
             got: list[list[np.ndarray]] = [[], [], []]
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(lists)]):
-                at = np.flatnonzero(probed[:, lists[s]])
-                for a in range(0, len(at), 2048):
-                    some = at[a : a + 2048]
+            for c, s, e in zip(lists.tolist(), edge[:-1].tolist(), edge[1:].tolist()):
+                some = np.flatnonzero(probed[:, c])
+                if len(some):
                     i, j = scan_list(x[s:e], q[some], tau[some])
-                    for c, t in zip(got, (some[i], s + j, (w[some[i]] * v[s + j]).sum(axis=1))):
-                        c.append(t)
-            i, j, score = (np.concatenate(c) if c else np.zeros(0) for c in got)
+                    for to, values in zip(got, (some[i], s + j, (w[some[i]] * v[s + j]).sum(axis=1))):
+                        to.append(values)
+            i, j, score = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in got)
             by = np.lexsort((cls[j], -score, i))
             i, j, score = i[by], j[by], score[by]
-            rank = np.arange(len(i)) - np.searchsorted(i, i)
-            top = rank <= k
-            return pa.table({"query": ids[i[top]], "cls": cls[j[top]], "score": score[top]})
+            top = np.arange(len(i)) - np.searchsorted(i, i) <= k
+            return pa.RecordBatch.from_arrays([pa.array(ids[i[top]]), pa.array(cls[j[top]]), pa.array(score[top].astype(np.float64))], names=["query", "cls", "score"])
 
         return run
 
-    def pass_(asking: DataFrame, first: int, last: int) -> DataFrame:
-        dealt = common.map_arrow(asking, send(first, last), "shard long, cls long, v array<double>, tau double").withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(blocks)))
-        copies = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        return copies.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(scan(first, last), "query long, cls long, score double")
+    def pass_(asking: DataFrame, lo: int, hi: int) -> DataFrame:
+        sent = common.map_arrow(asking, send(lo, hi), "shard long, kind int, list long, cls long, v array<double>, tau double")
+        met = stored.unionByName(sent).repartition("shard").sortWithinPartitions("shard", "kind")
+        return common.map_arrow(met, scan(lo, hi), "query long, cls long, score double")
 
     best = Window.partitionBy("query").orderBy(F.desc("score"), "cls")
     seeds = min(SEEDS, probes)
@@ -221,3 +265,12 @@ def search(vectors: DataFrame, is_query, k: int = K, probe: float = PROBE, sampl
     each = own.join(named.withColumnRenamed("query", "cls"), "cls").where("vec_id <> query_id")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _stretches(batch):
+    """The batch cut where the shard or the kind changes."""
+    if batch.num_rows:
+        shard, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        edge = [0, *(np.flatnonzero((shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), batch.num_rows]
+        for s, e in zip(edge, edge[1:]):
+            yield batch.slice(s, e - s)
