@@ -101,6 +101,28 @@ def test_keep_one_links_by_exact_similarity(spark, make):
     assert kept == {i for i in range(len(rows)) if i % 4 != 1}
 
 
+def test_large_groups_of_candidates_are_compared_in_pieces(spark):
+    rng = random.Random(11)
+    seeds = [[f"w{rng.randrange(60)}" for _ in range(40)] for _ in range(6)]
+    texts = []
+    for k in range(160):
+        ws = list(seeds[k % 6 if k % 4 else 0])
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            ws[rng.randrange(40)] = f"x{rng.randrange(1000)}"
+        texts.append(" ".join(ws))
+    rows = [(k % 3 if k < 150 else 9, k + 5, t) for k, t in enumerate(texts)] + [(9, 500, ""), (9, 501, None)]
+    df = spark.createDataFrame(rows, "root long, row long, text string")
+    sets = {r: np.unique(simhash.shingle_hashes(t, 5)[1]) for _, r, t in rows}
+    want = {}
+    for g in (0, 1, 2, 9):
+        own = [r for root, r, _ in rows if root == g]
+        want |= {r: own[p] for r, p in zip(own, simhash.similar_parts([sets[r] for r in own], 0.7).tolist())}
+    assert 10 < len(set(want.values())) < 150
+    for group in (4, 20, 1000):
+        got = {r.row: r.part for r in simhash.verified(df, 5, 0.7, group).collect()}
+        assert {r: got.get(r, r) for _, r, _ in rows} == want
+
+
 def test_similar_parts_equal_brute_force():
     rng = np.random.default_rng(3)
     for n in (1, 2, 40, 90):

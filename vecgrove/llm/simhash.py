@@ -32,6 +32,8 @@ _SEED = 42
 KEEP_SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
+#: Texts of a group of candidates that one task compares.
+GROUP = 512
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> tuple[bytes, np.ndarray]:
@@ -285,18 +287,33 @@ def sketches(numbered: DataFrame, shingle: int) -> DataFrame:
     return common.map_arrow(source, run, schema)
 
 
+class _Sets:
+    """Sets of hashes, to be asked which of them are similar to one."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        self.held = np.zeros(len(self.ids) + 1, bool)
+        self.summed = np.zeros(len(self.ids) + 1, np.int64)
+
+    def near(self, i: int, similarity: float) -> np.ndarray:
+        own = self.ids[self.starts[i] : self.ends[i]]
+        self.held[own] = True
+        np.cumsum(self.held[self.ids], out=self.summed[1:])
+        self.held[own] = False
+        both = self.summed[self.ends] - self.summed[self.starts]
+        return np.flatnonzero(both >= similarity * (self.sizes + self.sizes[i] - both) - 1e-9)
+
+
 def similar_parts(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
     """For distinct hashes of each text: the index of the first text of its part; texts link at Jaccard ``similarity`` or more.
 
     Texts are compared with all others one by one, until those not yet asked are all of one part: no pair is left out.
     """
     n = len(sets)
-    sizes = np.array([len(x) for x in sets], np.int64)
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    held = np.zeros(len(ids) + 1, bool)
-    summed = np.zeros(len(ids) + 1, np.int64)
+    all_ = _Sets(sets)
     root, rest = np.arange(n), np.ones(n, bool)
     while rest.any():
         most = np.bincount(root[rest], minlength=n).argmax()
@@ -304,42 +321,91 @@ def similar_parts(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.
         if not len(apart):
             break
         i = apart[0]
-        own = ids[starts[i] : ends[i]]
-        held[own] = True
-        np.cumsum(held[ids], out=summed[1:])
-        held[own] = False
-        both = summed[ends] - summed[starts]
-        near = np.flatnonzero(both >= similarity * (sizes + sizes[i] - both) - 1e-9)
+        near = all_.near(i, similarity)
         _link(near, np.full(len(near), i), root)
         root = _flat(root)
         rest[i] = False
     return root
 
 
-def verified(members: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(row, part) of ``members(root, row, text)``: the parts into which exact similarity divides each group of candidates."""
-    dealt = members.repartition("root").sortWithinPartitions("root", "row")
+def _by_group(df: DataFrame, keys: int, make, schema: str) -> DataFrame:
+    """``make(rows)`` for the rows (as tuples) of each run of equal first ``keys`` columns; the frame is dealt and sorted by them."""
 
     def run(batches):
-        key, rows, sets = None, [], []
+        now, held = None, []
         for b in common.slices(batches):
-            for k, row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if k != key:
-                    yield _parts(rows, sets)
-                    key, rows, sets = k, [], []
-                rows.append(row)
-                sets.append(np.unique(shingle_hashes(t.as_py(), shingle)[1]))
-        yield _parts(rows, sets)
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:keys] != now:
+                    if held:
+                        yield make(held)
+                    now, held = row[:keys], []
+                held.append(row)
+        if held:
+            yield make(held)
 
-    def _parts(rows, sets):
-        at = np.array(rows, np.int64)
-        part = at[similar_parts(sets, similarity)] if rows else at
-        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(part)], names=["row", "part"])
+    return common.map_arrow(df, run, schema)
+
+
+def verified(members: DataFrame, shingle: int, similarity: float, group: int = GROUP) -> DataFrame:
+    """(row, part) of ``members(root, row, text)``: the parts into which exact similarity divides each group of candidates.
+
+    A group of at most ``group`` texts is one task's work. A larger one is first compared with its smallest row alone, in
+    salted pieces: those similar to it are one part, and need no comparison with each other. The others are compared with
+    the whole group, one piece of them against one piece of the group at a time. Pieces hold about ``group`` texts and
+    emit stars, so neither a task nor the result grows with a group. Rows that link with nothing may be missing.
+    """
+    sets = lambda rows, at: [np.unique(shingle_hashes(r[at], shingle)[1]) for r in rows]
+    sizes = common.cut(members.groupBy("root").agg(F.count("*").alias("n"), F.min("row").alias("pivot")), "groups")
+
+    def parts(rows):
+        at = np.array([r[1] for r in rows], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(at[similar_parts(sets(rows, 2), similarity)])], names=["row", "part"])
+
+    few = members.join(sizes.where(F.col("n") <= group).select("root"), "root", "left_semi").select("root", "row", "text")
+    small = _by_group(few.repartition("root").sortWithinPartitions("root", "row"), 1, parts, "row long, part long")
+    if sizes.where(F.col("n") > group).isEmpty():
+        return small
+
+    pieces = F.ceil(F.col("n") / group).cast("int")
+    large = members.join(sizes.where(F.col("n") > group), "root").withColumn("pieces", pieces)
+    each = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")
+    piece = F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int").alias("piece")
+    pivots = large.where("row = pivot").select("root", each, F.lit(0).alias("kind"), "row", "text")
+    rest = large.where("row <> pivot").select("root", piece, F.lit(1).alias("kind"), "row", "text")
+    dealt = pivots.unionByName(rest).repartition("root", "piece").sortWithinPartitions("root", "piece", "kind")
+
+    def pivoted(rows):
+        own, *others = sets(rows, 4)
+        both = np.array([len(np.intersect1d(own, x, assume_unique=True)) for x in others], np.int64)
+        near = both >= similarity * (len(own) + np.array([len(x) for x in others], np.int64) - both) - 1e-9
+        row = np.array([r[3] for r in rows[1:]], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[1:]], pa.int64()), pa.array(row), pa.array(np.full(len(row), rows[0][3])), pa.array(near)], names=["root", "row", "pivot", "near"])
+
+    told = common.cut(_by_group(dealt, 2, pivoted, "root long, row long, pivot long, near boolean"), "pivoted")
+    outside = told.where("not near")
+    edges = told.where("near").select(F.col("row").alias("u"), F.col("pivot").alias("v"))
+    counts = outside.groupBy("root").agg(F.ceil(F.count("*") / group).cast("int").alias("askers"))
+    open_ = large.join(counts, "root")
+    asking = open_.join(outside.select("row"), "row", "left_semi")
+    asker = F.pmod(F.xxhash64("row", F.lit(1)), F.col("askers")).cast("int").alias("asker")
+    whole = open_.select("root", piece, F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("asker"), F.lit(0).alias("kind"), "row", "text")
+    met = whole.unionByName(asking.select("root", each, asker, F.lit(1).alias("kind"), "row", "text"))
+    met = met.repartition("root", "piece", "asker").sortWithinPartitions("root", "piece", "asker", "kind")
+
+    def compared(rows):
+        all_, root = _Sets(sets(rows, 5)), np.arange(len(rows))
+        for i in [k for k, r in enumerate(rows) if r[3] == 1]:
+            near = all_.near(i, similarity)
+            _link(near, np.full(len(near), i), root)
+        root = _flat(root)
+        row = np.array([r[4] for r in rows], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(row[root])], names=["u", "v"])
 
-    return common.map_arrow(dealt.select("root", "row", "text"), run, "row long, part long")
+    edges = edges.unionByName(_by_group(met, 3, compared, "u long, v long").where("u <> v"))
+    return small.unionByName(graph.components(edges).select(F.col("node").alias("row"), F.col("root").alias("part")))
 
 
-def keep_one(docs: DataFrame, shingle: int = KEEP_SHINGLE, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = KEEP_SHINGLE, radius: int = RADIUS, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
     """One whole row of each near-duplicate group: that with the smallest doc_id (null last), then the smallest row number.
 
     Texts link if the sets of their shingles have Jaccard similarity ``similarity`` or more. Texts of the same words are
@@ -358,8 +424,9 @@ def keep_one(docs: DataFrame, shingle: int = KEEP_SHINGLE, radius: int = RADIUS,
     visits = points.join(trees, "fp", "left").select("row", F.coalesce("root", "fp").alias("key")).unionByName(points.select("row", F.explode("keys").alias("key")))
     buckets = visits.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("key", "low")
     stars = visits.join(buckets, "key").where("row <> low").select(F.col("row").alias("u"), F.col("low").alias("v"))
-    members = saved.select("row", F.col("doc.text").alias("text")).join(graph.components(stars).withColumnRenamed("node", "row"), "row")
-    parts = common.cut(verified(members.select("root", "row", "text"), shingle, similarity), "parts")
+    roots = common.cut(graph.components(stars).withColumnRenamed("node", "row"), "candidates")
+    members = saved.select("row", F.col("doc.text").alias("text")).join(roots, "row")
+    parts = common.cut(verified(members.select("root", "row", "text"), shingle, similarity, group), "parts")
     common.release(docs.sparkSession)
     rooted = points.join(parts, "row", "left").select("best", F.coalesce("part", "row").alias("part"))
     winners = rooted.groupBy("part").agg(F.min("best").alias("best")).select("best.row")
