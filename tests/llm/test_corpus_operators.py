@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 import zlib
 
@@ -472,8 +473,30 @@ def test_unclosed_tags_take_linear_time():
     assert boilerplate.parse("<article>a<b title='>'>c</b> d < e")[0] == ["ac d < e"]
 
 
+def plain_redaction(text):
+    digits = lambda t: [int(c) for c in t if c.isdigit()]
+
+    def luhn(t):
+        d = digits(t)[::-1]
+        return 12 <= len(d) <= 19 and sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(d)) % 10 == 0
+
+    found = []
+    for kind, p, ok in (
+        ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda t: True),
+        ("IP", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda t: all(int(x) <= 255 for x in t.split("."))),
+        ("CARD", r"[0-9]([\x20-]?[0-9])+", luhn),
+        ("PHONE", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: 9 <= len(digits(t)) <= 15),
+    ):
+        found += [(m.start(), m.end(), kind) for m in re.finditer(p, text or "") if ok(m[0])]
+    for s, e, kind in sorted(found, reverse=True):  # they do not overlap in these documents
+        text = text[:s] + f"[{kind}]" + text[e:]
+    return text
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
+    from tokenizers import Tokenizer
+
     from vecgrove.llm import decontaminate, toxicity
 
     d = "/root/testdata/sf0.001"
@@ -510,5 +533,31 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         now = spark.read.parquet(str(tmp_path / str(k)))
         if k < 4:
             assert now.columns == before.columns
-    assert {r.doc_id for r in now.collect()} == clean
-    assert {r.doc_id for r in corpus_pipeline.run(spark, d).collect()} == clean
+    stages = [spark.read.parquet(str(tmp_path / str(k))) for k in range(5)]
+    ids = lambda k: sorted(r.doc_id for r in stages[k].select("doc_id").collect())
+    assert ids(0) == sorted(r.doc_id for r in rows) and ids(1) == sorted(r.doc_id for r in best.values()) and ids(2) == ids(3) == sorted(clean)
+    # personal data: the base patterns, written out again; these documents hold no other
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    redacted = {r.doc_id: r.text for r in stages[3].select("doc_id", "text").collect()}
+    assert redacted == {i: plain_redaction(texts[i]) for i in clean} and sum(redacted[i] != texts[i] for i in clean) > 3
+    # packing: ids of the library, sequences without gaps, the fewest there can be
+    library = Tokenizer.from_file(PATH)
+    packed = [r.asDict() for r in stages[4].collect()]
+    pieces = {}
+    for r in packed:
+        pieces.setdefault(r["doc_id"], []).append(r)
+    assert set(pieces) == clean
+    for i, ps in pieces.items():
+        ids_ = np.array([*library.encode(redacted[i] or "", add_special_tokens=False).ids, 0], "<u4")
+        ps.sort(key=lambda r: r["piece"])
+        assert [r["start"] for r in ps] == np.cumsum([0, *(r["length"] for r in ps[:-1])]).tolist() and sum(r["length"] for r in ps) == len(ids_)
+        assert all(r["ids_crc32"] == zlib.crc32(ids_[r["start"] : r["start"] + r["length"]].tobytes()) for r in ps) and all(r["length"] == 2048 for r in ps[1:])
+    sequences = {}
+    for r in packed:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts_ in sequences.values():
+        parts_.sort()
+        assert [o for o, _ in parts_] == np.cumsum([0, *(n for _, n in parts_[:-1])]).tolist() and sum(n for _, n in parts_) <= 2048
+    assert len(sequences) <= -(-sum(r["length"] for r in packed) // 2048) + 1
+    whole = [r.asDict() for r in corpus_pipeline.run(spark, d).collect()]
+    assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in whole) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packed)

@@ -88,7 +88,13 @@ def _sample(labels: DataFrame, target: str, size: int) -> tuple[DataFrame, int]:
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int = SAMPLE, bits: int = BITS) -> dict[int, float]:
-    """Sparse weights by slot; slot 2^bits is the bias. Empty if no labelled row has a document."""
+    """Sparse weights by slot; slot 2^bits is the bias. Empty if no labelled row has a document.
+
+    Labels with a null doc_id or target, and held-out ones, are never read; of several labels of one doc_id the majority
+    counts, a tie as 1; of several texts of one doc_id the one with the smallest hash. Null and empty texts teach the bias
+    alone. A learner's rows are distinct slots of whole texts, so its memory is bounded by ``SHARD_ROWS`` times the longest
+    text's different words, not by the corpus. Other columns of either table are ignored.
+    """
     chosen, n = _sample(labels, target, sample)
     shards = max(1, round(n / SHARD_ROWS))
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about ``sample`` short rows
@@ -102,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(slots, pa.list_(pa.int32()))], names=["shard", "turn", "label", "slots"])
 
     rows = common.map_arrow(coded, code, "shard int, turn long, label int, slots array<int>")
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "turn")
+    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "turn")
 
     def learn(batches):
         rows: dict[int, list] = {}
@@ -161,7 +167,10 @@ def score(docs: DataFrame, weights: dict[int, float], bits: int = BITS) -> DataF
 
 
 def remove_toxic(docs: DataFrame, weights: dict[int, float], limit: float = 0.5, bits: int = BITS) -> DataFrame:
-    """The rows of ``docs`` with scores below ``limit``, all columns kept."""
+    """The rows of ``docs`` with scores below ``limit``, all columns kept, whatever their names.
+
+    Null and empty texts have the score of no features; repeated rows share a decision; an empty table stays empty.
+    """
     shared = common.share(docs.sparkSession, weights)
     at = docs.columns.index("text")
 
