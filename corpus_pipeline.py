@@ -1,4 +1,10 @@
-"""From raw documents to packed sequences: toxicity, near-duplicates, benchmark passages, personal data, packing."""
+"""From raw documents to packed sequences: toxicity, near-duplicates, benchmark passages, personal data, packing.
+
+Each stage takes documents with any columns beside doc_id and text, and all but the last return the same columns. Rows with
+a null or empty text pass all filters (as near-duplicates, those without words are one group); rows with a null doc_id are
+rows like any others; repeated rows are near-duplicates of each other; of a group, the smallest doc_id stays, null last.
+An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -9,12 +15,12 @@ from vecgrove.llm.catalog import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones, scores under one half."""
+    """Documents that the classifier, trained on the labelled ones among ``docs``, scores under one half."""
     return toxicity.remove_toxic(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
+    """One document of each group of texts whose five-word shingles are similar to 0.8 or more."""
     return simhash.keep_one(docs)
 
 
