@@ -16,7 +16,7 @@ from vecgrove.types import SCALE, quantised, to_long
 
 K = 10
 DIMS = 64
-T, B = 20, 6  # hash tables and bits
+T, B = 20, 6  # hash tables, and bits of their words for up to 2048 rows; larger tables take more, and so must the SQL
 LEAST = 3  # equal tables of a candidate
 POOLS = 90
 BITS = 40  # of an item index; a larger one stops the job
@@ -82,7 +82,7 @@ def _sparse(spark, d):
 
 def _hashed(spark, d):
     x = dense(spark, d)
-    return ann.Hashed(x, asking(x), DIMS, T, B)
+    return ann.Hashed(x, asking(x), DIMS, T, lsh.word_bits(x.count(), B))
 
 
 _dense, _abs = _pair(dense), _pair(dense_abs)
@@ -469,7 +469,7 @@ def _(spark, d):
 @query("hash_hamming_candidates", f"WITH {H} SELECT q.id AS qid, y.id, count(*) AS n_match FROM h q JOIN h y USING (tbl) WHERE q.id % 50 = 0 AND bit_count(xor(q.h, y.h)) <= 1 GROUP BY q.id, y.id HAVING count(*) >= 10")
 def _(spark, d):
     h = _hashed(spark, d)
-    return lsh.hamming_candidates(h.xt, h.qt, B, 1, 10)
+    return lsh.hamming_candidates(h.xt, h.qt, h.bits, 1, 10)
 
 
 @query("hash_knn", f"WITH {H}, {M}, s AS (SELECT qid, id, n_match AS score FROM m) {top('s')}")

@@ -14,7 +14,7 @@ class Hashed:
     """Data and queries hashed once, as inverted indexes."""
 
     def __init__(self, x: DataFrame, q: DataFrame, dims: int, tables: int = 20, bits: int = 6, seed: int = 7):
-        self.x, self.q = x, q
+        self.x, self.q, self.bits = x, q, bits
         self.xt = lsh.tables(lsh.hashes(x, tables, bits, dims, seed))
         self.qt = lsh.tables(lsh.hashes(q, tables, bits, dims, seed))
 

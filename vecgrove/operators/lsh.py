@@ -12,6 +12,11 @@ from vecgrove.operators.exact import topk
 from vecgrove.shipping import ship
 
 
+def word_bits(rows: int, least: int = 6, most: int = 40) -> int:
+    """Bits of a hash word for a table of ``rows`` rows: buckets hold a few dozen rows at any size, not a fixed share of them."""
+    return min(most, max(least, (max(1, rows) - 1).bit_length() - 5))
+
+
 def planes(tables: int, bits: int, dims: int, seed: int = 7) -> np.ndarray:
     """tables x bits x dims of +1 and -1: hash sums of whole-number vectors are exact."""
     k = np.arange(tables * bits * dims, dtype=np.int64) + seed
