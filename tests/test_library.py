@@ -184,11 +184,12 @@ def test_coded_joins_equal_plain_ones(spark, sparse):
     assert rows_of(exact.linscan(*exact.coded(sparse, q)), "qid", "id", "score") == rows_of(exact.linscan(sparse, q), "qid", "id", "score")
 
 
-def test_dual_index_equals_a_plain_version(spark):
+def test_dual_index_equals_a_plain_version(spark, tmp_path):
     rng = np.random.default_rng(9)
     x = spark.createDataFrame([(i, rng.integers(-9, 9, 8).tolist()) for i in range(60)], "id long, v array<long>")
     design, q = grouptest.Design(6), x.where("id < 3")
-    index = ann.DualIndex(x, design, 4, 8, tables=3, word=2)
+    ann.DualIndex(x, design, 4, 8, tables=3, word=2, path=f"{tmp_path}/dual")
+    index = ann.DualIndex.load(spark, f"{tmp_path}/dual", 4, 8, tables=3, word=2)
     words = [{r.id: r.hashes for r in lsh.hashes(x, 3, 2, 8, s).collect()} for s in index.seeds]
     near = lambda k, a, b: any(u == w for u, w in zip(words[k][a], words[k][b]))
     sig = signatures.or_words(range(60), 4)

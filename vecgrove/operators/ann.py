@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecgrove.materialise import cut
+from vecgrove.materialise import new_path
 from vecgrove.operators import bloom, grouptest, lsh
 from vecgrove.operators.exact import rerank, topk
 
@@ -86,18 +86,35 @@ def by_saffron(h: Hashed, sparsity: int, n_items: int, k: int, least: int) -> Da
 class DualIndex:
     """Two inverted indexes over the same rows, written once: by bucket of the design, and by test of the signature.
 
-    A pool of the product design is a bucket and a test; its matches are the items that match in both.
+    A pool of the product design is a bucket and a test; its matches are the items that match in both. With a ``path`` the
+    index stays there, and :meth:`load` opens it again; otherwise it lives as long as the session.
     """
 
-    def __init__(self, x: DataFrame, design: grouptest.Design, bits: int, dims: int, tables: int = 8, word: int = 6, seed: int = 7):
-        self.tests, self.shape = 6 * bits, (tables, word, dims)
-        self.seeds = (seed, seed + tables * word * dims)
+    def __init__(self, x: DataFrame, design: grouptest.Design, bits: int, dims: int, tables: int = 8, word: int = 6, seed: int = 7, path: str | None = None):
+        self._shape(bits, dims, tables, word, seed)
         sig = grouptest.signatures.or_signature(F.col("item"), bits)
         items = grouptest.fitting(x.select(F.col("id").alias("item")), 2 * bits)
         tested = items.select("item", F.posexplode(sig).alias("test", "one")).where("one = 1").select("item", F.col("test").cast("long").alias("test"))
         hashed = [lsh.tables(lsh.hashes(x, tables, word, dims, s)).select("tbl", "h", F.col("id").alias("item")) for s in self.seeds]
-        self.by_bucket = cut(hashed[0].join(design.edges(x), "item").select(F.col("pool").alias("bucket"), "tbl", "h", "item"), "by-bucket")
-        self.by_test = cut(hashed[1].join(tested, "item").select("test", "tbl", "h", "item"), "by-test")
+        path = path or new_path(x.sparkSession, "dual")
+        hashed[0].join(design.edges(x), "item").select(F.col("pool").alias("bucket"), "tbl", "h", "item").write.mode("overwrite").parquet(f"{path}/by_bucket")
+        hashed[1].join(tested, "item").select("test", "tbl", "h", "item").write.mode("overwrite").parquet(f"{path}/by_test")
+        self._open(x.sparkSession, path)
+
+    def _shape(self, bits: int, dims: int, tables: int, word: int, seed: int) -> None:
+        self.tests, self.shape = 6 * bits, (tables, word, dims)
+        self.seeds = (seed, seed + tables * word * dims)
+
+    def _open(self, spark, path: str) -> None:
+        self.by_bucket, self.by_test = (spark.read.parquet(f"{path}/{part}") for part in ("by_bucket", "by_test"))
+
+    @classmethod
+    def load(cls, spark, path: str, bits: int, dims: int, tables: int = 8, word: int = 6, seed: int = 7) -> "DualIndex":
+        """The index at ``path``, built with the same numbers."""
+        index = cls.__new__(cls)
+        index._shape(bits, dims, tables, word, seed)
+        index._open(spark, path)
+        return index
 
     def query(self, q: DataFrame, pools: DataFrame, least: int = 1) -> DataFrame:
         """(qid, pool, id) for the given pools (pool): matches by bucket that are matches by test, each in ``least`` tables."""
