@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecgrove.llm import ann, boilerplate, graph, packing, ring, simhash, suffix
+from vecgrove.llm import ann, boilerplate, common, graph, packing, ring, simhash, suffix
 from vecgrove.llm.tokens import Encoder
 
 PATH = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
@@ -72,18 +72,31 @@ def test_components_of_a_chain_and_a_star(spark):
     assert all(got[i] == 0 for i in range(61)) and all(got[i] == 100 for i in range(100, 300)) and len(got) == 261
 
 
-def test_near_duplicates_edges(spark, docs, none):
+def test_near_duplicates_edges(spark, docs, none, texts):
     r = simhash.near_duplicates(docs).collect()
     assert len(r) == docs.count() and simhash.near_duplicates(none).count() == 0
     by = {}
     for x in r:
         by.setdefault(x.doc_id, set()).add((x.fingerprint, x.component_id))
     assert by[0] == by[1] == by[2] == {("0" * 16, 0)} and by[4] == by[8] == by[9]
+    lone = by[11], by[12], by[3]
+    assert all(len(x) == 1 for x in lone) and {c for x in lone for _, c in x} == {11, 12, 3}
+    assert by[None] == {(f"{brute_fingerprint(texts[5]) & (2**64 - 1):016x}", None)}  # a null doc_id names no group
     kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len({x.component_id for x in r})
+    whole = {(x.doc_id, x.text) for x in kept.collect()}
+    assert kept.columns == docs.columns and whole == {(0, None), (3, "one"), (4, texts[4]), (None, texts[5]), (6, texts[6]), (7, texts[7]), (11, texts[11]), (12, texts[12])}
     assert simhash.keep_one(none).count() == 0
 
 
+def test_filters_hold_their_keys(spark):
+    keys = spark.range(-3000, 3000).selectExpr("id * 7919 as key")
+    own = np.array([r.key for r in keys.collect()])
+    for bits in (15, 18, None):
+        places = common.bitmap(keys, bits)
+        assert common.in_bitmap(places, own).all() and (bits != 18 or common.in_bitmap(places, own * 31 + 5).mean() < 0.1)
+    assert not common.in_bitmap(common.bitmap(keys.where("false")), own).any()
+
+
 def test_keep_one_links_by_exact_similarity(spark, make):
     """All texts of five-word-shingle similarity 0.8 or more go, however far apart their fingerprints lie; no others do."""
     rng = random.Random(9)

@@ -68,7 +68,8 @@ def test_secrets_base_spans(spark, make, docs, none):
         assert got[i].base_sha256 == sha(want), t
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(n.values())
         assert set(filter(None, want.split(","))) <= set(got[i].spans.split(","))
-    assert secrets.scan(docs).count() == docs.count()
+    edge = secrets.scan(docs).collect()
+    assert len(edge) == docs.count() and {(r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in edge} == {(0, 0, 0, sha(""))}
     assert secrets.scan(none).count() == 0
 
 
@@ -111,7 +112,8 @@ def test_pii_base_spans(spark, make, docs, none):
         assert got[i].base_sha256 == sha(want), t
         assert (got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone) == tuple(n.values())
         assert set(filter(None, want.split(","))) <= set(got[i].spans.split(","))
-    assert pii.spans(docs).count() == docs.count()
+    edge = pii.spans(docs).collect()
+    assert len(edge) == docs.count() and {(r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, r.spans, r.n_found) for r in edge} == {(0, 0, 0, 0, sha(""), "", 0)}
     assert pii.spans(none).count() == 0
 
 
@@ -244,7 +246,9 @@ def test_decontamination_cuts_spans_and_drops_by_coverage(spark, make, group_cha
 
 def test_decontamination_edges(spark, make, docs, none):
     bench = make([(1, "alpha beta gamma delta epsilon zeta eta theta iota")], "item_id long, text string")
-    assert decontaminate.contamination(docs, bench).count() == docs.count()
+    edge = decontaminate.contamination(docs, bench).collect()
+    assert len(edge) == docs.count() and {(r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in edge} == {(0, 0, sha(""), False)}
+    assert {r.doc_id: r.n_words for r in edge if r.doc_id in (0, 1, 2, 3, 7)} == {0: 0, 1: 0, 2: 0, 3: 1, 7: 20_000}
     assert decontaminate.contamination(none, bench).count() == 0
     assert decontaminate.contamination(docs, bench.where("false")).agg(F.sum("n_hit")).first()[0] == 0
     d = make([(1, "x Alpha beta, gamma delta epsilon zeta eta theta y"), (2, "alpha beta gamma"), (3, None)])

@@ -50,11 +50,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def bitmap(keys: DataFrame, bits: int = 23) -> bytes:
-    """A set of 2^bits places that holds at least those of the longs in ``keys(key)``: a filter of fixed size (1 MB at 23).
+#: Places of a filter, as powers of two: 1 MB at least, 32 MB at most.
+FILTER_BITS = (23, 28)
 
-    It saves moving rows that no key asks for; rows that it lets through wrongly meet an exact join afterwards.
+
+def bitmap(keys: DataFrame, bits: int | None = None) -> bytes:
+    """A set of 2^bits places that holds at least those of the longs in ``keys(key)``: eight places a key, within FILTER_BITS.
+
+    It saves moving rows that no key asks for; rows that it lets through wrongly meet an exact join afterwards, so a set
+    too full costs time alone.
     """
+    bits = bits or min(FILTER_BITS[1], max(FILTER_BITS[0], (8 * keys.count()).bit_length()))
     place = (F.pmod(F.col("key"), F.lit(1 << bits)) + 1).alias("p")
     rows = keys.select(place).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
     out = bytearray((1 << bits) // 8)
@@ -65,9 +71,9 @@ def bitmap(keys: DataFrame, bits: int = 23) -> bytes:
     return bytes(out)
 
 
-def in_bitmap(places: bytes, keys, bits: int = 23):
+def in_bitmap(places: bytes, keys):
     """Which of the longs in a numpy array are in the set."""
     import numpy as np
 
-    p = keys % (1 << bits)
+    p = keys % (8 * len(places))
     return (np.frombuffer(places, np.uint8)[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
