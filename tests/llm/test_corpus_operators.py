@@ -1,5 +1,6 @@
 """Near-duplicates, repeated strings, packing, sharding, search, pages and the pipeline: against brute force, and on edge cases."""
 
+import collections
 import hashlib
 import random
 import re
@@ -478,6 +479,45 @@ def test_evidence_around_articles(spark, make):
     assert {r.n_repeated for r in got} == {0}
 
 
+def labelled_pages(rng, n):
+    """(page_id, url, html, main text): articles in several layouts among menus, adverts, notices, forms, comments, teasers."""
+    say = lambda k: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8))) for _ in range(k))
+    hosts = {h: [say(4), say(30), say(24), say(18)] for h in range(4)}
+    out = []
+    for i in range(n):
+        host, title, body = i % 4, say(6), [say(rng.randint(8, 60)) for _ in range(rng.randint(2, 7))]
+        motto, legal, offer, about = hosts[host]
+        teaser = " ".join(f"<a href='/{k}'>{say(5)}</a>" for k in range(3))
+        top = f"<header><p>{motto}</p><nav><ul><li>Home<li>News &amp; more<li>{motto}</ul></nav></header><div class='cookie-notice'>{offer} <button>ok</button></div>"
+        foot = f"<aside class=related><h2>More</h2>{teaser}</aside><section id='comments'><p>{say(12)}</p></section><form><label>Mail</label><input></form><footer>{legal}</footer>"
+        paragraphs = "".join(f"<p>{b}\n</p>" for b in body[:-1]) + f"<ul><li>{body[-1]}</ul>"
+        want = [title, *body]
+        layout = i % 5
+        if layout == 0:
+            html = f"{top}<main><article><h1>{title}</h1>{paragraphs}<div class='ad-slot'>{offer}</div></article></main>{foot}"
+        elif layout == 1:
+            html = f"{top}<article><h1>{title}</h1>{paragraphs}<p>{legal}</p></article>{foot}"  # the notice stands inside, too
+        elif layout == 2:
+            html = f"<p>{motto}</p><p>{about}</p><div class=content><h1>{title}</h1>{paragraphs}</div><p>{offer}</p><p>{legal}</p>"  # nothing is marked
+        elif layout == 3:
+            html = f"<div><p>{motto}</p></div><script>var x='<p>{say(4)}</p>'</script><h1>{title}</h1>{paragraphs}<p>{about} {say(3)}</p>{foot}"
+            want = want + [None]  # the words after the notice may stay
+        else:
+            html = f"{top}<main><h1>{title}</h1>{paragraphs}<nav>{teaser}</nav></main>{foot}"
+        out.append((i, f"https://site{host}.org/{i}", f"<!doctype html><html><head><title>{title}</title></head><body>{html}</body></html>", "\n".join(w for w in want if w)))
+    return out
+
+
+def test_main_text_of_labelled_pages(spark, make):
+    rows = labelled_pages(random.Random(21), 200)
+    got = {r.page_id: r.text for r in boilerplate.main_text(make([r[:3] for r in rows], "page_id long, url string, html string")).collect()}
+    both = found = true = equal = 0
+    for i, _, _, text in rows:
+        a, b = collections.Counter(got[i].split()), collections.Counter(text.split())
+        both, found, true, equal = both + (a & b).total(), found + a.total(), true + b.total(), equal + (got[i] == text)
+    assert both / found > 0.99 and both / true > 0.999 and equal >= 155
+
+
 def test_unclosed_tags_take_linear_time():
     began = time.time()
     for t in ('<a href="x ', "<a", '<a href="x" ', "<!", "<p '", "<!--", "<a<a ' ", '"<', "</", "<script>", "<p>x</p>"):
