@@ -715,24 +715,63 @@ FILTERS, FHASHES, FWORD = 30, 2, 5  # pools, hashes and bits of the filters by p
 _FLEN = 3 * (2 * BITS + 1)
 
 
-@query(
-    "bloom_positive_tests",
-    f"""WITH {X}, {_planes(FILTERS * _FLEN * FHASHES, FWORD)}, {_edges(FILTERS)},
+_BLOOM = f"""{X}, {_planes(FILTERS * _FLEN * FHASHES, FWORD)}, {_edges(FILTERS)},
 sg AS (SELECT pool, item, unnest({_sig('item')}) AS one, unnest(range(0, {_FLEN})) AS pos FROM e),
 it AS (SELECT item, (pool * {_FLEN} + pos) * {FHASHES} + r.j AS tbl FROM sg, range(0, {FHASHES}) r(j) WHERE one = 1),
 hi AS MATERIALIZED (SELECT item, tbl, sum(CASE WHEN list_dot_product(v, p) >= 0 THEN 1 << bit ELSE 0 END) AS h FROM it JOIN x ON x.id = it.item JOIN pl USING (tbl) GROUP BY ALL),
 hq AS MATERIALIZED (SELECT id AS qid, tbl, sum(CASE WHEN list_dot_product(v, p) >= 0 THEN 1 << bit ELSE 0 END) AS h FROM x, pl WHERE id % 50 = 0 GROUP BY ALL),
-mt AS (SELECT qid, tbl // {FHASHES} AS test, item FROM hq JOIN hi USING (tbl, h) GROUP BY ALL HAVING count(*) >= {FHASHES})
-SELECT DISTINCT qid, test // {_FLEN} AS pool, test % {_FLEN} AS pos FROM mt""",
-)
+mt AS (SELECT qid, tbl // {FHASHES} AS test, item FROM hq JOIN hi USING (tbl, h) GROUP BY ALL HAVING count(*) >= {FHASHES}),
+bt AS MATERIALIZED (SELECT DISTINCT qid, test // {_FLEN} AS pool, test % {_FLEN} AS pos FROM mt)"""
+
+
+@query("bloom_positive_tests", f"WITH {_BLOOM} SELECT qid, pool, pos FROM bt")
 def _(spark, d):
     x, q = _dense(spark, d)
     return bloom.positive_tests(x, q, grouptest.Design(FILTERS), DIMS, BITS, FHASHES, FWORD, FHASHES)
 
 
-@query("ann_bloom_xor")
+_ALL = (1 << BITS) - 1
+_BLOCK = 2 * BITS + 1
+
+
+def _numbers(item):
+    """SQL of a signature as nine numbers: of each block the parity, the ones and the complements."""
+    on = ["1", *(f"(({item} >> {k}) & 1)" for k in signatures.BLOCK_BITS)]
+    return [x for b in on for x in (b, f"({item} * {b})", f"(xor({item}, {_ALL}) * {b})")]
+
+
+_NINE = [f"{n}{k}" for k in range(3) for n in "poc"]
+
+
+def _measured_peel_sql(rounds=5):
+    """SQL of peeling from measurements that need not be sums: bt (qid, pool, pos) to peeled (qid, item)."""
+    place, block = f"pos % {_BLOCK}", f"pos // {_BLOCK}"
+    read = [f"max(CASE WHEN {block} = {k} AND {place} = 0 THEN 1 ELSE 0 END) AS p{k}, bit_or(CASE WHEN {block} = {k} AND {place} BETWEEN 1 AND {BITS} THEN 1::BIGINT << ({place} - 1) ELSE 0 END) AS o{k}, bit_or(CASE WHEN {block} = {k} AND {place} > {BITS} THEN 1::BIGINT << ({place} - {BITS + 1}) ELSE 0 END) AS c{k}" for k in range(3)]
+    parts = [f"m0 AS MATERIALIZED (SELECT qid, pool, {', '.join(read)} FROM bt GROUP BY qid, pool)"]
+    single = " AND ".join(f"{n} = {x}" for n, x in zip(_NINE, _numbers("o0")))
+
+    def pair(k):
+        same = " AND ".join(f"{n} = xor({a}, {b})" for n, a, b in zip(_NINE, _numbers(f"o{k}"), _numbers(f"xor(o{k}, o0)")))
+        return f"p0 = 0 AND o0 > 0 AND p{k} = 1 AND xor(o{k}, c{k}) = {_ALL} AND {same}"
+
+    for n in range(rounds):
+        before = f"f{n - 1}" if n else "(SELECT 0::BIGINT AS qid, 0::BIGINT AS item WHERE FALSE)"
+        stripe = FILTERS // 3
+        parts += [
+            f"d{n} AS (SELECT qid, pool, o0 AS item FROM m{n} WHERE {single} UNION SELECT qid, pool, unnest([o1, xor(o1, o0)]) FROM m{n} WHERE {pair(1)} UNION SELECT qid, pool, unnest([o2, xor(o2, o0)]) FROM m{n} WHERE {pair(2)} AND NOT ({pair(1)}))",
+            f"a{n} AS (SELECT *, (((item * 3 + r.j + 5) % 2147483648) * 1103515245 + 12345) % 2147483648 AS k FROM d{n}, range(0, 3) r(j)), b{n} AS (SELECT * REPLACE (xor(k, k >> 15) AS k) FROM a{n}), g{n} AS (SELECT * REPLACE ((k * 1103515245 + 12345) % 2147483648 AS k) FROM b{n}), h{n} AS (SELECT * REPLACE (xor(k, k >> 13) AS k) FROM g{n})",
+            f"w{n} AS MATERIALIZED (SELECT qid, pool, item, j * {stripe} + ((k * 747796405 + 2891) % 2147483648) % {stripe} AS home FROM h{n})",
+            f"n{n} AS MATERIALIZED (SELECT DISTINCT qid, item FROM w{n} WHERE home = pool AND (qid, item) NOT IN (SELECT (qid, item) FROM {before} z))",
+            f"f{n} AS MATERIALIZED (SELECT * FROM n{n} UNION SELECT * FROM {before} z)",
+            f"t{n} AS (SELECT DISTINCT qid, home AS pool, item FROM w{n} SEMI JOIN n{n} USING (qid, item))",
+            f"m{n + 1} AS MATERIALIZED (SELECT qid, pool, {', '.join(f'bit_xor({x}) AS {x}' for x in _NINE)} FROM (SELECT * FROM m{n} UNION ALL SELECT qid, pool, {', '.join(f'{x} AS {name}' for name, x in zip(_NINE, _numbers('item')))} FROM t{n} SEMI JOIN m0 USING (qid, pool)) GROUP BY qid, pool)",
+        ]
+    return ", ".join(parts) + f", peeled AS (SELECT * FROM f{rounds - 1})"
+
+
+@query("ann_bloom_xor", f"WITH {_BLOOM}, {S}, {_measured_peel_sql()}, {_RERANKED} {top('rr')}")
 def _(spark, d):
-    return ann.by_bloom_bits(*_dense(spark, d), DIMS, POOLS, BITS, K)
+    return ann.by_bloom_bits(*_dense(spark, d), DIMS, FILTERS, BITS, K, FHASHES, FWORD, FHASHES)
 
 
 @query("ann_or_saffron", f"WITH {H}, {M}, {_edges(BUCKETS, DEGREE)}, met AS MATERIALIZED (SELECT qid, pool, item FROM m JOIN e ON m.id = e.item WHERE n_match >= {LEAST + 4}), {_or_solve_sql()}, c AS (SELECT m.qid, m.id, n_match AS score FROM m JOIN solved o ON o.qid = m.qid AND o.item = m.id WHERE n_match >= {LEAST + 4}) {top('c')}")
