@@ -184,6 +184,15 @@ def test_coded_joins_equal_plain_ones(spark, sparse):
     assert rows_of(exact.linscan(*exact.coded(sparse, q)), "qid", "id", "score") == rows_of(exact.linscan(sparse, q), "qid", "id", "score")
 
 
+@pytest.mark.parametrize("least", [1, 6, 30])
+def test_selfjoin_leaves_hot_dimensions_out(spark, least):
+    rng = np.random.default_rng(least)
+    m = (rng.random((50, 12)) < np.linspace(0.95, 0.1, 12)) * rng.integers(1, 5, (50, 12))
+    x = spark.createDataFrame([(int(i), f"d{j}", int(m[i, j])) for i, j in zip(*np.nonzero(m))], "id long, dim string, val long")
+    want = sorted((a, b, int(m[a] @ m[b])) for a in range(50) for b in range(a + 1, 50) if m[a] @ m[b] >= least)
+    assert want and rows_of(exact.selfjoin(x, least), "qid", "id", "score") == want
+
+
 def test_dual_index_equals_a_plain_version(spark, tmp_path):
     rng = np.random.default_rng(9)
     x = spark.createDataFrame([(i, rng.integers(-9, 9, 8).tolist()) for i in range(60)], "id long, v array<long>")

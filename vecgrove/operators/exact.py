@@ -162,9 +162,26 @@ def naive_dots(x: DataFrame, q: DataFrame) -> DataFrame:
 
 
 def selfjoin(x: DataFrame, least: int) -> DataFrame:
-    """(qid, id, score) of all pairs qid < id at or over the threshold."""
-    q = queries_of(x)
-    return q.join(x, "dim").where("qid < id").groupBy("qid", "id").agg(F.sum(F.col("qval") * F.col("val")).alias("score")).where(F.col("score") >= least)
+    """(qid, id, score) of all pairs qid < id at or over the threshold; values are not negative.
+
+    A row's most frequent dimensions are left out of the join as long as all of them together, each times the largest value
+    in it, stay below the threshold: a pair that shares no other dimension cannot reach it. So the postings that many rows
+    have make no pairs; their part of the score is added for the pairs that can still reach the threshold.
+    """
+    stats = x.groupBy("dim").agg(F.count("*").alias("n"), F.max("val").alias("most")).where("n >= 2")
+    hot_first = Window.partitionBy("id").orderBy(F.desc("n"), "dim").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.sum(F.col("val") * F.col("most")).over(hot_first)
+    rows = x.join(stats, "dim").withColumn("reach", reach).withColumn("asks", F.col("reach") >= least)
+    rows = cut(rows.select("id", "dim", "val", "asks", F.when(~F.col("asks"), F.col("reach")).alias("left")), "selfjoin")
+    q = queries_of(rows.where("asks"))
+    pairs = q.join(rows.select("id", "dim", "val"), "dim").where("qid < id").groupBy("qid", "id").agg(F.sum(F.col("qval") * F.col("val")).alias("part"))
+    # what the left-out dimensions can add
+    bounds = rows.groupBy(F.col("id").alias("qid")).agg(F.coalesce(F.max("left"), F.lit(0)).alias("more"))
+    pairs = cut(pairs.join(bounds, "qid").where(F.col("part") + F.col("more") >= least).select("qid", "id", "part"), "pairs")
+    rest = pairs.join(queries_of(rows.where("not asks")), "qid").join(rows.select("id", "dim", "val"), ["id", "dim"])
+    rest = rest.groupBy("qid", "id").agg(F.sum(F.col("qval") * F.col("val")).alias("rest"))
+    total = pairs.join(rest, ["qid", "id"], "left").select("qid", "id", (F.col("part") + F.coalesce("rest", F.lit(0))).alias("score"))
+    return total.where(F.col("score") >= least)
 
 
 def rerank(candidates: DataFrame, x: DataFrame, q: DataFrame, k: int) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecgrove.functions import signatures
@@ -67,8 +67,7 @@ def random_problem(spark, items: int, n_pools: int, sparsity: int, each: int = 3
     """(edges, members, positive): a design over 0..items-1, ``sparsity`` planted items of query 0, and its positive pools."""
     x = spark.range(items)
     edges = pooling(x, n_pools, each, seed)
-    order = Window.orderBy(mix(F.col("id") + seed + 77), "id")
-    planted = x.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sparsity)  # a few thousand items at most
+    planted = x.orderBy(mix(F.col("id") + seed + 77), "id").limit(sparsity)
     members = planted.select(F.lit(0).cast("long").alias("qid"), F.col("id").alias("item"))
     return edges, members, outcomes(members, edges)
 
