@@ -13,11 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ascii_lower(col):
-    """Lower-case A-Z only, whatever the locale."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def crc32_text(col):
     """Unsigned CRC-32 of the UTF-8 bytes; of no bytes for null."""
     return F.crc32(F.encode(F.coalesce(col, F.lit("")), "UTF-8"))
