@@ -12,7 +12,7 @@ from vecgrove.functions import signatures, text, vectors
 from vecgrove.operators import ann, bloom, exact, grouptest, lsh, metrics, pools
 from vecgrove.materialise import new_path
 from vecgrove.plans import pruned
-from vecgrove.types import SCALE, quantised, to_long
+from vecgrove.types import SCALE, quantised, require_dimension, to_array, to_long
 
 K = 10
 DIMS = 64
@@ -410,6 +410,22 @@ def _(spark, d):
     return both.groupBy("id").agg(F.count("*").alias("dims"), F.sum("val").alias("total"), F.sum(F.col("val") * F.col("val")).alias("squares"))
 
 
+@query("map_add", f"WITH {XA}, {XL}, s AS (SELECT id, dim, val FROM l WHERE val >= {SCALE // 10}), p AS (SELECT DISTINCT a.id - a.id % 2 AS pair FROM s a JOIN s b ON b.id = a.id + 1 AND a.id % 2 = 0) SELECT pair AS id, dim, CAST(sum(val) AS BIGINT) AS val FROM s JOIN p ON s.id - s.id % 2 = pair GROUP BY ALL")
+def _(spark, d):
+    x = to_long(dense_abs(spark, d)).where(F.col("val") >= SCALE // 10)
+    m = x.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", F.col("val").cast("double")))).alias("m"))  # at most DIMS entries
+    odd = m.where("id % 2 = 1").select((F.col("id") - 1).alias("id"), F.col("m").alias("o"))
+    both = m.where("id % 2 = 0").join(odd, "id").select("id", F.explode(vectors.add_maps(F.col("m"), F.col("o"))).alias("dim", "val"))
+    return both.select("id", F.col("dim").cast("long").alias("dim"), F.col("val").cast("long").alias("val"))
+
+
+@query("dense_sparse_round_trip", "SELECT vec_id AS id, TRUE AS same FROM embeddings")
+def _(spark, d):
+    x = require_dimension(dense(spark, d), DIMS)
+    back = to_array(to_long(x), DIMS).withColumnRenamed("v", "w")
+    return x.join(back, "id").select("id", (F.col("v") == F.col("w")).alias("same"))
+
+
 @query("sparse_dot", f"WITH {G}, {GS} SELECT qid, id, score FROM s")
 def _(spark, d):
     x, q = _coded(spark, d)
@@ -455,6 +471,13 @@ def _(spark, d):
     return t.select("id", "tbl", "h", F.aggregate(bits, F.lit(0), lambda a, b: a + b).cast("long").alias("ones"), (vectors.pack_bits(bits) == F.col("h")).alias("same"))
 
 
+@query("hash_hamming_distances", f"WITH {H}, {M}, c AS (SELECT qid, id FROM m WHERE n_match >= {LEAST}) SELECT qid, c.id, CAST(sum(bit_count(xor(a.h, b.h))) AS BIGINT) AS distance FROM c JOIN h a ON a.id = c.qid JOIN h b ON b.id = c.id AND b.tbl = a.tbl GROUP BY ALL")
+def _(spark, d):
+    h = _hashed(spark, d)
+    near = h.matches(LEAST).select("qid", "id").join(h.qt.select(F.col("id").alias("qid"), "tbl", F.col("h").alias("qh")), "qid").join(h.xt, ["id", "tbl"])
+    return near.groupBy("qid", "id").agg(F.sum(vectors.hamming(F.col("qh"), F.col("h"))).alias("distance"))
+
+
 @query("hash_match_counts", f"WITH {H}, {M} SELECT qid, id, n_match FROM m")
 def _(spark, d):
     h = _hashed(spark, d)

@@ -147,13 +147,6 @@ def fold_signatures(met: DataFrame, bits: int) -> DataFrame:
     return folded.select("qid", "pool", F.concat(*back).alias("sig"))
 
 
-def xor_parity(members: DataFrame, edges: DataFrame, bits: int) -> DataFrame:
-    """(qid, pool, pos, bit): the same residuals bit by bit."""
-    sig = signatures.xor_signature(F.col("item"), bits)
-    each = members.join(edges, "item").select("qid", "pool", F.posexplode(sig).alias("pos", "one"))
-    return each.groupBy("qid", "pool", F.col("pos").cast("long").alias("pos")).agg((F.sum("one") % 2).cast("long").alias("bit"))
-
-
 def decode_singletons(residuals: DataFrame, bits: int) -> DataFrame:
     """(qid, pool, item) of the residuals that are one item's signature."""
     spelled = F.aggregate(F.reverse(F.slice("sig", 2, bits)), F.lit(0).cast("long"), lambda a, b: a * 2 + b.cast("long"))

@@ -6,11 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def positioned(x: DataFrame) -> DataFrame:
-    """pos = id: rows stay where their ids put them."""
-    return x.withColumn("pos", F.col("id"))
-
-
 def reorder(dense: DataFrame, shards: int = 64) -> DataFrame:
     """(id, am, pos): rows in the order of their largest component, then id, so that neighbours resemble each other.
 
