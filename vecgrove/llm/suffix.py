@@ -39,7 +39,7 @@ PASSAGE = 50
 PASSAGE_GRAM = 10
 #: Reaches that are refined in one go, at least.
 BATCH = 1024
-_CHUNK = 1 << 20
+_CHUNK = 1 << 15
 _POS = np.uint64(_CHUNK - 1)
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -65,9 +65,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _M1
-    h = (h ^ (h >> np.uint64(27))) * _M2
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= _M1
+    h ^= h >> np.uint64(27)
+    h *= _M2
+    h ^= h >> np.uint64(31)
+    return h
 
 
 class Symbols:
@@ -78,7 +81,8 @@ class Symbols:
         self.bounds = np.array([0, self.n]) if bounds is None else bounds
         up, self.down = _powers(self.n + 1)
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(values * up[: self.n], dtype=np.uint64, out=self.sums[1:])
+        np.multiply(values, up[: self.n], out=self.sums[1:])
+        np.cumsum(self.sums[1:], out=self.sums[1:])
 
     def ids(self, start, end):
         """Identifier of the run from start to end, for arrays of starts and ends."""
@@ -86,7 +90,10 @@ class Symbols:
 
     def all_ids(self, length: int, lo: int, hi: int) -> np.ndarray:
         """Identifiers of the runs of ``length`` that start at lo, ..., hi - 1."""
-        return _mix((self.sums[lo + length : hi + length] - self.sums[lo:hi]) * self.down[lo:hi] + np.uint64(length * int(_M2) % (1 << 64)))
+        h = self.sums[lo + length : hi + length] - self.sums[lo:hi]
+        h *= self.down[lo:hi]
+        h += np.uint64(length * int(_M2) % (1 << 64))
+        return _mix(h)
 
 
 class Bytes(Symbols):
@@ -139,23 +146,34 @@ def anchors(b: Symbols, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     np.add.at(edges, b.bounds[1:], -1)
     whole = np.cumsum(edges)[:last] == 0
     at, lo, hi = [], [], []
+    place = np.arange(_CHUNK, dtype=np.uint64)
     for s in range(0, last, _CHUNK - w):
         e = min(last, s + _CHUNK - w)
         h = b.all_ids(gram, s, e + w - 1)
-        h = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)
-        pad = -len(h) % w
-        blocks = np.concatenate((h, np.full(pad, np.iinfo(np.uint64).max, np.uint64))).reshape(-1, w)
-        fore = np.minimum.accumulate(blocks, axis=1).ravel()
-        back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        h &= ~_POS
+        h |= place[: len(h)]
         k = e - s
-        low = np.minimum(back[:k], fore[w - 1 : w - 1 + k]) & _POS
+        low = _window_minima(h, w)[:k] & _POS
         inside = whole[s:e]
         cut = np.concatenate(([0], np.flatnonzero((low[1:] != low[:-1]) | (inside[1:] != inside[:-1])) + 1, [k]))
         kept = inside[cut[:-1]]
         at.append(low[cut[:-1]][kept].astype(np.int64) + s)
         lo.append(cut[:-1][kept] + s)
         hi.append(cut[1:][kept] - 1 + s)
-    return np.concatenate(at), np.concatenate(lo), np.concatenate(hi)
+    at, lo, hi = np.concatenate(at), np.concatenate(lo), np.concatenate(hi)
+    # a reach that two chunks share is one
+    new = np.concatenate(([True], (at[1:] != at[:-1]) | (lo[1:] != hi[:-1] + 1))) if len(at) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return at[first], lo[first], hi[np.append(first[1:], len(at)) - 1] if len(at) else hi
+
+
+def _window_minima(h: np.ndarray, w: int) -> np.ndarray:
+    """Minima of all windows of w values: of two overlapping stretches whose length is a power of two."""
+    size = 1
+    while 2 * size <= w:
+        h = np.minimum(h[:-size], h[size:])
+        size *= 2
+    return np.minimum(h[: len(h) - (w - size)], h[w - size :]) if size < w else h
 
 
 # -- refinement of one batch of buckets ----------------------------------------------------------------------------
@@ -306,8 +324,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     def reaches(batches):
         for b in common.slices(batches, 200):
             out: list[list] = [[] for _ in names]
-            for key, t, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                data = t.as_py().encode("utf-8", "surrogatepass")
+            for key, data, asked in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
                 symbols = np.frombuffer(data, np.uint8) if unit is Bytes else unit([data]).symbols
                 for a in asked:
                     s = a["at"] - a["back"]
@@ -386,9 +403,9 @@ def _gathered(batches, least: int, most: int = 1 << 22):
     """(keys, texts as bytes) of about ``most`` bytes at a time, without texts shorter than ``least``."""
     keys, datas, size = [], [], 0
     for b in batches:
-        for key, t in zip(b.column(0).to_pylist(), b.column(1)):
-            data = (t.as_py() or "").encode("utf-8", "surrogatepass")
-            if len(data) >= least:
+        for key, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
+            data = t.as_py()
+            if data is not None and len(data) >= least:
                 keys.append(key)
                 datas.append(data)
                 size += len(data)
@@ -437,8 +454,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
         for b in common.slices(batches):
             size, sha, text = [], [], []
             maybe = common.in_bitmap(places.value, b.column(0).to_numpy(zero_copy_only=False))
-            for t, m in zip(b.column(2), maybe.tolist()):
-                data = (t.as_py() or "").encode("utf-8", "surrogatepass")
+            for data, m in zip(b.column(2).cast(pa.binary()).to_pylist(), maybe.tolist()):
+                data = data or b""
                 size.append(len(data))
                 sha.append(hashlib.sha256(data).hexdigest())
                 text.append(data if m or keep_text else None)
