@@ -306,6 +306,49 @@ def test_appended_batches_equal_a_rebuild(spark, tmp_path, sparse):
     assert rows_of(index.compact(f"{tmp_path}/folded").sums(), *keys, "val") == want
 
 
+def test_words_keep_their_bits_at_any_size(spark, tmp_path):
+    from vecgrove import catalog
+
+    rng = np.random.default_rng(8)
+    vectors_ = rng.normal(size=(2500, 64)).astype("float32")  # over 2048 rows
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors_)], "vec_id long, embedding array<float>")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    x = catalog.dense(spark, str(tmp_path))
+    t = lsh.tables(lsh.hashes(x, catalog.T, catalog.B, 64)).cache()
+    plain = lsh.match_counts(t, t.where("id % 50 = 0"))
+    assert rows_of(catalog.QUERIES["hash_match_counts"](spark, str(tmp_path)), "qid", "id", "n_match") == rows_of(plain, "qid", "id", "n_match")
+    best = exact.topk(plain.withColumnRenamed("n_match", "score"), catalog.K)
+    assert rows_of(catalog.QUERIES["hash_knn"](spark, str(tmp_path)), "qid", "id", "score", "rank") == rows_of(best, "qid", "id", "score", "rank")
+    near = lsh.hamming_candidates(t, t.where("id % 50 = 0"), catalog.B, 1, 5)
+    h = ann.Hashed(x, catalog.asking(x), 64, catalog.T, catalog.B)
+    assert rows_of(lsh.scan_hamming(h.hx, h.hq, 1, 5), "qid", "id", "n_match") == rows_of(near, "qid", "id", "n_match")
+
+
+def test_scanned_elimination_equals_the_join(spark):
+    design, items = grouptest.Design(30), spark.range(400)
+    planted = spark.createDataFrame([(q, int(i)) for q in range(8) for i in np.random.default_rng(q).choice(400, 3 + q, replace=False)], "qid long, item long")
+    edges = design.edges(items)
+    positive = grouptest.outcomes(planted, edges)
+    assert rows_of(grouptest.eliminate_scan(items, positive, design), "qid", "item") == rows_of(grouptest.eliminate(edges, positive), "qid", "item")
+    want = rows_of(grouptest.peel(edges, positive), "qid", "item")
+    assert want and rows_of(grouptest.peel_scan(items, positive, design), "qid", "item") == want
+
+
+def test_sums_of_many_items_are_no_pair(spark):
+    one_pool = spark.createDataFrame([(0, 7, i) for i in (128, 1, 2, 4)] + [(1, 7, 128), (1, 7, 5)] + [(2, 7, i) for i in (1, 2, 4)] + [(3, 7, 9)], "qid long, pool long, item long")
+    r = grouptest.fold_signatures(one_pool, 9, held=True)
+    assert rows_of(grouptest.decode_pairs(r, 9), "qid", "first", "second") == [(1, 5, 128)]
+    assert rows_of(grouptest.decode_singletons(r, 9), "qid", "item") == [(3, 9)]
+
+
+def test_best_keeps_ties_across_blocks(spark):
+    best = exact.Best(np.array([10, 20]), 2)
+    best.step(np.array([5, 1, 3]), np.array([[4, 1], [4, 0], [2, 0]]))
+    best.step(np.array([9]), np.array([[4, 0]]))
+    q, ids, scores = best.end()
+    assert list(zip(q.tolist(), ids.tolist(), scores.tolist())) == [(10, 9, 4), (10, 5, 4), (20, 5, 1), (20, 9, 0)]
+
+
 def test_entry_without_the_optional_package():
     import __spark_entry__ as entry
 

@@ -8,15 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecgrove.functions.vectors import mix_numpy
-from vecgrove.operators.exact import topk
+from vecgrove.operators.exact import Best, _scan, reaching, topk
 from vecgrove.shipping import ship
 
 
-def word_bits(rows: int, least: int = 6, most: int = 40) -> int:
-    """Bits of a hash word for a table of ``rows`` rows: buckets hold a few dozen rows at any size, not a fixed share of them."""
-    return min(most, max(least, (max(1, rows) - 1).bit_length() - 5))
-
-
 def planes(tables: int, bits: int, dims: int, seed: int = 7) -> np.ndarray:
     """tables x bits x dims of +1 and -1: hash sums of whole-number vectors are exact."""
     k = np.arange(tables * bits * dims, dtype=np.int64) + seed
@@ -49,6 +44,50 @@ def match_counts(x: DataFrame, q: DataFrame) -> DataFrame:
     return q.withColumnRenamed("id", "qid").join(x, ["tbl", "h"]).groupBy("qid", "id").agg(F.count("*").alias("n_match"))
 
 
+def equal_words(v: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Rows x queries: tables in which both have the same word."""
+    n = np.zeros((len(v), len(m)), np.int16)
+    for t in range(v.shape[1]):
+        n += v[:, t, None] == m[None, :, t]
+    return n
+
+
+def near_words(distance: int):
+    """The same for words that differ in at most ``distance`` bits."""
+
+    def score(v, m):
+        v, m = v.astype(np.int64), m.astype(np.int64)
+        n = np.zeros((len(v), len(m)), np.int16)
+        for t in range(v.shape[1]):
+            n += np.bitwise_count(v[:, t, None] ^ m[None, :, t]) <= distance
+        return n
+
+    return score
+
+
+def _scored(hx: DataFrame, hq: DataFrame, make, score=equal_words, fold=None) -> DataFrame:
+    """Words (id, hashes) of rows against words of queries, block by block: a pair's tables are counted where its row is, so
+    no pair moves before it is counted. With words of few bits a bucket holds a fixed share of the rows, and a join by bucket
+    would move all of its pairs once a table."""
+    shape = lambda h: h.select("id", F.col("hashes").alias("v"))
+    return _scan(shape(hx), shape(hq), make, score=score, fold=fold)
+
+
+def scan_candidates(hx: DataFrame, hq: DataFrame, least: int = 1) -> DataFrame:
+    """(qid, id, n_match) of all pairs with at least ``least`` equal tables."""
+    return _scored(hx, hq, reaching(least)).withColumnRenamed("score", "n_match")
+
+
+def scan_hamming(hx: DataFrame, hq: DataFrame, distance: int, least: int) -> DataFrame:
+    """The same, where tables count whose words differ in at most ``distance`` bits."""
+    return _scored(hx, hq, reaching(least), near_words(distance)).withColumnRenamed("score", "n_match")
+
+
+def scan_knn(hx: DataFrame, hq: DataFrame, k: int) -> DataFrame:
+    """:func:`hash_knn` of words: a task sends the k best rows of each query."""
+    return topk(_scored(hx, hq, None, fold=lambda qids: Best(qids, k, 1)), k)
+
+
 def candidates(x: DataFrame, q: DataFrame, least: int) -> DataFrame:
     return match_counts(x, q).where(F.col("n_match") >= least)
 
@@ -77,9 +116,9 @@ def index_stats(x: DataFrame) -> DataFrame:
 
 
 def pool_neighbours(x: DataFrame, q: DataFrame, edges: DataFrame, pool: int, least: int) -> DataFrame:
-    """(qid, id, n_match) within one pool."""
+    """(qid, id, n_match) within one pool; x and q are (id, hashes)."""
     members = edges.where(F.col("pool") == pool).select(F.col("item").alias("id"))
-    return candidates(x.join(members, "id", "left_semi"), q, least)
+    return scan_candidates(x.join(members, "id", "left_semi"), q, least)
 
 
 def positive_pools(found: DataFrame, edges: DataFrame) -> DataFrame:
