@@ -353,3 +353,35 @@ def test_entry_without_the_optional_package():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_dense_plans_equal_the_joins(spark):
+    from vecgrove.plans import dense
+    from vecgrove.types import to_array, to_long
+
+    rng = np.random.default_rng(12)
+    x = spark.createDataFrame([(i, rng.integers(0, 4, 5).tolist()) for i in range(300)], "id long, v array<long>").repartition(5).cache()
+    q = x.where("id % 7 = 0")
+    long = to_long(x)
+    asks = exact.queries_of(to_long(q))
+    for least in (12, 25):
+        want = rows_of(exact.linscan(long, asks, least), "qid", "id", "score")
+        assert rows_of(dense.threshold(x, q, least, (32, 8)), "qid", "id", "score") == want
+        assert rows_of(dense.threshold(x, q, least, (32, 8), 16), "qid", "id", "score") == want
+    assert rows_of(dense.candidates(x, q, 100, (32, 8)), "qid", "pool") == rows_of(pruned.candidates(long, asks, 100, (32, 8)), "qid", "pool")
+    best = rows_of(exact.linscan_topk(long, asks, 6), "qid", "id", "score", "rank")
+    order = x.select("id", ((F.col("id") * 37) % 300).alias("pos"))
+    for got in (dense.knn(x, q, 6, 8), dense.reordered_knn(x, q, 6, order, 8), exact.dense_linscan_topk(x, q, 6)):
+        assert rows_of(got, "qid", "id", "score", "rank") == best
+    every = x.select("id", F.posexplode("v").alias("dim", "val"))
+    assert rows_of(dense.box_bounds(x, q, 8), "qid", "pool", "bound") == rows_of(pruned.box_bounds(every, exact.queries_of(every.where("id % 7 = 0")), 8), "qid", "pool", "bound")
+    keys = ("of", "tree", "level", "node", "dim", "val")
+    assert rows_of(dense.dim_trees(x, 3, 2, 8), *keys) == rows_of(pools.dim_trees(long, 3, 2, 8), *keys)
+    assert rows_of(to_array(long.withColumn("pos", F.col("id") + 1), 5, ("id", "pos")), "id", "pos", "v") == sorted((r.id, r.id + 1, r.v) for r in x.where("array_max(v) > 0").collect())
+
+
+def test_blocks_shrink_with_the_queries(spark):
+    x = spark.createDataFrame([(i, [i % 5, 1]) for i in range(2100)], "id long, v array<long>").coalesce(1)
+    make = lambda qids, ids, scores: ([scores.size], [len(ids)], [len(qids)])
+    sizes = rows_of(exact._scan(x, x, make), "qid", "id", "score")
+    assert max(s[0] for s in sizes) <= exact.BLOCK_SCORES and sum(s[1] for s in sizes) == 2100
