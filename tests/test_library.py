@@ -385,3 +385,36 @@ def test_blocks_shrink_with_the_queries(spark):
     make = lambda qids, ids, scores: ([scores.size], [len(ids)], [len(qids)])
     sizes = rows_of(exact._scan(x, x, make), "qid", "id", "score")
     assert max(s[0] for s in sizes) <= exact.BLOCK_SCORES and sum(s[1] for s in sizes) == 2100
+
+
+def test_linear_decoders_solve_each_kind_of_column_once(spark, monkeypatch):
+    design, items = grouptest.Design(6), spark.range(300)  # eight kinds of columns
+    edges = design.edges(items)
+    positive = grouptest.outcomes(spark.createDataFrame([(0, 3), (0, 40), (1, 7)], "qid long, item long"), edges)
+    for recover in (grouptest.recover_omp, grouptest.recover_lsq):
+        assert rows_of(recover(items, positive, design=design), "qid", "item") == rows_of(recover(edges, positive), "qid", "item")
+    item, pool = np.repeat(np.arange(6), 2), np.array([0, 2, 0, 2, 0, 2, 1, 2, 1, 3, 1, 3])
+    y = np.ones(4)
+    every = grouptest.least_squares(grouptest.Incidence(item, pool), y)
+    root = np.sqrt([3, 1, 2])
+    kinds = grouptest.least_squares(grouptest.Incidence(np.repeat(np.arange(3), 2), np.array([0, 2, 1, 2, 1, 3]), root), y) / root
+    assert np.allclose(kinds[[0, 0, 0, 1, 2, 2]], every)
+
+
+def test_filters_hold_distinct_keys(spark):
+    from vecgrove.operators import bloom
+
+    rng = np.random.default_rng(5)
+    x = spark.createDataFrame([(i, rng.integers(-9, 9, 8).tolist()) for i in range(40)], "id long, v array<long>").cache()
+    design, length = grouptest.Design(6), 3 * (2 * 6 + 1)
+    m, ids = np.array([r.v for r in x.orderBy("id").collect()], float), np.arange(40)
+    sig, homes = signatures.xor_words(ids, 6), design.homes(ids)
+    for hashes, least in ((2, 2), (3, 2)):
+        want = set()
+        for p in range(6):
+            w = bloom._words(m, p, length, hashes, 3, 7)
+            for q in range(0, 40, 9):
+                same = (w == w[q]).sum(axis=2) >= least
+                want |= {(q, p, k) for k in range(length) if (same[:, k] & (sig[:, k] > 0) & (homes == p).any(axis=1)).any()}
+        got = bloom.positive_tests(x, x.where("id % 9 = 0"), design, 8, 6, hashes, 3, least)
+        assert want and rows_of(got, "qid", "pool", "pos") == sorted(want)
