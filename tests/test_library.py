@@ -418,3 +418,18 @@ def test_filters_hold_distinct_keys(spark):
                 want |= {(q, p, k) for k in range(length) if (same[:, k] & (sig[:, k] > 0) & (homes == p).any(axis=1)).any()}
         got = bloom.positive_tests(x, x.where("id % 9 = 0"), design, 8, 6, hashes, 3, least)
         assert want and rows_of(got, "qid", "pool", "pos") == sorted(want)
+
+
+def test_tree_totals_equal_the_sums_and_move_texts_once(spark):
+    from vecgrove.functions import text
+
+    words = ["a", "B", "c9", "d"]
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(60)] + [(70, None), (71, ""), (90, "Caf\u00e9 \u212a \u0130 a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    t = pools.tree_sums(text.ngram_counts(docs), 3).groupBy("tree", "level", "node").agg(F.count("*").alias("dims"), F.sum("val").alias("total"), F.sum(F.col("val") * F.col("val")).alias("squares"))
+    names = ("tree", "level", "node", "dims", "total", "squares")
+    got = text.tree_totals(docs, 3)
+    assert rows_of(got, *names) == rows_of(t, *names)
+    assert rows_of(text.tree_totals(docs, 3, 1), *names) == rows_of(t.where("level <= 1"), *names)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # no gram is a row
