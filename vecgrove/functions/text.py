@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from vecgrove.shipping import ship
 
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 
 def ngrams(docs: DataFrame, n: int = 3, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, dim): every run of n words [a-z0-9]+ (A-Z lowered) of each document, as often as it occurs."""
@@ -28,6 +31,30 @@ def ngram_counts(docs: DataFrame, n: int = 3, id_: str = "doc_id", text: str = "
     return ngrams(docs, n, id_, text).groupBy("id", "dim").agg(F.count("*").alias("val"))
 
 
+def gram_maps(docs: DataFrame, n: int = 3, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, m): the same counts as one map from n-grams to counts for each id that has any. Texts move once, so that rows
+    with one id meet; n-grams are counted where their text is and never move."""
+    ship(docs.sparkSession)
+
+    def counted(batches):
+        rows = ((i, t) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for i, own in itertools.groupby(rows, lambda r: r[0]):
+            m: Counter = Counter()
+            for _, t in own:
+                w = re.findall("[a-z0-9]+", t.translate(_LOWER))
+                m.update(map(" ".join, zip(*(w[k:] for k in range(n)))))
+            if m:
+                yield i, m
+
+    def run(batches):
+        made, kind = counted(batches), pa.map_(pa.string(), pa.int64())
+        while held := list(itertools.islice(made, 256)):
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in held], pa.int64()), pa.array([list(m.items()) for _, m in held], kind)], names=["id", "m"])
+
+    met = docs.where(F.col(text).isNotNull()).select(F.col(id_).alias("id"), F.col(text).alias("text"))
+    return met.repartition("id").sortWithinPartitions("id").mapInArrow(run, "id long, m map<string, long>")
+
+
 def _numbered(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, gram): every run of n words of each text, grams as numbers that are equal for equal grams."""
     words: dict[bytes, int] = {}
